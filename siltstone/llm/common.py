@@ -55,14 +55,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def settle(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``release`` also collects the driver's garbage, upon which Spark removes the
+    shuffle files of what led here and is no longer referred to.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: str) -> list[Column]:
+    """128 bits that stand for a text: columns k1, k2."""
+    return [F.xxhash64(F.col(text)).alias("k1"), F.xxhash64(F.lit(1), F.col(text)).alias("k2")]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id's text is divisible by five (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0

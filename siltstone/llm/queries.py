@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontam, mixing, pii, sharding
-from siltstone.llm.common import table
+from siltstone.llm import decontam, mixing, pii, quality, sharding, substring, toxicity
+from siltstone.llm.common import held_out, settle, table
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,16 +29,35 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), drop_text=True)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As quality.classify, but the statistics, small beside the texts, are written once for fit and scores."""
+    known = settle(quality.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True), "statistics")
+    labels = quality.training_labels(table(spark, sf_dir, "labels"), "quality")
+    model = quality.fit(known.join(labels, "doc_id"), "quality")
+    scored = known.withColumn("score", model.score(F.col("statistics")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_pii, op4_mix_sources, op6_decontaminate, op8_shard)
+    f.__name__: f for f in (op3_pii, op4_mix_sources, op6_decontaminate, op7_toxicity, op8_shard, op9_substring_dedup, op10_quality)
 }
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": mixing.SQL,
     "op6_decontaminate": decontam.SQL,
     "op8_shard": sharding.sql(),
+    "op9_substring_dedup": substring.SQL,
 }
