@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontam, mixing, pii, quality, sharding, substring, toxicity
+from siltstone.llm import decontam, mixing, near_dup, pii, quality, sharding, substring, toxicity
 from siltstone.llm.common import held_out, settle, table
 
 
@@ -22,6 +22,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.label(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.scan(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_pii, op4_mix_sources, op6_decontaminate, op7_toxicity, op8_shard, op9_substring_dedup, op10_quality)
+    f.__name__: f for f in (op3_pii, op4_mix_sources, op5_near_dup, op6_decontaminate, op7_toxicity, op8_shard, op9_substring_dedup, op10_quality)
 }
 
 ORACLES: dict[str, str] = {
