@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontam, mixing, near_dup, pii, quality, sharding, substring, toxicity
+from siltstone.llm import decontam, hamming, lines, mixing, near_dup, pii, quality, sharding, substring, toxicity
 from siltstone.llm.common import held_out, settle, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -56,10 +64,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_pii, op4_mix_sources, op5_near_dup, op6_decontaminate, op7_toxicity, op8_shard, op9_substring_dedup, op10_quality)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_top_k,
+        op3_pii,
+        op4_mix_sources,
+        op5_near_dup,
+        op6_decontaminate,
+        op7_toxicity,
+        op8_shard,
+        op9_substring_dedup,
+        op10_quality,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": lines.SQL,
+    "op2_top_k": hamming.SQL,
     "op4_mix_sources": mixing.SQL,
     "op6_decontaminate": decontam.SQL,
     "op8_shard": sharding.sql(),
