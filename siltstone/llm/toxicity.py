@@ -66,13 +66,16 @@ class Network:
     weights: dict[str, np.ndarray]
     constant: float | None = None
 
-    def embed(self, words: K.Words) -> np.ndarray:
-        """The input vectors of all words, with a row of zeros behind them."""
-        out = np.zeros((len(words) + 1, EMBED), np.float32)
-        for h in inputs(words):
-            slot = (h & K.U(_SLOTS - 1)).astype(np.int64)
-            known = self.keys[slot] == h
-            out[:-1] += self.weights["embedding"][np.where(known, self.rows[slot], 0)]
+    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of the embedding, 0 for what is not in the vocabulary."""
+        slot = (hashes & K.U(_SLOTS - 1)).astype(np.int32)
+        return np.where(self.keys[slot] == hashes, self.rows[slot], 0)
+
+    def embed(self, found: np.ndarray) -> np.ndarray:
+        """The input vectors of words given by their input hashes, with a row of zeros behind them."""
+        out = np.zeros((found.shape[1] + 1, EMBED), np.float32)
+        for h in found:
+            out[:-1] += self.weights["embedding"][self.lookup(h)]
         return out
 
     def logits(self, x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -95,7 +98,7 @@ class Network:
         words = K.find_words(data, offsets, K.ALNUM, K.LOWER)
         text, first, size = windows(words.bounds)
         best = np.full(len(offsets) - 1, -30.0)
-        np.maximum.at(best, text, self.logits(self.embed(words), first, size).astype(float))
+        np.maximum.at(best, text, self.logits(self.embed(inputs(words)), first, size).astype(float))
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
@@ -176,16 +179,23 @@ def train(column, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) ->
     nothing = np.zeros(0)
     if not (labels == 1).any() or not (labels == 0).any():
         return Network(nothing, nothing, {}, float((labels == 1).sum() / (len(labels) + 1)))
-    column = pa.chunked_array([column]).cast(pa.large_string()).combine_chunks() if not isinstance(column, pa.ChunkedArray) else column.cast(pa.large_string()).combine_chunks()
-    (_, _, data, offsets), = K.slices(column, 1 << 62)
-    words = K.find_words(data, offsets, K.ALNUM, K.LOWER)
-    found, doc = inputs(words), words.doc
+    pieces, counts = [], []
+    for _, _, data, offsets in K.slices(column):
+        words = K.find_words(data, offsets, K.ALNUM, K.LOWER)
+        pieces.append(inputs(words))
+        counts.append(words.count)
+    found, bounds = np.concatenate(pieces, axis=1), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+    n_words = found.shape[1]
+    doc = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(bounds))
 
     # Vocabulary, and the log odds of each entry as the first coordinate of its embedding.
-    pairs = np.unique(np.stack([np.tile(doc, 4).astype(K.U), found.ravel()], axis=1), axis=0)
-    pairs = pairs[pairs[:, 1] != 0]
-    known, inverse, texts = np.unique(pairs[:, 1], return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, weights=labels[pairs[:, 0].astype(np.int64)] == 1, minlength=len(known))
+    entries = []
+    for h in found:
+        _, one = np.unique(K.mix(h ^ K.mix(doc.astype(K.U) + K.U(1))), return_index=True)
+        one = one[h[one] != 0]
+        own, inverse, texts = np.unique(h[one], return_inverse=True, return_counts=True)
+        entries.append((own, texts, np.bincount(inverse, weights=labels[doc[one]] == 1, minlength=len(own))))
+    known, texts, toxic = (np.concatenate(e) for e in zip(*entries, strict=True))
     often = np.flatnonzero(texts >= MIN_TEXTS)
     often = often[np.argsort(-texts[often], kind="stable")][:VOCABULARY]
     known, texts, toxic = known[often], texts[often], toxic[often]
@@ -206,11 +216,10 @@ def train(column, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) ->
         w |= {f"{side}_in": wide(EMBED, 3 * HIDDEN), f"{side}_rec": wide(HIDDEN, 3 * HIDDEN), f"{side}_bias": np.zeros(3 * HIDDEN, np.float32)}
     net = Network(keys, rows, w)
 
-    ids = np.zeros((4, len(words) + 1), np.int64)
+    ids = np.zeros((4, n_words + 1), np.int32)
     for k, h in enumerate(found):
-        slot = (h & K.U(_SLOTS - 1)).astype(np.int64)
-        ids[k, :-1] = np.where(keys[slot] == h, rows[slot], 0)
-    text, first, size = windows(words.bounds)
+        ids[k, :-1] = net.lookup(h)
+    text, first, size = windows(bounds)
     starts = np.searchsorted(text, np.arange(len(labels)))
     step = np.arange(WINDOW)[:, None]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
@@ -220,7 +229,7 @@ def train(column, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) ->
     batch = int(np.clip(len(labels) // 12, 32, BATCH))
     turn, epoch = 0, -1
     while (epoch := epoch + 1) < epochs or turn < UPDATES:
-        x = net.embed(words)
+        x = net.embed(found)
         if epoch:
             worth = net.logits(x, first, size)
         else:
@@ -236,7 +245,7 @@ def train(column, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) ->
             part = use[a : a + batch]
             longest = max(1, int(size[part].max()))
             mask = step[:longest] < size[part]
-            at = np.where(mask, first[part] + step[:longest], len(words))
+            at = np.where(mask, first[part] + step[:longest], n_words)
             if len(clean):
                 # A word of clean texts, repeated through a window, is clean as well.
                 same = np.broadcast_to(rng.choice(clean, max(1, len(part) // 8)), (longest, max(1, len(part) // 8)))
