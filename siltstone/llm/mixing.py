@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import WORD, hash60, settle
@@ -25,16 +25,15 @@ ROUNDS = 3
 BROADCAST_SOURCES = 10_000
 
 
-def measured(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """(key, source, sk, size, h): size in words (null text: 0), h from key and text, sk a source key without nulls."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def measured(docs: DataFrame, text: str, source: str, key: str, *carried: Column) -> DataFrame:
+    """(carried.., source, sk, size, h): size in words (null text: 0), h from key and text, sk a source key without nulls."""
     name = F.col(source).cast("string")
     return docs.select(
-        F.col(key),
+        *carried,
         name.alias("source"),
         F.coalesce(F.concat(F.lit("s"), name), F.lit("n")).alias("sk"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        hash60(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), body)).alias("h"),
+        hash60(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))).alias("h"),
     )
 
 
@@ -120,12 +119,12 @@ def plan(base: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
     return small(found)
 
 
-def extra(rounds: int = ROUNDS):
-    """Does a row belong to the part of its source that is taken once more?"""
+def extra(rounds: int = ROUNDS) -> Column:
+    """Does a row belong to the part of its source that is taken once more? Rows without words never do."""
     out = F.col("h") < F.col("t1")
     for k in range(2, rounds + 1):
         out = out | ((F.col("size") <= F.col(f"g{k - 1}")) & (F.col("h") < F.col(f"t{k}")))
-    return out
+    return out & (F.col("size") > 0)
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, *, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -135,23 +134,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     order; a null key is as good as any. Rows equal in key and text share a hash and
     are taken together. An empty table gives none.
     """
-    base = settle(measured(docs, text, source, key), "mix-sizes")
+    base = settle(measured(docs, text, source, key, F.col(key).alias("id")), "mix-sizes")
     copies = (F.col("copies") + extra().cast("bigint")).alias("copies")
-    out = base.join(plan(base, weights, share, cap).drop("source"), "sk").select(key, "size", "source_size", "target", copies)
+    out = base.join(plan(base, weights, share, cap).drop("source"), "sk").select(F.col("id").alias(key), "size", "source_size", "target", copies)
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, *, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The mix itself: the rows of ``docs`` with their columns, each as often as it is taken.
 
-    Rows of size 0 hold no words; they are taken as often as their hash says.
+    Rows without words are taken as often as all rows of their source, never once more.
     """
     base = settle(measured(docs, text, source, key), "mix-sizes")
-    known = measured(docs.select("*", F.struct("*").alias("_row")), text, source, "_row")
+    rows = measured(docs, text, source, key, F.struct("*").alias("row"))
     copies = (F.col("copies") + extra().cast("bigint")).cast("int")
-    keyed = hash60(F.concat(F.coalesce(F.col(f"_row.{key}").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(f"_row.{text}"), F.lit(""))))
-    taken = known.withColumn("h", keyed).join(plan(base, weights, share, cap).drop("source"), "sk")
-    return taken.select("_row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select("_row.*")
+    taken = rows.join(plan(base, weights, share, cap).drop("source"), "sk")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")
 
 
 SQL = r"""
@@ -176,5 +174,5 @@ l1 AS (SELECT *, budget - coalesce(sum(size) FILTER (WHERE x1) OVER (PARTITION B
 r2 AS (SELECT *, NOT x1 AND size <= g1 AND sum(CASE WHEN NOT x1 AND size <= g1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) <= g1 AS x2 FROM l1),
 l2 AS (SELECT *, g1 - coalesce(sum(size) FILTER (WHERE x2) OVER (PARTITION BY source), 0) AS g2 FROM r2),
 r3 AS (SELECT *, NOT x1 AND NOT x2 AND size <= g2 AND sum(CASE WHEN NOT x1 AND NOT x2 AND size <= g2 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) <= g2 AS x3 FROM l2)
-SELECT doc_id, size, source_size, target, copies + (x1 OR x2 OR x3)::BIGINT AS copies, size * (copies + (x1 OR x2 OR x3)::BIGINT) AS taken FROM r3
+SELECT doc_id, size, source_size, target, copies + ((x1 OR x2 OR x3) AND size > 0)::BIGINT AS copies, size * (copies + ((x1 OR x2 OR x3) AND size > 0)::BIGINT) AS taken FROM r3
 """
