@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siltstone.llm import decontam, hamming, lines, mixing, near_dup, pii, quality, sharding, substring, toxicity
 from siltstone.llm.common import held_out, settle, table
 
@@ -77,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_quality,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": lines.SQL,
