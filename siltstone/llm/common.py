@@ -55,15 +55,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
+def settle(df: DataFrame, tag: str, release: bool = False, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     ``release`` also collects the driver's garbage, upon which Spark removes the
-    shuffle files of what led here and is no longer referred to.
+    shuffle files of what led here and is no longer referred to. ``few`` writes two
+    files for each core at most, in place of one for each shuffle partition.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
     if release:
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -65,13 +65,13 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drop_text
     each = rest.filter(F.col(text).isNotNull()).select(row.alias("row"), F.explode(chunks(F.col(text))).alias("c"))
     each = each.filter((F.col("c.n") >= LEAST) & F.col("c.body").rlike(r"\S")).select("row", "c.start", "c.n", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body"))
 
-    again = settle(each.groupBy("h").count().filter("count > 1").select("h"), "chunks-again", release=True)
+    again = settle(each.groupBy("h").count().filter("count > 1").select("h"), "chunks-again", release=True, few=True)
     some = settle(maybe_in(each, "h", membership(again, "h")).filter("_maybe").drop("_maybe"), "chunks")
     place = F.struct("row", "start")
     first = some.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").drop("n_rows")
     later = some.join(first, ["h", "body"]).filter(place != F.col("first"))
     gone = later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("gone"))
-    gone = settle(gone.withColumn("t", F.col("row.t")), "chunks-gone", release=True)
+    gone = settle(gone.withColumn("t", F.col("row.t")), "chunks-gone", release=True, few=True)
 
     keyed = maybe_in(rest.withColumn("_t", F.xxhash64(text)), "_t", membership(gone, "t"))
     g = gone.select(F.col("row.none").alias("_none"), F.col("row.id").alias("_id"), F.col("t").alias("_u"), F.col("gone").alias("_gone"))

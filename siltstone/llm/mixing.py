@@ -90,7 +90,7 @@ def _threshold(rows: DataFrame, budget: DataFrame, small) -> DataFrame:
             )
             .select("sk", "bucket", (F.col("budget") - F.coalesce("below", F.lit(0))).alias("left"))
         )
-        found = settle(found, "mix-level")
+        found = settle(found, "mix-level", few=True)
         ended = found.filter("bucket is null").select("sk", F.lit(1 << BITS).cast("bigint").alias("t"), "left")
         done = ended if done is None else done.unionByName(ended)
         found = found.filter("bucket is not null")
@@ -104,7 +104,7 @@ def _threshold(rows: DataFrame, budget: DataFrame, small) -> DataFrame:
 def plan(base: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """Each source's target and thresholds t1.. with size limits g1..: see ``extra``."""
     base = base.select("source", "sk", "size", "h")
-    found = settle(targets(base, weights, share, cap), "mix-targets")
+    found = settle(targets(base, weights, share, cap), "mix-targets", few=True)
     small = F.broadcast if found.count() <= BROADCAST_SOURCES else (lambda df: df)
     for k in range(1, ROUNDS + 1):
         left = "budget" if k == 1 else f"g{k - 1}"
@@ -115,6 +115,7 @@ def plan(base: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
         found = settle(
             found.join(t, "sk", "left").withColumn(f"t{k}", F.coalesce("t", F.lit(0))).withColumn(f"g{k}", F.coalesce("left", F.col(left))).drop("t", "left"),
             "mix-plan",
+            few=True,
         )
     return small(found)
 

@@ -119,9 +119,9 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = settle(seeded.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("anchors").alias("anchors")), "seeds", release=True)
 
     seeds = texts.select("k1", "k2", F.explode("anchors").alias("h"))
-    again = settle(seeds.groupBy("h").count().filter("count > 1").select("h"), "seeds-again", release=True)
+    again = settle(seeds.groupBy("h").count().filter("count > 1").select("h"), "seeds-again", release=True, few=True)
     hits = maybe_in(seeds, "h", membership(again, "h")).filter("_maybe").drop("_maybe").join(again, "h", "left_semi")
-    known = settle(hits.groupBy("k1", "k2").agg(F.collect_set("h").alias("again")), "seeded-texts", release=True)
+    known = settle(hits.groupBy("k1", "k2").agg(F.collect_set("h").alias("again")), "seeded-texts", release=True, few=True)
 
     bodies = maybe_in(keyed, "k1", membership(known, "k1")).filter("_maybe").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     schema = T.StructType([*key.fields, T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("w1", lists), T.StructField("w2", T.ArrayType(T.IntegerType()))])
@@ -131,10 +131,10 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     each = extended.select("id", F.explode(F.arrays_zip("starts", "w1", "w2")).alias("w")).select("id", "w.starts", "w.w1", "w.w2")
     twice = each.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
     found = each.join(twice, ["w1", "w2"], "left_semi").groupBy("id").agg(F.collect_list("starts").alias("starts"))
-    found = settle(found, "repeated-windows", release=True).join(extended.select("id", "k1", "k2"), "id").select("k1", "k2", "starts")
+    found = settle(found, "repeated-windows", release=True, few=True).join(extended.select("id", "k1", "k2"), "id").select("k1", "k2", "starts")
     copied = texts.filter("copies > 1").select("k1", "k2", "copies")
     both = copied.join(found, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
-    return settle(both, "repeats", release=True)
+    return settle(both, "repeats", release=True, few=True)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", *, drop_text: bool = False) -> DataFrame:
