@@ -37,7 +37,7 @@ def enriched(rows: DataFrame) -> DataFrame:
 
 def enrichment_summary(rows: DataFrame) -> DataFrame:
     """(origin, triage_status, n, with_trace) of all pairs."""
-    return enriched(rows).groupBy("origin", "triage_status").agg(F.count(F.lit(1)).alias("n"), F.count_if("evidence_strength = 'dataflow-trace'").alias("with_trace"))
+    return enriched(rows).groupBy("origin", "triage_status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("evidence_strength = 'dataflow-trace'")).alias("with_trace"))
 
 
 def grouped(rows: DataFrame, by: str) -> DataFrame:

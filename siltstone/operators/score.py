@@ -117,7 +117,7 @@ def severity_deltas(findings: DataFrame) -> DataFrame:
     """(severity, before, after, delta) of the last two scans."""
     days = findings.select("scan_date").distinct().orderBy(F.col("scan_date").desc()).limit(2)
     n = days.withColumn("n", F.row_number().over(Window.orderBy(F.col("scan_date").desc())))
-    per = findings.join(F.broadcast(n), "scan_date").groupBy("severity").agg(F.count_if("n = 2").alias("before"), F.count_if("n = 1").alias("after"))
+    per = findings.join(F.broadcast(n), "scan_date").groupBy("severity").agg(F.count_if(F.expr("n = 2")).alias("before"), F.count_if(F.expr("n = 1")).alias("after"))
     return per.withColumn("delta", F.col("after") - F.col("before"))
 
 
@@ -151,7 +151,7 @@ def control_hits(findings: DataFrame, dim: DataFrame) -> DataFrame:
 
 def coverage(hits: DataFrame) -> DataFrame:
     """(framework, controls, covered, coverage_pct)."""
-    out = hits.groupBy("framework").agg(F.count(F.lit(1)).alias("controls"), F.count_if("status = 'pass'").alias("covered"))
+    out = hits.groupBy("framework").agg(F.count(F.lit(1)).alias("controls"), F.count_if(F.expr("status = 'pass'")).alias("covered"))
     return out.withColumn("coverage_pct", F.round(100.0 * F.col("covered") / F.col("controls"), 4))
 
 

@@ -30,12 +30,14 @@ def settle(df: DataFrame, tag: str, release: bool = False, few: bool = False) ->
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     ``release`` also collects the driver's garbage, upon which Spark removes the
-    shuffle files of what led here and is no longer referred to. ``few`` writes two
-    files for each core at most, in place of one for each shuffle partition.
+    shuffle files of what led here and is no longer referred to. ``few``, for small
+    rows, writes a file for eight shuffle partitions, or two for each core if more.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
+    if few:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    df.write.parquet(path)
     if release:
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -40,4 +40,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duck(query: str) -> str:
     """``query`` over f, the same findings in the other engine's SQL."""
     body = FINDINGS.format(k="json_extract_string(props, '$.k')").replace("AS STRING", "AS VARCHAR")
-    return f"WITH f AS ({body}) {query}" if not query.lstrip().upper().startswith("WITH ") else f"WITH f AS ({body}), {query.lstrip()[5:]}"
+    query = query.strip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if query.startswith(head):
+            return f"{head}f AS ({body}), {query[len(head):]}"
+    return f"WITH f AS ({body}) {query}"
