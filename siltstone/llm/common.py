@@ -4,25 +4,34 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.scratch import scratch_dir, settle
+
+__all__ = ["held_out", "hash60", "maybe_in", "membership", "scratch_dir", "settle", "ship", "table", "text_key"]
+
 #: A word of the corpus: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a membership filter; its broadcast is at most this many / 64 rows whatever the input.
 FILTER_BITS = 1 << 24
+#: Bytes of a batch sent to Python at most (a longer text goes alone), so that memory does not follow the length of texts.
+BATCH_BYTES = 8 << 20
 
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers once per application, so that they need no installation."""
+    """Send this package to the Python workers once per application, so that they need no installation, and bound their batches."""
     context = spark.sparkContext
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark.conf.get(name).rstrip("b")
+    if not bound.isdigit() or int(bound) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
     if context.applicationId not in _shipped:
         top = Path(__file__).resolve().parents[1]
         path = os.path.join(tempfile.mkdtemp(prefix="siltstone-ship-"), f"{top.name}.zip")
@@ -38,38 +47,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder and a cluster
-    the warehouse, which all executors share.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        found = tempfile.mkdtemp(prefix="siltstone-")
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def settle(df: DataFrame, tag: str, release: bool = False, few: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    ``release`` also collects the driver's garbage, upon which Spark removes the
-    shuffle files of what led here and is no longer referred to. ``few`` writes two
-    files for each core at most, in place of one for each shuffle partition.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: str) -> list[Column]:
     """128 bits that stand for a text: columns k1, k2."""
     return [F.xxhash64(F.col(text)).alias("k1"), F.xxhash64(F.lit(1), F.col(text)).alias("k2")]
