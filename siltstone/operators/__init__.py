@@ -1 +1 @@
-"""."""
+"""Operators over findings: DataFrame in, DataFrame out."""

@@ -1 +1,194 @@
-x=1
+"""Queries: scanner reports built from rows as JSON text, read back as findings."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from siltstone.operators import normalize, report, validate
+from siltstone.plans.catalogue import findings, query
+from siltstone.sources import files, tables
+
+# event_id % 20: 0 has another version, 1 is cut off; event_id % 4: level error, warning, note or none given.
+_LEVEL = "CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'medium' END"
+_READABLE = "event_id % 20 > 1"
+_STATED = {"bandit": ("HIGH", "LOW"), "gosec": ("MEDIUM", "HIGH")}
+
+
+def _log(tool: str) -> str:
+    """A log with one result; %s are rule, level, file, line and file again."""
+    rule = {"id": "%s", "defaultConfiguration": {"level": "warning"}, "properties": {"tags": ["security", "CWE-89: injection", "OWASP-A03"]}, "shortDescription": {"text": "title"}}
+    if tool in _STATED:
+        rule["properties"] |= {"issue_severity": _STATED[tool][0], "issue_confidence": _STATED[tool][1]}
+    if tool == "codeql":
+        rule["properties"]["security-severity"] = "9.8"
+    place = {"physicalLocation": {"artifactLocation": {"uri": "%s"}, "region": {"startLine": "@line", "snippet": {"text": "x  = 1"}}}}
+    step = {"location": {"physicalLocation": {"artifactLocation": {"uri": "%s"}, "region": {"startLine": 1}}, "message": {"text": "source"}}}
+    result = {"ruleIndex": 0, "message": {"text": "m"}, "locations": [place], "codeFlows": [{"threadFlows": [{"locations": [step, step]}]}]}
+    log = {"$schema": "s", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": [rule]}}, "results": ["@level"]}]}
+    return json.dumps(log).replace('["@level"]', "[" + "{%s" + json.dumps(result)[1:] + "]").replace('"@line"', "%d")
+
+
+def logs(spark, sf_dir, tool: str):
+    """(event_id, text) of a log for each finding."""
+    level = F.when(F.col("event_id") % 4 == 3, "").otherwise(F.concat(F.lit('"level": "'), F.get(F.array(F.lit("error"), F.lit("warning"), F.lit("note")), (F.col("event_id") % 4).cast("int")), F.lit('", ')))
+    text = F.format_string(_log(tool), "rule_id", level, "file", "start_line", "file", "file")
+    broken = F.when(F.col("event_id") % 20 == 0, F.replace(text, F.lit("2.1.0"), F.lit("2.0.0"))).when(F.col("event_id") % 20 == 1, F.substring(text, 1, 40)).otherwise(text)
+    return findings(spark, sf_dir).select("event_id", broken.alias("text"))
+
+
+def _read(spark, sf_dir, tool: str, name: str | None = None):
+    rows = normalize.from_sarif(files.sarif(logs(spark, sf_dir, tool)), name)
+    return rows.select("event_id", "tool", "rule_id", "severity", "confidence", "file", "start_line", "cwe", "snippet_hash", F.size("evidence.dataflow").alias("steps"))
+
+
+def _expected(tool: str, severity: str, confidence: str) -> str:
+    return f"SELECT event_id, '{tool}' AS tool, rule_id, {severity} AS severity, {confidence} AS confidence, file, start_line, ['CWE-89'] AS cwe, sha256('x = 1') AS snippet_hash, 2 AS steps FROM f WHERE {_READABLE}"
+
+
+@query(_expected("semgrep", _LEVEL, "'medium'"))
+def sarif_semgrep(spark, sf_dir):
+    return _read(spark, sf_dir, "semgrep")
+
+
+@query(_expected("gitleaks", "'high'", "'medium'"))
+def sarif_gitleaks(spark, sf_dir):
+    return _read(spark, sf_dir, "gitleaks")
+
+
+@query(_expected("bandit", "'high'", "'low'"))
+def sarif_bandit(spark, sf_dir):
+    return _read(spark, sf_dir, "bandit")
+
+
+@query(_expected("gosec", "'medium'", "'high'"))
+def sarif_gosec(spark, sf_dir):
+    return _read(spark, sf_dir, "gosec")
+
+
+@query(_expected("codeql", "'critical'", "'high'"))
+def sarif_codeql(spark, sf_dir):
+    return _read(spark, sf_dir, "codeql")
+
+
+@query(f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'gitleaks' ELSE 'semgrep' END AS tool, CASE event_id % 3 WHEN 0 THEN 'high' ELSE {_LEVEL} END AS severity FROM f WHERE {_READABLE} AND event_id % 3 < 2")
+def sarif_dispatch(spark, sf_dir):
+    named = logs(spark, sf_dir, "semgrep").withColumn("tool", F.when(F.col("event_id") % 3 == 0, "gitleaks").when(F.col("event_id") % 3 == 1, "never heard of")).filter("tool is not null")
+    return normalize.dispatched(files.sarif(named)).select("event_id", "tool", "severity")
+
+
+@query("SELECT count(*) AS findings FROM f WHERE false")
+def sarif_checkov_empty(spark, sf_dir):
+    empty = findings(spark, sf_dir).select("event_id", F.lit('{"version": "2.1.0", "runs": []}').alias("text"))
+    return normalize.from_sarif(files.sarif(empty), "checkov").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query("SELECT event_id, CASE event_id % 20 WHEN 0 THEN ['version'] WHEN 1 THEN ['version', 'runs'] ELSE list_filter([''], lambda x: false) END AS errors FROM f")
+def sarif_validate(spark, sf_dir):
+    """A cut text keeps the members read before the cut, so $schema is not missed there."""
+    return validate.sarif(logs(spark, sf_dir, "semgrep")).select("event_id", F.filter("errors", lambda e: e != "$schema").alias("errors"))
+
+
+@query(f"SELECT scan_date, count(*) AS n_runs FROM f WHERE {_READABLE} AND scan_date < DATE '2024-01-03' GROUP BY scan_date")
+def sarif_merge(spark, sf_dir):
+    """The runs of each scan in one log; counted in the log that comes out."""
+    rows = files.sarif(logs(spark, sf_dir, "semgrep").join(findings(spark, sf_dir).select("event_id", "scan_date").filter("scan_date < date '2024-01-03'"), "event_id"))
+    days = [report.merged_sarif(rows.filter(F.col("scan_date") == F.to_date(F.lit(d))), "event_id").select(F.to_date(F.lit(d)).alias("scan_date"), "value") for d in ("2024-01-01", "2024-01-02")]
+    both = files.sarif(days[0].union(days[1]), "value")
+    return both.select("scan_date", F.size("log.runs").cast("bigint").alias("n_runs")).filter("n_runs > 0")
+
+
+@query("SELECT event_id, file, rule_id, CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'info' END AS severity, start_line FROM f")
+def eslint_ingest(spark, sf_dir):
+    level = F.get(F.array(F.lit(2), F.lit(1), F.lit(0)), (F.col("event_id") % 3).cast("int"))
+    text = F.format_string('[{"filePath": "%s", "messages": [{"ruleId": "%s", "severity": %d, "line": %d, "message": "m"}]}, {"filePath": "none", "messages": []}]', "file", "rule_id", level, "start_line")
+    return normalize.from_eslint(findings(spark, sf_dir).select("event_id", text.alias("text"))).select("event_id", "file", "rule_id", "severity", "start_line")
+
+
+_IDENTIFIERS = ("security.remoteCodeExecution", "phpstan.missingReturnType", "unsafe.unserialize", "eval.direct", "shell.cmd", "xss.reflected", "path.traversal", "sql.injection", "unknown.rule")
+
+
+@query(f"SELECT event_id, {list(_IDENTIFIERS)}[event_id % 9 + 1] AS rule_id, CASE event_id % 9 WHEN 1 THEN 'low' WHEN 8 THEN 'medium' ELSE 'high' END AS severity, file, start_line FROM f WHERE event_id % 13 <> 0")
+def phpstan_ingest(spark, sf_dir):
+    """Identifiers with their severities; every thirteenth report has a list for its files and gives nothing."""
+    name = F.get(F.array(*[F.lit(x) for x in _IDENTIFIERS]), (F.col("event_id") % 9).cast("int"))
+    ignorable = F.when(F.col("event_id") % 9 < 2, "true").otherwise("false")
+    good = F.format_string('{"totals": {"errors": 0}, "files": {"%s": {"errors": 1, "messages": [{"message": "m", "line": %d, "ignorable": %s, "identifier": "%s"}]}}}', "file", "start_line", ignorable, name)
+    text = F.when(F.col("event_id") % 13 == 0, '{"files": []}').otherwise(good)
+    return normalize.from_phpstan(findings(spark, sf_dir).select("event_id", text.alias("text"))).select("event_id", "rule_id", "severity", "file", "start_line")
+
+
+@query(
+    """SELECT event_id, rule_id, file, CASE WHEN event_id % 3 = 0 THEN 'likely' END AS status FROM f WHERE event_id % 3 < 2
+    UNION ALL SELECT event_id, 'confirmed-' || rule_id, file, 'confirmed' FROM f WHERE event_id % 3 = 0"""
+)
+def llm_findings(spark, sf_dir):
+    """Envelopes (0), bare lists (1) and broken payloads (2) by event_id % 3."""
+    rows = findings(spark, sf_dir)
+    box = F.format_string(
+        '{"schema_version": "1.0", "session_id": "s", "findings": [{"rule_id": "%s", "file": "%s", "severity": "high", "title": "t", "triage": {"status": "likely"}}], "confirmed_findings": [{"target_id": "T-001", "finding": {"rule_id": "confirmed-%s", "file": "%s", "severity": "low"}}]}',
+        "rule_id", "file", "rule_id", "file",
+    )
+    bare = F.format_string('[{"rule_id": "%s", "file": "%s", "severity": "high"}]', "rule_id", "file")
+    text = F.when(F.col("event_id") % 3 == 0, box).when(F.col("event_id") % 3 == 1, bare).otherwise("not json")
+    return normalize.from_llm(rows.select("event_id", text.alias("text"))).select("event_id", "rule_id", "file", F.col("triage.status").alias("status"))
+
+
+@query("SELECT event_id, [['schema_version', 'agent_review_complete'], ['agent_review_complete'], list_filter([''], lambda x: false), ['agent_review_complete']][event_id % 4 + 1] AS errors FROM f")
+def envelope_validate(spark, sf_dir):
+    texts = ('{"schema_version": "0.9", "findings": []}', '{"schema_version": "1.0", "findings": []}', '{"schema_version": "1.0", "findings": [], "agent_review_complete": true}', "[]")
+    rows = findings(spark, sf_dir).select("event_id", F.get(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 4).cast("int")).alias("text"))
+    return validate.envelopes(rows, agent=True).select("event_id", "errors")
+
+
+@query("SELECT event_id, tool, CASE WHEN event_id % 3 = 1 THEN 'skipped' ELSE 'failed' END AS status, CASE WHEN event_id % 3 = 1 THEN 'pip install ' || tool END AS fix_command FROM f WHERE event_id % 3 > 0")
+def tool_outcomes(spark, sf_dir):
+    rows = findings(spark, sf_dir).select("event_id", "tool", (F.col("event_id") % 3 == 0).alias("success"), F.when(F.col("event_id") % 3 == 1, "tool not installed").otherwise("exit 2").alias("error_message"))
+    out = normalize.tool_outcomes(rows.withColumn("tool", F.concat_ws("#", "event_id", "tool")))
+    at = F.split("tool", "#")
+    return out.select(at[0].cast("bigint").alias("event_id"), at[1].alias("tool"), "status", F.regexp_replace("fix_command", r"\d+#", "").alias("fix_command"))
+
+
+@query("SELECT id, severity, file FROM f UNION ALL SELECT id, severity, file FROM f WHERE event_id % 2 = 0")
+def findings_json(spark, sf_dir):
+    """Findings written as JSON, boxed and bare, and read back."""
+    rows = findings(spark, sf_dir).select("event_id", "id", "severity", "file")
+    item = F.to_json(F.struct("id", "severity", "file"))
+    boxed = rows.select(F.concat(F.lit('{"findings": ['), item, F.lit("]}")).alias("text"))
+    bare = rows.filter("event_id % 2 = 0").select(F.concat(F.lit("["), item, F.lit("]")).alias("text"))
+    return files.findings(boxed.union(bare)).select("id", "severity", "file")
+
+
+@query("SELECT id, origin FROM (SELECT id, 'rules' AS origin FROM f WHERE tool <> 'llm-analyzer' UNION ALL SELECT id, 'llm' FROM f WHERE tool = 'llm-analyzer')")
+def union_findings(spark, sf_dir):
+    rows = findings(spark, sf_dir)
+    rules = rows.filter("tool != 'llm-analyzer'").select("id", F.lit("rules").alias("origin"))
+    return rules.unionByName(rows.filter("tool = 'llm-analyzer'").select(F.lit("llm").alias("origin"), "id"))
+
+
+@query("SELECT 'Case' || doc_id AS name, source AS category, quality = 1 AS real, (doc_id % 900)::INT AS cwe FROM labels JOIN documents USING (doc_id) WHERE doc_id % 7 <> 0", raw=True)
+def ground_truth(spark, sf_dir):
+    """Rows of a truth file with blanks around values and comment rows."""
+    rows = tables.load(spark, sf_dir, "labels").join(tables.load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    name = F.when(F.col("doc_id") % 7 == 0, F.when(F.col("doc_id") % 2 == 0, "  ").otherwise("# comment")).otherwise(F.concat(F.lit(" Case"), F.col("doc_id").cast("string")))
+    raw = rows.select(name.alias("name"), F.concat("source", F.lit(" ")).alias("category"), F.when(F.col("quality") == 1, " True").otherwise("false").alias("real"), (F.col("doc_id") % 900).cast("string").alias("cwe"))
+    return files.ground_truth(raw)
+
+
+@query("SELECT file AS path, [CASE event_id % 2 WHEN 0 THEN 89 ELSE 78 END] AS found, count(*) AS n FROM f GROUP BY 1, 2")
+def semgrep_raw(spark, sf_dir):
+    """Raw results with the CWE as a string or in a list."""
+    from siltstone.functions import text as words
+
+    cwe = F.when(F.col("event_id") % 2 == 0, '"CWE-89: x"').otherwise('["CWE-78", "none"]')
+    texts = findings(spark, sf_dir).select(F.format_string('{"results": [{"path": "%s", "check_id": "%s", "extra": {"metadata": {"cwe": %s}}}]}', "file", "rule_id", cwe).alias("text"))
+    return normalize.semgrep_results(texts).groupBy("path", words.cwe_numbers(F.col("cwe")).alias("found")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT language, 'rules/' || language || '/r' || k || '.yml' AS rule_path, 'rules/' || language || '/tests' AS test_dir, n AS test_files FROM (SELECT DISTINCT source AS language, doc_id % 3 AS k FROM documents), (SELECT 1 AS n)", raw=True)
+def rule_files(spark, sf_dir):
+    docs = tables.load(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 3).alias("k")).distinct()
+    rules = docs.select(F.concat(F.lit("rules/"), "source", F.lit("/r"), F.col("k").cast("string"), F.lit(".yml")).alias("path"))
+    tests = docs.select(F.concat(F.lit("rules/"), "source", F.lit("/tests/t.py")).alias("path")).distinct()
+    return files.rule_tests(rules.union(tests)).select("language", "rule_path", "test_dir", F.size("test_files").alias("test_files"))

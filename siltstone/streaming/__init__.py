@@ -1 +1 @@
-"""."""
+"""Structured Streaming extensions."""
