@@ -19,14 +19,23 @@ ENTRY = r"@app\.(?:route|get|post|put|delete)|http\.HandleFunc\(|export\s+(?:asy
 SECURITY = r"(?i)(^|/)[^/]*(auth|crypto|login|session|password|token)[^/]*$"
 
 
+#: Rules in one broadcast; more go in further passes over the lines.
+RULE_BLOCK = 2000
+
+
 def apply_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, line, rule_id, severity, cwe): lines that match a rule's pattern (rule_id, pattern, severity, cwe).
 
-    Every line meets every rule, so the rules are the broadcast side; patterns are
-    those of Java's regular expressions.
+    Every line meets every rule, there being no key to join on; rules go out in
+    blocks of bounded size. Patterns are those of Java's regular expressions.
     """
-    hit = F.expr("regexp_like(text, pattern)")
-    return rows.join(F.broadcast(rules), hit).select("path", "line", "rule_id", "severity", "cwe")
+    blocks = 1 + rules.count() // RULE_BLOCK
+    out = None
+    for k in range(blocks):
+        block = rules if blocks == 1 else rules.filter(F.pmod(F.xxhash64("rule_id", "pattern"), F.lit(blocks)) == k)
+        hits = rows.join(F.broadcast(block), F.expr("regexp_like(text, pattern)")).select("path", "line", "rule_id", "severity", "cwe")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def taint(files: DataFrame, language: str = "python") -> DataFrame:
@@ -82,11 +91,13 @@ def missing_authorization(route_rows: DataFrame, index: DataFrame) -> DataFrame:
 def protected(urls: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Adds is_protected: a prefix (without its glob) starts the url; an empty one never does.
 
-    Prefixes come from middleware files and are few; the join has no equality, so
-    they are the broadcast side.
+    Urls are cut to each length that a prefix has, so this is a join on equality
+    and needs no nested loop.
     """
     plain = prefixes.select(F.regexp_replace("prefix", r"/?:\w+\*?$|/?\*+$", "").alias("p")).filter("p != ''").distinct()
-    hit = urls.select("url").distinct().join(F.broadcast(plain), F.col("url").startswith(F.col("p")), "left_semi").withColumn("_hit", F.lit(True))
+    sizes = plain.agg(F.coalesce(F.collect_set(F.length("p")), F.array().cast("array<int>")).alias("sizes"))
+    cut = urls.select("url").distinct().crossJoin(F.broadcast(sizes)).select("url", F.explode("sizes").alias("n")).filter(F.length("url") >= F.col("n"))
+    hit = cut.select("url", F.substring("url", F.lit(1), F.col("n")).alias("p")).join(plain, "p", "left_semi").select("url").distinct().withColumn("_hit", F.lit(True))
     return urls.join(hit, "url", "left").withColumn("is_protected", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

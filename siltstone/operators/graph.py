@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.scratch import settle
+from siltstone.scratch import discard, settle
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
     edges = settle(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", few=True)
-    roots = settle(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")), "roots", few=True)
+    last = roots = settle(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")), "roots", few=True)
     while True:
         near = edges.join(roots, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
         hop = roots.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
@@ -24,6 +24,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = hop.join(over, F.col("root") == F.col("at"), "left").select("node", "old", F.least("root", F.coalesce("beyond", "root")).alias("root"))
         after = settle(jump, "roots", few=True)
         moved = after.filter("root < old").limit(1).count()
-        roots = after.select("node", "root")
+        discard(last)
+        last, roots = after, after.select("node", "root")
         if not moved:
+            discard(edges)
             return roots
