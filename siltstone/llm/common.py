@@ -10,9 +10,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.scratch import scratch_dir, settle
+from siltstone.scratch import discard, scratch_dir, settle
 
-__all__ = ["held_out", "hash60", "maybe_in", "membership", "scratch_dir", "settle", "ship", "table", "text_key"]
+__all__ = ["discard", "held_out", "hash60", "maybe_in", "membership", "scratch_dir", "settle", "ship", "table", "text_key"]
 
 #: A word of the corpus: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import maybe_in, membership, settle
+from siltstone.llm.common import discard, maybe_in, membership, settle
 
 #: Lines in the rolling hash are two: the hash is (before * BASE + own) % MODULUS over 28-bit line hashes.
 BASE, MODULUS, DIVISOR = 1000003, 2147483647, 3
@@ -72,6 +72,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drop_text
     later = some.join(first, ["h", "body"]).filter(place != F.col("first"))
     gone = later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("gone"))
     gone = settle(gone.withColumn("t", F.col("row.t")), "chunks-gone", release=True, few=True)
+    discard(again, some)
 
     keyed = maybe_in(rest.withColumn("_t", F.xxhash64(text)), "_t", membership(gone, "t"))
     g = gone.select(F.col("row.none").alias("_none"), F.col("row.id").alias("_id"), F.col("t").alias("_u"), F.col("gone").alias("_gone"))

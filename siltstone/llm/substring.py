@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import kernel as K
-from siltstone.llm.common import maybe_in, membership, settle, ship, text_key
+from siltstone.llm.common import discard, maybe_in, membership, settle, ship, text_key
 
 #: Words of a repeat at least, and of a seed.
 WINDOW, SEED = 35, 12
@@ -131,10 +131,13 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     each = extended.select("id", F.explode(F.arrays_zip("starts", "w1", "w2")).alias("w")).select("id", "w.starts", "w.w1", "w.w2")
     twice = each.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
     found = each.join(twice, ["w1", "w2"], "left_semi").groupBy("id").agg(F.collect_list("starts").alias("starts"))
-    found = settle(found, "repeated-windows", release=True, few=True).join(extended.select("id", "k1", "k2"), "id").select("k1", "k2", "starts")
+    found = settle(found, "repeated-windows", release=True, few=True)
+    starts = found.join(extended.select("id", "k1", "k2"), "id").select("k1", "k2", "starts")
     copied = texts.filter("copies > 1").select("k1", "k2", "copies")
-    both = copied.join(found, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
-    return settle(both, "repeats", release=True, few=True)
+    both = copied.join(starts, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
+    out = settle(both, "repeats", release=True, few=True)
+    discard(texts, again, known, extended, found)
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", *, drop_text: bool = False) -> DataFrame:
