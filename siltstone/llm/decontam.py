@@ -15,7 +15,7 @@ from siltstone.llm import kernel as K
 from siltstone.llm.common import ship
 
 #: Words of a window, and bytes of benchmark text in one broadcast; more text goes in further blocks.
-WINDOW, BLOCK_BYTES = 10, 32 << 20
+WINDOW, BLOCK_BYTES = 10, 4 << 20
 _BITS = 20
 
 
