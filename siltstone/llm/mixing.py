@@ -17,8 +17,8 @@ from siltstone.llm.common import WORD, hash60, settle
 
 #: Weights of the sources in order of code points, repeating; share of all sizes to take; times a source may be taken at most.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-#: Hash bits, and those left below the bucket after each refinement (the last level has single hashes).
-BITS, LEVELS = 60, (48, 36, 24, 0)
+#: Hash bits, and those below the bucket at each level: 16,384 buckets a source, then single hashes in the boundary bucket.
+BITS, LEVELS = 60, (46, 0)
 #: Budget rounds: the first takes rows while they fit, further ones fill the gap with rows that still fit.
 ROUNDS = 3
 #: Sources up to which their table of thresholds is broadcast; beyond it, it is joined by shuffle.
