@@ -88,6 +88,11 @@ def stats(suppressions: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def shown(baseline: DataFrame, suppressions: DataFrame) -> DataFrame:
+    """One row: fingerprints and suppressions in a baseline."""
+    return baseline.agg(F.count(F.lit(1)).alias("fingerprints")).crossJoin(suppressions.agg(F.count(F.lit(1)).alias("suppressions")))
+
+
 def diff(before: DataFrame, after: DataFrame, key: str = "fingerprint") -> DataFrame:
     """(key, change): added, removed or unchanged."""
     a = before.select(key).distinct().withColumn("_a", F.lit(True))

@@ -106,3 +106,32 @@ def benchmark_rows(scores: DataFrame) -> DataFrame:
 def append_history(rows: DataFrame, folder: str) -> None:
     """Adds saved scans beside earlier ones."""
     rows.write.mode("append").json(folder)
+
+
+def comment_table(rows: DataFrame, gate: DataFrame, review_findings_blocking: bool = False) -> DataFrame:
+    """(at, line) of a review comment: mode and verdict, then a line for each severity that occurs."""
+    mode = "strict" if review_findings_blocking else "standard"
+    head = gate.select(F.lit(0).alias("at"), F.concat(F.lit(f"{mode}: "), F.when(F.col("passed"), "passed").otherwise(F.concat(F.lit("blocked by "), F.col("blocking_count").cast("string")))).alias("line"))
+    per = rows.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    body = per.select((5 - severity.rank(F.col("severity"))).alias("at"), F.concat_ws(": ", "severity", F.col("n").cast("string")).alias("line"))
+    return head.unionByName(body)
+
+
+def history_entries(rows: DataFrame) -> DataFrame:
+    """(scan_id, timestamp, total_findings, severity_counts, fingerprints) of each scan, to append to a history."""
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n"))))
+    per = rows.groupBy("scan_date", "severity").agg(F.count(F.lit(1)).cast("int").alias("n"), F.collect_set("fingerprint").alias("prints"))
+    out = per.groupBy("scan_date").agg(F.sum("n").cast("int").alias("total_findings"), counts.alias("severity_counts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("prints")))).alias("fingerprints"))
+    day = F.date_format("scan_date", "yyyy-MM-dd")
+    return out.select(F.concat(F.lit("scan-"), day).alias("scan_id"), F.concat(day, F.lit("T00:00:00Z")).alias("timestamp"), "total_findings", "severity_counts", "fingerprints")
+
+
+def save_plan(targets: DataFrame, folder: str, session_id: str) -> str:
+    """Write a plan's targets; a session id that the folder's plan has already stays. Returns the id in use."""
+    spark = targets.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        known = spark.read.json(folder).select("session_id").first()
+        session_id = known["session_id"] if known else session_id
+    targets.withColumn("session_id", F.lit(session_id)).write.mode("overwrite").json(folder)
+    return session_id

@@ -21,7 +21,7 @@ CATEGORY_CWES = {
     "xpathi": (643,),
     "xss": (79, 80),
 }
-#: Controls and the CWEs they cover, as far as they are known.
+# Controls and the CWEs they cover, as far as they are known.
 CONTROLS = (
     ("soc2", "CC6.1 — Access Control", (22, 862, 863)),
     ("soc2", "CC6.6 — Injection", (78, 89)),

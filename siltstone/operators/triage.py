@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import severity
+from siltstone.functions import severity, text
 
 #: Base scores of risks; what a covered target loses; what each further risk adds. Our choice where a config says nothing.
 RISKS = {"missing-authentication": 3.0, "idor-risk": 2.0, "business-logic": 1.5, "missing-csrf": 0.5}
@@ -47,6 +47,12 @@ def buckets(findings: DataFrame) -> DataFrame:
     return findings.groupBy(bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_context(findings: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
+    """Findings with their bucket and the lines around; files: (path, text), an unreadable one giving no lines."""
+    rows = findings.withColumn("bucket", bucket()).join(files.select(F.col("path").alias("_path"), F.col("text").alias("_text")), F.col("file") == F.col("_path"), "left")
+    return rows.withColumn("lines", text.context(F.col("_text"), F.col("start_line"), around)).drop("_path", "_text")
+
+
 def priority_list(findings: DataFrame, key: str = "event_id") -> DataFrame:
     """Most severe first."""
     return findings.orderBy(severity.rank(F.col("severity")).desc(), F.col(key))

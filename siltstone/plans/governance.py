@@ -60,6 +60,7 @@ def filter_generated(spark, sf_dir):
     return filters.fast(findings(spark, sf_dir)).select("event_id", "file")
 
 
+# Paths whose classification is known.
 _PATHS = ("tests/test_app.py", "src/test/utils.py", "app_test.go", "spec/handler_spec.js", "__tests__/component.test.tsx", "my.test.js", "src/app.py", "testing_framework/README.md", "vendor/lib/a.py", "node_modules/react/index.js", "dist/bundle.js", "app.generated.ts", "api.pb.go", "styles.min.css", "components/Button.tsx", ".gomodcache/x.go")
 
 
@@ -305,3 +306,42 @@ _PROFILES = ("quick", "standard", "deep", "other")
 @query("SELECT event_id, ['code-scanning', 'security-extended', 'security-and-quality', NULL][event_id % 4 + 1] AS suite FROM f")
 def query_suite(spark, sf_dir):
     return findings(spark, sf_dir).select("event_id", languages.suite(F.get(F.array(*[F.lit(p) for p in _PROFILES]), (F.col("event_id") % 4).cast("int"))).alias("suite"))
+
+
+@query(f"WITH {_PRINTED}, {_KNOWN}, {_HELD}, {_CURRENT} SELECT (SELECT count(*) FROM k) AS fingerprints, (SELECT count(*) FROM c) AS suppressions")
+def baseline_show(spark, sf_dir):
+    return baseline.shown(known(spark, sf_dir), baseline.current(held(spark, sf_dir)))
+
+
+@query(f"WITH g AS (SELECT count(*) FILTER (WHERE is_new AND NOT is_suppressed AND {_RANK} >= 3) AS n FROM f) SELECT 0 AS at, CASE WHEN n = 0 THEN 'strict: passed' ELSE 'strict: blocked by ' || n END AS line FROM g UNION ALL SELECT 5 - {_RANK}, severity || ': ' || count(*) FROM f GROUP BY severity")
+def review_comment(spark, sf_dir):
+    rows = findings(spark, sf_dir)
+    return report.comment_table(rows, triage.gate(rows, "high", review_findings_blocking=True), review_findings_blocking=True)
+
+
+@query(f"WITH {_PRINTED} SELECT 'scan-' || scan_date AS scan_id, scan_date || 'T00:00:00Z' AS timestamp, count(*)::INTEGER AS total_findings, count(*) FILTER (WHERE severity = 'high')::INTEGER AS high, list_sort(list(DISTINCT fingerprint)) AS fingerprints FROM p GROUP BY scan_date")
+def history_entries(spark, sf_dir):
+    rows = report.history_entries(printed(spark, sf_dir))
+    return rows.select("scan_id", "timestamp", "total_findings", F.coalesce(F.col("severity_counts")["high"], F.lit(0)).alias("high"), "fingerprints")
+
+
+_CONTEXTS = "CASE WHEN event_id % 2 = 0 THEN 'one,two' ELSE '' END"
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN status = 'false-positive' OR is_suppressed THEN 'false_positive' WHEN status = 'needs-review' THEN 'needs_review' WHEN {_RANK} >= 3 THEN 'priority' WHEN {_RANK} >= 2 THEN 'important' ELSE 'needs_review' END AS bucket,
+    {_CONTEXTS} AS lines FROM f"""
+)
+def bulk_triage(spark, sf_dir):
+    """Every finding with its bucket and code; odd ones have no file to read."""
+    rows = findings(spark, sf_dir).withColumn("file", F.concat("file", F.lit("#"), F.col("event_id").cast("string"))).withColumn("start_line", F.lit(1))
+    sources = rows.filter("event_id % 2 = 0").select(F.col("file").alias("path"), F.lit("one\ntwo").alias("text"))
+    return triage.with_context(rows, sources).select("event_id", "bucket", F.array_join(F.transform("lines", lambda x: x["text"]), ",").alias("lines"))
+
+
+@query("SELECT count(*) AS targets, count(*) FILTER (WHERE severity IN ('critical', 'high')) AS urgent FROM (SELECT file, start_line, rule_id, any_value(severity) AS severity FROM f GROUP BY file, start_line, rule_id)")
+def plan_summary(spark, sf_dir):
+    from siltstone.operators import dedupe
+
+    rows = dedupe.exact(findings(spark, sf_dir))
+    return rows.agg(F.count(F.lit(1)).alias("targets"), F.count_if(F.col("severity").isin("critical", "high")).alias("urgent"))

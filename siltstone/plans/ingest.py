@@ -106,6 +106,7 @@ def eslint_ingest(spark, sf_dir):
     return normalize.from_eslint(findings(spark, sf_dir).select("event_id", text.alias("text"))).select("event_id", "file", "rule_id", "severity", "start_line")
 
 
+# Identifiers whose severities are known.
 _IDENTIFIERS = ("security.remoteCodeExecution", "phpstan.missingReturnType", "unsafe.unserialize", "eval.direct", "shell.cmd", "xss.reflected", "path.traversal", "sql.injection", "unknown.rule")
 
 
