@@ -53,8 +53,9 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def sarif(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``log``; keeps only valid logs of version 2.1.0."""
-    return texts.withColumn("log", F.from_json(text, schemas.SARIF)).filter("log.version = '2.1.0'")
+    """Adds ``log``; keeps only valid logs of version 2.1.0. As a generator's input each text is parsed once."""
+    valid = F.filter(F.array(F.from_json(text, schemas.SARIF)), lambda x: x["version"] == "2.1.0")
+    return texts.select("*", F.explode(valid).alias("log"))
 
 
 def load_sarif(spark: SparkSession, *names: str) -> DataFrame:
