@@ -4,8 +4,9 @@ Each of HASHES hash functions picks the PICKS least of a text's SHINGLE-word
 shingles, labelled by occurrence, and keeps them in text order; two texts agree in one
 such value as their edit similarity is high. Texts that agree in a value are
 compared with the first of their bucket, and in large buckets also with the first
-of those that agree in further values, so work is in proportion to the texts and
-no bucket is compared in all its pairs. Verified links make classes.
+of those that agree in further values. What these links leave apart in a bucket is
+then compared pair by pair, so a large bucket costs little if its texts are alike
+and the square of its classes if not. Verified links make classes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from siltstone.operators.graph import components
 SHINGLE, SIMILAR, HASHES, PICKS = 5, 0.8, 32, 2
 #: Texts of at most so many shingles, of which one edit changes many, also have the least shingle of each hash function alone.
 SHORT = 96
-#: A bucket of more texts is also divided by further values.
+#: A bucket of more texts is first also divided by further values.
 LARGE = 4
 _PLACE = 28
 _SEEDS = K.mix(np.arange(1, 2 * HASHES + 1, dtype=K.U) * K.U(0xA0761D6478BD642F)).reshape(2, HASHES) | K.U(1)
@@ -163,8 +164,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Table (a, b), b < a: each text with the first of every bucket it is in, of buckets of texts alike in length."""
+def _alike(pairs: DataFrame) -> DataFrame:
+    """The pairs of texts alike in length; others cannot align."""
+    return pairs.filter(F.least("a_words", "b_words") >= F.greatest("a_words", "b_words") * SIMILAR)
+
+
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (a, b), b < a, of each text with the first of every bucket it is in, of those alike in length; and (one, id) of the buckets."""
     place = F.posexplode("sketch").alias("i", "one")
     rows = nodes.filter("n_words > 0").select("id", "sketch", place)
     row = F.col("i") - F.col("i") % HASHES
@@ -180,27 +186,58 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         rows = member.filter(f"n > {LARGE}").select("id", "two", "three")
     size = nodes.select("id", "n_words")
     sized = found.distinct().join(size.toDF("a", "a_words"), "a").join(size.toDF("b", "b_words"), "b")
-    alike = F.least("a_words", "b_words") >= F.greatest("a_words", "b_words") * SIMILAR
-    out = settle(sized.filter(alike).select("a", "b"), "pairs", release=True, few=True)
-    discard(*members)
+    out = settle(_alike(sized).select("a", "b"), "pairs", release=True, few=True)
+    discard(*members[1:])
+    return out, members[0]
+
+
+def _rest(nodes: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
+    """Table (a, b), b < a: all pairs of a bucket that are alike in length and that ``links`` do not lead to each other yet."""
+    roots = settle(components(links), "linked", few=True)
+    size = nodes.select("id", "n_words").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    rows = member.select("one", "id").join(size.select("id", "n_words", F.coalesce("root", "id").alias("root")), "id")
+    rows = settle(rows, "rooted", release=True, few=True)
+    split = rows.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("one")
+    open_ = settle(rows.join(split, "one"), "open", release=True, few=True)
+    a = open_.select("one", F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("n_words").alias("a_words"))
+    b = open_.select("one", F.col("id").alias("b"), F.col("root").alias("b_root"), F.col("n_words").alias("b_words"))
+    pairs = _alike(a.join(b, "one").filter("b < a and a_root != b_root")).select("a", "b").distinct()
+    out = settle(pairs, "rest", release=True, few=True)
+    discard(roots, rows, open_)
     return out
 
 
+def _aligned(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Table of the pairs whose texts align."""
+    part = settle(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "k1", "k2"), "paired", few=True)
+    bodies = maybe_in(keyed.select("k1", "k2", "text"), "k1", membership(part, "k1")).filter("_maybe").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    bodies = settle(bodies.join(part, ["k1", "k2"]).select("id", "text"), "bodies", release=True, few=True)
+    full = pairs.join(bodies.toDF("a", "a_text"), "a").join(bodies.toDF("b", "b_text"), "b").select("a", "b", "a_text", "b_text")
+    links = settle(full.mapInArrow(_verify, T.StructType().add("a", "long").add("b", "long")), "links", release=True, few=True)
+    discard(part, bodies)
+    return links
+
+
 def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Different texts (id, k1, k2, first_doc, copies, ...) and the verified links (a, b) between their ids."""
+    """Different texts (id, k1, k2, first_doc, copies, ...) and the verified links (a, b) between their ids.
+
+    Links to the first of a bucket come first; then every other pair of the bucket
+    that these do not lead to each other is aligned as well, so classes are those of
+    all pairs in all buckets.
+    """
     ship(docs.sparkSession)
     keyed = docs.filter(F.col(text).isNotNull()).select(*text_key(text), F.col(text).alias("text"), F.col(key).alias("doc"))
     schema = T.StructType().add("k1", "long").add("k2", "long").add("n_words", "long").add("sketch", T.ArrayType(T.LongType())).add("doc", keyed.schema["doc"].dataType)
     rows = keyed.mapInArrow(_sketches, schema)
     texts = rows.groupBy("k1", "k2").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
     nodes = settle(texts.withColumn("id", F.monotonically_increasing_id()), "texts", release=True, few=True)
-    pairs = _candidates(nodes)
-    part = settle(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "k1", "k2"), "paired", few=True)
-    bodies = maybe_in(keyed.select("k1", "k2", "text"), "k1", membership(part, "k1")).filter("_maybe").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    bodies = settle(bodies.join(part, ["k1", "k2"]).select("id", "text"), "bodies", release=True, few=True)
-    full = pairs.join(bodies.toDF("a", "a_text"), "a").join(bodies.toDF("b", "b_text"), "b").select("a", "b", "a_text", "b_text")
-    links = settle(full.mapInArrow(_verify, T.StructType().add("a", "long").add("b", "long")), "links", release=True, few=True)
-    discard(pairs, part, bodies)
+    pairs, member = _candidates(nodes)
+    stars = _aligned(keyed, nodes, pairs)
+    rest = _rest(nodes, member, stars)
+    discard(member)
+    more = _aligned(keyed, nodes, rest)
+    links = settle(stars.unionByName(more), "links", release=True, few=True)
+    discard(pairs, rest, stars, more)
     return nodes, links
 
 

@@ -215,6 +215,46 @@ def test_near_duplicates_equal_brute_force(docs, corpus):
     assert kept.filter("text is not null").count() == len(want) and kept.filter("text is null").count() == 2
 
 
+def test_near_duplicates_inside_a_family(spark):
+    """Planted pairs among dissimilar variants of one text: classes are those of all aligned pairs of all buckets."""
+    rng = random.Random(11)
+
+    def variant(text, share, tag):
+        at = set(rng.sample(range(len(text)), round(len(text) * share)))
+        return [f"{tag}x{k}" if k in at else w for k, w in enumerate(text)]
+
+    rows, planted = [], []
+    for f in range(6):
+        base = [f"b{f}w{k}" for k in range(250)]
+        rows += [(f * 1000 + i, " ".join(variant(base, 0.16, f"f{f}n{i}"))) for i in range(100)]
+        planted.append((f * 1000 + 900, f * 1000 + 901))
+        rows += [(i, " ".join(variant(base, 0.08, f"p{i}"))) for i in planted[-1]]
+    raw = "".join(t for _, t in rows).encode()
+    found = kernel.find_words(np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t) for _, t in rows)]), kernel.NON_SPACE)
+    hashes, sketch, buckets = found.hashes(), near_dup.sketch(found), defaultdict(list)
+    for d in range(len(rows)):
+        for x in set(sketch[d].tolist()) - {0}:
+            buckets[x].append(d)
+    root = list(range(len(rows)))
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    own = [hashes[found.bounds[d] : found.bounds[d + 1]] for d in range(len(rows))]
+    for a, b in {(a, b) for g in buckets.values() for a in g for b in g if b < a}:
+        if near_dup.similar(own[a], own[b]):
+            root[find(a)] = find(b)
+    want, got = defaultdict(set), defaultdict(set)
+    for d, (i, _) in enumerate(rows):
+        want[find(d)].add(i)
+    for r in near_dup.label(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        got[r["class_id"]].add(r["doc_id"])
+    assert sum(set(p) in want.values() for p in planted) >= 4
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dup.label(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
 
