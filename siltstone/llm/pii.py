@@ -43,7 +43,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}((?: ?[A-Z0-9]){11,30}+))")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_-]{0,39}[0-9])[A-Za-z0-9_-]{32,128}+(?![A-Za-z0-9_+/-])")
 _DIGIT = re.compile(r"[0-9]")
@@ -67,6 +67,23 @@ def mod97(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest stretch from each start that ends with a word and passes the check; at most 20 are tried a start."""
+    last = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < last:
+            continue
+        end, n = m.end(1), sum(c != " " for c in m.group(1)) + 4
+        while n >= 15:
+            if text[end - 1] != " ":
+                if not (end < len(text) and text[end].isascii() and text[end].isalnum()) and mod97(text[m.start() : end]):
+                    last = end
+                    yield m.start(), end
+                    break
+                n -= 1
+            end -= 1
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     last, at = 0, text.find("@")
     while at >= 0:
@@ -98,9 +115,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
     for m in _PHONE.finditer(text):
         if 9 <= len(digits(m.group())) <= 15:
             yield "phone", m.start(), m.end(), PRIOR["phone"]
-    for m in _IBAN.finditer(text):
-        if mod97(m.group()):
-            yield "iban", m.start(), m.end(), PRIOR["iban"] + 0.3
+    for start, end in _ibans(text):
+        yield "iban", start, end, PRIOR["iban"] + 0.3
     for m in _SSN.finditer(text):
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

@@ -84,6 +84,19 @@ def test_pii_checks_and_context():
     assert pii.spans(None) == pii.spans("") == []
 
 
+@pytest.mark.parametrize("number", ["GB29 NWBK 6016 1331 9268 19", "GB29NWBK60161331926819", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", " BIC: X", " The bank", " 2 days", " I said", ", ok", " and DE89 3704 0044 0532 0130 00", "\n"])
+def test_pii_account_numbers_end_where_their_check_does(number, after):
+    text = f"to {number}{after}"
+    found = [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"]
+    assert found == [number, *(["DE89 3704 0044 0532 0130 00"] if "DE89" in after else [])]
+    assert not [s for s in pii.spans(f"to {number}7{after}") + pii.spans(f"to x{number}{after}") if s[0] == "iban" and s[1] < len(number)]
+
+
+def test_pii_account_numbers_are_linear():
+    assert not [s for s in pii.spans("GB29 " * 60_000 + "A" * 300_000) if s[0] == "iban"]
+
+
 def test_pii_matches_plain_patterns():
     rng = random.Random(1)
     for _ in range(3000):
