@@ -45,7 +45,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}((?: ?[A-Z0-9]){11,30}+))")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_-]{0,39}[0-9])[A-Za-z0-9_-]{32,128}+(?![A-Za-z0-9_+/-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_-]{32,}+(?![A-Za-z0-9_+/-])")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -122,7 +122,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield "ssn", m.start(), m.end(), PRIOR["ssn"]
     for m in _SECRET.finditer(text):
-        yield "secret", m.start(), m.end(), PRIOR["secret"]
+        if _DIGIT.search(text, m.start(), m.end()):
+            yield "secret", m.start(), m.end(), PRIOR["secret"]
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:

@@ -97,6 +97,12 @@ def test_pii_account_numbers_are_linear():
     assert not [s for s in pii.spans("GB29 " * 60_000 + "A" * 300_000) if s[0] == "iban"]
 
 
+@pytest.mark.parametrize("secret", ["a1" * 16, "a" * 60 + "1", "b7" * 80, "k" * 500 + "9"])
+def test_pii_secrets_of_any_length(secret):
+    assert [s[:3] for s in pii.spans(f"token {secret} ok")] == [("secret", 6, 6 + len(secret))]
+    assert not pii.spans("token " + "k" * len(secret)) and not pii.spans(f"so {secret}")
+
+
 def test_pii_matches_plain_patterns():
     rng = random.Random(1)
     for _ in range(3000):
