@@ -25,8 +25,6 @@ from siltstone.operators.graph import components
 
 #: Words of a shingle; least share of words that stay in an alignment; hash functions and shingles that each picks.
 SHINGLE, SIMILAR, HASHES, PICKS = 5, 0.8, 32, 2
-#: Texts of at most so many shingles, of which one edit changes many, also have the least shingle of each hash function alone.
-SHORT = 96
 #: A bucket of more texts is first also divided by further values.
 LARGE = 4
 _PLACE = 28
@@ -34,7 +32,10 @@ _SEEDS = K.mix(np.arange(1, 2 * HASHES + 1, dtype=K.U) * K.U(0xA0761D6478BD642F)
 
 
 def sketch(words: K.Words) -> np.ndarray:
-    """Two rows of HASHES values for each text: of PICKS shingles, and for short texts of one (else zeros).
+    """Two rows of HASHES values for each text: of PICKS shingles, and of the least one alone.
+
+    Scattered edits of a fifth of the words leave a fifth of the shingles in common, too
+    few for picks of several.
 
     A text under SHINGLE words has one shingle, all its words; one without words zeros.
     """
@@ -61,7 +62,6 @@ def sketch(words: K.Words) -> np.ndarray:
     labelled = K.mix(grams + number * K.U(0x9E3779B97F4A7C15))
     start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     text = owner[start]
-    short = np.diff(np.append(start, len(at))) <= SHORT
     place = (np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))).astype(K.U)
     low, none = K.U((1 << _PLACE) - 1), K.U(0xFFFFFFFFFFFFFFFF)
     for j in range(HASHES):
@@ -78,7 +78,7 @@ def sketch(words: K.Words) -> np.ndarray:
         for spot in np.sort(np.stack(picked), axis=0):
             total = np.where(spot < 0, total, K.mix(total * K.U(0xD6E8FEB86659FD93) + grams[np.maximum(spot, 0)]))
         out[text, j] = total
-        out[text[short], HASHES + j] = K.mix(grams[picked[0][short]] + _SEEDS[1, j])
+        out[text, HASHES + j] = K.mix(grams[picked[0]] + _SEEDS[1, j])
     return out
 
 

@@ -274,6 +274,19 @@ def test_near_duplicates_inside_a_family(spark):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+@pytest.mark.parametrize("size", [60, 105, 250, 1000])
+def test_sketches_agree_at_the_threshold(size):
+    """Of pairs with a fifth of the words changed here and there, over 0.99 share a value."""
+    rng, texts = random.Random(size), []
+    for p in range(500):
+        at = set(rng.sample(range(size), size // 5))
+        texts += [" ".join(f"{p}w{k}" for k in range(size)), " ".join(f"{p}x{k}" if k in at else f"{p}w{k}" for k in range(size))]
+    found = kernel.find_words(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]), kernel.NON_SPACE)
+    values = near_dup.sketch(found).reshape(500, 2, -1)
+    share = ((values[:, 0] == values[:, 1]) & (values[:, 0] != 0)).any(1).mean()
+    assert share > 0.99
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dup.label(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
 
