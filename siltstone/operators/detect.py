@@ -57,6 +57,16 @@ def taint(files: DataFrame, language: str = "python") -> DataFrame:
     return flows.join(cleaned, between, "left_anti").select("path", "rule_id", "cwe", "variable", "source_line", "sink_line")
 
 
+def word_flows(rows: DataFrame) -> DataFrame:
+    """(path, source_line, sink_line, variable): a word that opens a line and stands in a later line, no sanitizer's line between or at it naming the word."""
+    named = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("variable")
+    source = rows.select("path", F.col("line").alias("source_line"), F.regexp_extract("text", r"^(\w+)", 1).alias("variable")).filter(F.col("variable").rlike("^[A-Za-z]+$"))
+    flows = source.join(rows.select("path", F.col("line").alias("sink_line"), named), ["path", "variable"]).filter("source_line < sink_line")
+    cleaned = rows.filter(F.col("text").rlike(text.SANITIZERS)).select("path", F.col("line").alias("at"), named)
+    between = (flows["path"] == cleaned["path"]) & (flows["variable"] == cleaned["variable"]) & (cleaned["at"] > flows["source_line"]) & (cleaned["at"] <= flows["sink_line"])
+    return flows.join(cleaned, between, "left_anti").select("path", "source_line", "sink_line", "variable")
+
+
 def functions(files: DataFrame) -> DataFrame:
     """(name, path, is_service, has_db_query, has_ownership_check); the flags are of the file."""
     return files.select(

@@ -115,7 +115,7 @@ def taint_typescript(spark, sf_dir):
     return detect.taint(code(spark, sf_dir).filter("path like '%.ts'").select("path", "text"), "typescript")
 
 
-# Lines of documents as flows: a word that opens one line and stands in a later line of the same document, with no stop between.
+# Lines of a tenth of the documents as flows: a word that opens one line and stands in a later line of the same document. taint_lines has them all.
 @query(
     f"""WITH {_LINES}, s AS (SELECT path, line, regexp_extract(text, '^(\\w+)', 1) AS v FROM l WHERE doc_id % 10 = 3), k AS (SELECT path, line, unnest(list_distinct(regexp_extract_all(text, '(\\w+)', 1))) AS v FROM l WHERE doc_id % 10 = 3)
     SELECT s.path, s.line AS source_line, k.line AS sink_line, s.v AS variable FROM s JOIN k ON s.path = k.path AND s.v = k.v AND s.line < k.line WHERE s.v <> '' AND regexp_matches(s.v, '^[A-Za-z]+$')""",
@@ -128,6 +128,12 @@ def taint_self_join(spark, sf_dir):
     return source.join(sink, ["path", "variable"]).filter("source_line < sink_line").select("path", "source_line", "sink_line", "variable")
 
 
+@query()
+def taint_lines(spark, sf_dir):
+    """Flows in the lines of all documents, none past a sanitizer; without SQL, tested against brute force."""
+    return detect.word_flows(files.lines(documents(spark, sf_dir)))
+
+
 @query(f"SELECT {_FILE} AS path, 'readInvoice' AS name, 'CWE-862' AS cwe FROM f WHERE event_id % 6 = 2")
 def missing_authz(spark, sf_dir):
     rows = code(spark, sf_dir).select("path", "text")
