@@ -34,7 +34,7 @@ def masks(radius: int) -> np.ndarray:
 
 
 def codes(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(key, code): bit i says whether element i is above zero. Missing and null elements count as zero; null vectors drop out."""
+    """(key, code): bit i says whether element i is above zero. Missing and null elements count as zero; null vectors drop out, and one of more than BITS elements is an error."""
     ship(vectors.sparkSession)
     rows = vectors.filter(F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("v"))
 
@@ -43,11 +43,12 @@ def codes(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding")
             column = batch.column(1)
             flat = np.nan_to_num(np.asarray(column.flatten().to_numpy(zero_copy_only=False), float))
             size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if (size > BITS).any():
+                raise ValueError(f"a vector has {size.max()} elements, a code {BITS}")
             edge = np.cumsum(size) - size
             place = np.arange(len(flat)) - np.repeat(edge, size)
             bits = np.zeros((len(size), BITS), bool)
-            inside = place < BITS
-            bits[np.repeat(np.arange(len(size)), size)[inside], place[inside]] = flat[inside] > 0
+            bits[np.repeat(np.arange(len(size)), size), place] = flat > 0
             code = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel() if len(size) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.int64())], ["id", "code"])
 

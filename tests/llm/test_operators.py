@@ -505,3 +505,10 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(hamming, "BLOCK", 9)
     assert {tuple(r) for r in hamming.top_k(df).collect()} == want
     assert hamming.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_refuses_longer_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0] * 64), (1, [1.0] * 65)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="a vector has 65 elements"):
+        hamming.codes(df).collect()
+    assert hamming.codes(df.limit(1)).collect()[0]["code"] == -1
