@@ -1,17 +1,22 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
 Each of HASHES hash functions picks the PICKS least of a text's SHINGLE-word
-shingles, labelled by occurrence, and keeps them in text order; two texts agree in one
-such value as their edit similarity is high. Texts that agree in a value are
-compared with the first of their bucket, and in large buckets also with the first
-of those that agree in further values. What these links leave apart in a bucket is
-then compared pair by pair, so a large bucket costs little if its texts are alike
-and the square of its classes if not. Verified links make classes.
+shingles, labelled by occurrence, and keeps them in text order. Every two of them, in
+that order, are a value of the text; texts that share a value share a bucket. The
+begin and the end of a text are shingles too, so that short texts are found by
+single shingles under the same rule.
+
+Each text is first aligned with two hubs of its buckets. What these links leave
+apart in a bucket is compared pair by pair by word histograms, which bound the edit
+distance from below and so lose no pair, and the pairs that pass are aligned too,
+the likeliest of each text first. Large buckets are compared block by block. Verified links make classes: those of
+all aligned pairs of all buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,45 +29,61 @@ from siltstone.llm.common import discard, maybe_in, membership, settle, ship, te
 from siltstone.operators.graph import components
 
 #: Words of a shingle; least share of words that stay in an alignment; hash functions and shingles that each picks.
-SHINGLE, SIMILAR, HASHES, PICKS = 5, 0.8, 32, 2
-#: A bucket of more texts is first also divided by further values.
-LARGE = 4
+SHINGLE, SIMILAR, HASHES, PICKS = 5, 0.8, 20, 4
+#: Bins of a text's word histogram; members of a bucket that one task compares with as many others.
+BINS, BLOCK = 256, 1 << 13
+#: Pairs compared at a time in a task.
+_LANES = 1 << 15
 _PLACE = 28
 _SEEDS = K.mix(np.arange(1, 2 * HASHES + 1, dtype=K.U) * K.U(0xA0761D6478BD642F)).reshape(2, HASHES) | K.U(1)
+_BEGIN, _END = K.mix(np.array([0xB5, 0xE9], K.U))
 
 
-def sketch(words: K.Words) -> np.ndarray:
-    """Two rows of HASHES values for each text: of PICKS shingles, and of the least one alone.
+def _pool(words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts with words, start of each one's stretch, shingle hashes): a begin, the shingles in order and an end for each.
 
-    Scattered edits of a fifth of the words leave a fifth of the shingles in common, too
-    few for picks of several.
+    A text under SHINGLE words has one shingle, all its words.
+    """
+    text = np.flatnonzero(words.count)
+    count = words.count[text]
+    grams = np.zeros(len(words), K.U)
+    hashes = words.hashes()
+    whole = K.grams(hashes, SHINGLE)
+    grams[: len(whole)] = whole
+    for d in text[count < SHINGLE].tolist():
+        own = hashes[words.bounds[d] : words.bounds[d + 1]]
+        grams[words.bounds[d]] = K.grams(own, len(own))[0]
+    size = np.maximum(count - SHINGLE + 1, 1) + 2
+    start = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(start, size)
+    pool = np.zeros(len(place), K.U)
+    inside = (place > 0) & (place < np.repeat(size, size) - 1)
+    pool[inside] = grams[(np.repeat(words.bounds[text], size) + place - 1)[inside]]
+    pool[start], pool[start + size - 1] = _BEGIN, _END
+    return text, start, pool
 
-    A text under SHINGLE words has one shingle, all its words; one without words zeros.
+
+def sketch(words: K.Words) -> np.ndarray:
+    """One row of values for each text, of every two picks of each hash function; 0 where there is none.
+
+    Equal values say that two texts have the same two shingles in the same order.
+    A text without words has zeros only.
     """
-    n = len(words.bounds) - 1
-    out = np.zeros((n, 2 * HASHES), K.U)
+    two = list(combinations(range(PICKS), 2))
+    out = np.zeros((len(words.bounds) - 1, HASHES * len(two)), K.U)
     if not len(words):
         return out
-    hashes, count, doc = words.hashes(), words.count, words.doc
-    grams = K.grams(hashes, SHINGLE)
-    at = np.flatnonzero(doc[: len(grams)] == doc[SHINGLE - 1 :]) if len(grams) else np.zeros(0, np.int64)
-    grams, owner = grams[at], doc[at]
-    for d in np.flatnonzero((count > 0) & (count < SHINGLE)).tolist():
-        own = hashes[words.bounds[d] : words.bounds[d + 1]]
-        out[d, :HASHES] = K.mix(K.grams(own, len(own))[0] + _SEEDS[0])
-    if not len(grams):
-        return out
+    text, start, pool = _pool(words)
+    size = np.diff(np.append(start, len(pool)))
+    owner = np.repeat(np.arange(len(text)), size)
     # Occurrences of a shingle in its text are numbered.
-    order = np.lexsort((grams, owner))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (grams[order][1:] != grams[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    first = np.flatnonzero(fresh)
-    number = np.empty(len(order), K.U)
+    own = K.mix(pool ^ K.mix(owner.astype(K.U) + K.U(1)))
+    order = np.argsort(own, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+    number = np.empty(len(pool), K.U)
     number[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    labelled = K.mix(grams + number * K.U(0x9E3779B97F4A7C15))
-    start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    text = owner[start]
-    place = (np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))).astype(K.U)
+    labelled = K.mix(pool + number * K.U(0x9E3779B97F4A7C15))
+    place = (np.arange(len(pool)) - start[owner]).astype(K.U)
     low, none = K.U((1 << _PLACE) - 1), K.U(0xFFFFFFFFFFFFFFFF)
     for j in range(HASHES):
         value = (labelled ^ _SEEDS[0, j]) * _SEEDS[1, j]
@@ -71,17 +92,46 @@ def sketch(words: K.Words) -> np.ndarray:
         picked = []
         for _ in range(PICKS):
             least = np.minimum.reduceat(value, start)
-            spot = start + (least & low).astype(np.int64)
-            picked.append(np.where(least == none, -1, spot))
+            spot = np.where(least == none, len(pool), start + (least & low).astype(np.int64))
+            picked.append(spot)
             value[spot[least != none]] = none
-        total = np.full(len(text), _SEEDS[0, j], K.U)
-        for spot in np.sort(np.stack(picked), axis=0):
-            total = np.where(spot < 0, total, K.mix(total * K.U(0xD6E8FEB86659FD93) + grams[np.maximum(spot, 0)]))
-        out[text, j] = total
-        out[text, HASHES + j] = K.mix(grams[picked[0]] + _SEEDS[1, j])
+        picked = np.sort(np.stack(picked), axis=0)
+        for k, (a, b) in enumerate(two):
+            there = picked[b] < len(pool)
+            x, y = pool[picked[a][there]], pool[picked[b][there]]
+            both = K.mix(x * K.U(0xD6E8FEB86659FD93) + K.mix(y))
+            out[text[there], j * len(two) + k] = np.where((x == _BEGIN) & (y == _END), K.U(0), both)
     return out
 
 
+def histograms(words: K.Words) -> np.ndarray:
+    """How many words of each text fall in each of BINS bins, 255 at most: a row of bytes for each text."""
+    n = len(words.bounds) - 1
+    out = np.zeros((n, BINS), np.uint8)
+    bin_ = (words.hashes() >> K.U(64 - BINS.bit_length() + 1)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    for a in range(0, n, 4096):
+        b = min(n, a + 4096)
+        i, j = words.bounds[a], words.bounds[b]
+        owner = np.repeat(np.arange(b - a), words.count[a:b])
+        out[a:b] = np.minimum(np.bincount(owner * BINS + bin_[i:j], minlength=(b - a) * BINS), 255).reshape(b - a, BINS)
+    return out
+
+
+def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lower bounds of the edit distances of the texts of paired histograms.
+
+    An edit changes at most one word on each side, so the words of one text beyond
+    those of the other, bin by bin, have to be edited.
+    """
+    common = np.minimum(a, b).sum(1, dtype=np.int64)
+    return np.maximum(a.sum(1, dtype=np.int64), b.sum(1, dtype=np.int64)) - common
+
+
+def most_edits(a_words: np.ndarray, b_words: np.ndarray) -> np.ndarray:
+    """Edits that an alignment of texts of so many words may have."""
+    return (np.maximum(a_words, b_words) * (1 - SIMILAR) + 1e-9).astype(np.int64)
+
+
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences of hashes, or most + 1 if it is larger; only a band of diagonals is kept.
 
@@ -137,16 +187,35 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return distance(a, b, most) <= most
 
 
+def _strings(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as an Arrow column."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _bytes(column) -> np.ndarray:
+    """A column of _strings as rows of bytes."""
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(n, BINS)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        count, values = [np.zeros(0, np.int64)], [np.zeros((0, 2 * HASHES), K.U)]
+        count, bins = [np.zeros(0, np.int64)], [np.zeros((0, BINS), np.uint8)]
+        values, sizes = [np.zeros(0, K.U)], [np.zeros(0, np.int64)]
         for _, _, data, offsets in K.slices(batch.column(2)):
             words = K.find_words(data, offsets, K.NON_SPACE)
             count.append(words.count)
-            values.append(sketch(words))
-        flat = np.concatenate(values).view(np.int64).ravel()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * 2 * HASHES), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(count).astype(np.int64)), lists, batch.column(3)], ["k1", "k2", "n_words", "sketch", "doc"])
+            bins.append(histograms(words))
+            own = np.sort(sketch(words), axis=1)
+            keep = own != 0
+            keep[:, 1:] &= own[:, 1:] != own[:, :-1]
+            values.append(own[keep])
+            sizes.append(keep.sum(1))
+        edge = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(values).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(count).astype(np.int64)), lists, _strings(np.concatenate(bins)), batch.column(3)], ["k1", "k2", "n_words", "sketch", "bins", "doc"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,56 +233,125 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """The pairs of texts alike in length; others cannot align."""
-    return pairs.filter(F.least("a_words", "b_words") >= F.greatest("a_words", "b_words") * SIMILAR)
-
-
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables (a, b), b < a, of each text with the first of every bucket it is in, of those alike in length; and (one, id) of the buckets."""
-    place = F.posexplode("sketch").alias("i", "one")
-    rows = nodes.filter("n_words > 0").select("id", "sketch", place)
-    row = F.col("i") - F.col("i") % HASHES
-    further = [F.xxhash64("one", *(F.col("sketch")[row + (F.col("i") + k) % HASHES] for k in steps)) for steps in ((1,), (1, 2))]
-    rows = rows.filter("one != 0").select("id", "one", further[0].alias("two"), further[1].alias("three"))
-    found, members = None, []
-    for level in ("one", "two", "three"):
-        first = rows.groupBy(level).agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        member = settle(rows.join(first, level), f"bucket-{level}", release=True, few=True)
-        members.append(member)
-        pairs = member.filter("id != b").select(F.col("id").alias("a"), "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        rows = member.filter(f"n > {LARGE}").select("id", "two", "three")
-    size = nodes.select("id", "n_words")
-    sized = found.distinct().join(size.toDF("a", "a_words"), "a").join(size.toDF("b", "b_words"), "b")
-    out = settle(_alike(sized).select("a", "b"), "pairs", release=True, few=True)
-    discard(*members[1:])
-    return out, members[0]
-
-
-def _rest(nodes: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
-    """Table (a, b), b < a: all pairs of a bucket that are alike in length and that ``links`` do not lead to each other yet."""
-    roots = settle(components(links), "linked", few=True)
-    size = nodes.select("id", "n_words").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    rows = member.select("one", "id").join(size.select("id", "n_words", F.coalesce("root", "id").alias("root")), "id")
-    rows = settle(rows, "rooted", release=True, few=True)
-    split = rows.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("one")
-    open_ = settle(rows.join(split, "one"), "open", release=True, few=True)
-    a = open_.select("one", F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("n_words").alias("a_words"))
-    b = open_.select("one", F.col("id").alias("b"), F.col("root").alias("b_root"), F.col("n_words").alias("b_words"))
-    pairs = _alike(a.join(b, "one").filter("b < a and a_root != b_root")).select("a", "b").distinct()
-    out = settle(pairs, "rest", release=True, few=True)
-    discard(roots, rows, open_)
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep the pairs (a, b) that their histograms allow."""
+    for batch in batches:
+        a_words, b_words = (batch.column(k).to_numpy() for k in (2, 4))
+        keep = least_edits(_bytes(batch.column(3)), _bytes(batch.column(5))) <= most_edits(a_words, b_words)
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _across(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """From members (one, x, y, part, root, id, n_words, bins) in order of one, x, y, root: rows of _FOUND for the pairs of a group with unlike roots that may align.
+
+    A group is a pair of blocks x, y of a bucket; part is the member's own block.
+    Where x and y differ, the pairs are those of one block with the other. A group
+    has 2 * BLOCK members at most and may go on in the next batch. ``best`` keeps, of
+    the pairs of a member seen at a time, one with the lowest bound.
+    """
+    names = ["one", "x", "y", "part", "root", "id", "n_words"]
+
+    def pairs(column: dict[str, np.ndarray], bins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(bins)
+        group = np.ones(n, bool)
+        group[1:] = False
+        for c in ("one", "x", "y"):
+            group[1:] |= column[c][1:] != column[c][:-1]
+        family = group.copy()
+        family[1:] |= column["root"][1:] != column["root"][:-1]
+        group_end = np.append(np.flatnonzero(group), n)[np.cumsum(group)]
+        # Members of other roots in the same group follow the own root's.
+        begin = np.append(np.flatnonzero(family), n)[np.cumsum(family)]
+        count = group_end - begin
+        done = np.cumsum(count)
+        at = 0
+        while at < n:
+            upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _LANES, "right")))
+            own = count[at:upto]
+            i = np.repeat(np.arange(at, upto), own)
+            j = begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+            at = upto
+            words = column["n_words"]
+            other = (column["x"][i] == column["y"][i]) | (column["part"][i] != column["part"][j])
+            close = np.minimum(words[i], words[j]) >= np.maximum(words[i], words[j]) * SIMILAR
+            i, j = i[other & close], j[other & close]
+            for k in range(0, len(i), _LANES):
+                p, q = i[k : k + _LANES], j[k : k + _LANES]
+                least = least_edits(bins[p], bins[q])
+                good = np.flatnonzero(least <= most_edits(words[p], words[q]))
+                p, q, least = p[good], q[good], least[good]
+                if best:
+                    p, q, least = np.concatenate((p, q)), np.concatenate((q, p)), np.concatenate((least, least))
+                    order = np.lexsort((least, p))
+                    order = order[np.append(True, np.diff(p[order]) != 0)[: len(order)]]
+                    p, q, least = p[order], q[order], least[order]
+                yield pa.RecordBatch.from_arrays([pa.array(column["id"][p]), pa.array(column["id"][q]), pa.array(least)], _FOUND.names)
+
+    held: dict[str, np.ndarray] = {}
+    held_bins = np.zeros((0, BINS), np.uint8)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = {c: batch.column(k).to_numpy() for k, c in enumerate(names)}
+        bins = _bytes(batch.column(7))
+        if held:
+            column = {c: np.concatenate((held[c], column[c])) for c in names}
+            bins = np.concatenate((held_bins, bins))
+        # The last group may go on.
+        last = np.flatnonzero((column["one"] != column["one"][-1]) | (column["x"] != column["x"][-1]) | (column["y"] != column["y"][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield from pairs({c: v[:cut] for c, v in column.items()}, bins[:cut])
+        held, held_bins = {c: v[cut:].copy() for c, v in column.items()}, bins[cut:].copy()
+    if held:
+        yield from pairs(held, held_bins)
+
+
+_PAIR = T.StructType().add("a", "long").add("b", "long")
+_FOUND = T.StructType().add("a", "long").add("b", "long").add("least", "long")
+
+
+def _hubs(nodes: DataFrame, member: DataFrame) -> DataFrame:
+    """Table (a, b), b < a: each text with two hubs of its buckets, the least one and that of its largest bucket, if they may align.
+
+    The hub of a bucket is its text with the least id.
+    """
+    pick = member.filter("id != b").groupBy("id").agg(F.min("b").alias("least"), F.max(F.struct("n", "b")).alias("most"))
+    pairs = pick.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("least", "most.b"))).alias("b"))
+    size = nodes.select("id", "n_words", "bins")
+    sized = pairs.join(size.toDF("a", "a_words", "a_bins"), "a").join(size.toDF("b", "b_words", "b_bins"), "b")
+    sized = sized.filter(F.least("a_words", "b_words") >= F.greatest("a_words", "b_words") * SIMILAR)
+    return settle(sized.select("a", "b", "a_words", "a_bins", "b_words", "b_bins").mapInArrow(_plausible, _PAIR), "hubs", release=True)
+
+
+def _rest(nodes: DataFrame, member: DataFrame, links: DataFrame, best: bool) -> DataFrame:
+    """Table (a, b): all pairs of a bucket that may align and that ``links`` do not lead to each other yet; ``best``: of each text the likeliest one."""
+    roots = components(links)
+    known = nodes.select("id", "n_words").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    rooted = settle(member.select("one", "id", "n").join(known, "id"), "rooted", release=True)
+    split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("one")
+    open_ = rooted.join(split, "one").join(nodes.select("id", "n_words", "bins"), "id")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    part = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    dealt = open_.select("one", part.alias("part"), other, "root", "id", "n_words", "bins")
+    dealt = dealt.select("one", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "id", "n_words", "bins")
+    grouped = dealt.repartition("one", "x", "y").sortWithinPartitions("one", "x", "y", "root")
+    found = grouped.mapInArrow(lambda batches: _across(batches, best), _FOUND)
+    if best:
+        found = found.groupBy("a").agg(F.min_by("b", F.struct("least", "b")).alias("b"))
+    out = settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest", release=True)
+    discard(roots, rooted)
     return out
 
 
 def _aligned(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Table of the pairs whose texts align."""
-    part = settle(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "k1", "k2"), "paired", few=True)
+    part = settle(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "k1", "k2"), "paired")
     bodies = maybe_in(keyed.select("k1", "k2", "text"), "k1", membership(part, "k1")).filter("_maybe").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    bodies = settle(bodies.join(part, ["k1", "k2"]).select("id", "text"), "bodies", release=True, few=True)
+    bodies = settle(bodies.join(part, ["k1", "k2"]).select("id", "text"), "bodies", release=True)
     full = pairs.join(bodies.toDF("a", "a_text"), "a").join(bodies.toDF("b", "b_text"), "b").select("a", "b", "a_text", "b_text")
-    links = settle(full.mapInArrow(_verify, T.StructType().add("a", "long").add("b", "long")), "links", release=True, few=True)
+    links = settle(full.mapInArrow(_verify, _PAIR), "links", release=True)
     discard(part, bodies)
     return links
 
@@ -221,23 +359,30 @@ def _aligned(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Different texts (id, k1, k2, first_doc, copies, ...) and the verified links (a, b) between their ids.
 
-    Links to the first of a bucket come first; then every other pair of the bucket
-    that these do not lead to each other is aligned as well, so classes are those of
-    all pairs in all buckets.
+    Links to hubs come first, then the likeliest pair of each text with one of
+    another class in its buckets; then every other pair of a bucket that these do not lead to each
+    other and that may align is aligned as well, so classes are those of all pairs in
+    all buckets.
     """
     ship(docs.sparkSession)
     keyed = docs.filter(F.col(text).isNotNull()).select(*text_key(text), F.col(text).alias("text"), F.col(key).alias("doc"))
-    schema = T.StructType().add("k1", "long").add("k2", "long").add("n_words", "long").add("sketch", T.ArrayType(T.LongType())).add("doc", keyed.schema["doc"].dataType)
+    schema = T.StructType().add("k1", "long").add("k2", "long").add("n_words", "long").add("sketch", T.ArrayType(T.LongType())).add("bins", "binary").add("doc", keyed.schema["doc"].dataType)
     rows = keyed.mapInArrow(_sketches, schema)
-    texts = rows.groupBy("k1", "k2").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
-    nodes = settle(texts.withColumn("id", F.monotonically_increasing_id()), "texts", release=True, few=True)
-    pairs, member = _candidates(nodes)
-    stars = _aligned(keyed, nodes, pairs)
-    rest = _rest(nodes, member, stars)
+    texts = rows.groupBy("k1", "k2").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n_words", "sketch", "bins")))
+    nodes = settle(texts.withColumn("id", F.monotonically_increasing_id()), "texts", release=True)
+    values = nodes.select("id", F.explode("sketch").alias("one"))
+    first = values.groupBy("one").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = settle(values.join(first, "one"), "buckets", release=True)
+    hubs = _hubs(nodes, member)
+    links = _aligned(keyed, nodes, hubs)
+    discard(hubs)
+    for best in (True, False):
+        rest = _rest(nodes, member, links, best)
+        more = _aligned(keyed, nodes, rest)
+        both = settle(links.unionByName(more), "links", release=True)
+        discard(rest, links, more)
+        links = both
     discard(member)
-    more = _aligned(keyed, nodes, rest)
-    links = settle(stars.unionByName(more), "links", release=True, few=True)
-    discard(pairs, rest, stars, more)
     return nodes, links
 
 
@@ -257,12 +402,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     named = nodes.join(roots.join(degree, "node", "left").withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = settle(named.select("k1", "k2", "first_doc", "copies", "root", F.coalesce("links", F.lit(0)).alias("links")), "named", few=True)
+    named = settle(named.select("k1", "k2", "first_doc", "copies", "root", F.coalesce("links", F.lit(0)).alias("links")), "named")
     least = F.min(F.struct(F.col("first_doc").isNull().alias("x"), F.col("first_doc").alias("first"), F.col("k1").alias("k")))
     whole = named.groupBy("root").agg(least.alias("m"), F.sum("copies").alias("class_size"))
     leader = (F.col("m.k") == F.col("k1")) & F.col("m.first").eqNullSafe(F.col("first_doc"))
     out = named.join(whole, "root").select("k1", "k2", _class_id(F.col("m.first"), F.col("m.k")).alias("class_id"), "class_size", "copies", "links", leader.alias("leader"))
-    out = settle(out, "classes", few=True)
+    out = settle(out, "classes")
     discard(nodes, links, named)
     return out
 

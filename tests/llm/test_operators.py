@@ -274,17 +274,46 @@ def test_near_duplicates_inside_a_family(spark):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
-@pytest.mark.parametrize("size", [60, 105, 250, 1000])
+@pytest.mark.parametrize("size", [(20, 20), (50, 50), (60, 60), (99, 102), (105, 105), (250, 250), (300, 300), (1000, 1000)])
 def test_sketches_agree_at_the_threshold(size):
-    """Of pairs with a fifth of the words changed here and there, over 0.99 share a value."""
-    rng, texts = random.Random(size), []
+    """Of pairs with a fifth of the words changed here and there, over 0.99 (0.9 of the shortest) share a value."""
+    rng, texts = random.Random(size[1]), []
     for p in range(500):
-        at = set(rng.sample(range(size), size // 5))
-        texts += [" ".join(f"{p}w{k}" for k in range(size)), " ".join(f"{p}x{k}" if k in at else f"{p}w{k}" for k in range(size))]
+        at = set(rng.sample(range(size[0]), size[1] // 5 - (size[1] - size[0])))
+        texts += [" ".join(f"{p}w{k}" for k in range(size[0])), " ".join([f"{p}x{k}" if k in at else f"{p}w{k}" for k in range(size[0])] + [f"{p}y{k}" for k in range(size[1] - size[0])])]
     found = kernel.find_words(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]), kernel.NON_SPACE)
-    values = near_dup.sketch(found).reshape(500, 2, -1)
-    share = ((values[:, 0] == values[:, 1]) & (values[:, 0] != 0)).any(1).mean()
-    assert share > 0.99
+    hashes = found.hashes()
+    assert near_dup.similar(hashes[: found.bounds[1]], hashes[found.bounds[1] : found.bounds[2]])
+    values = [set(v.tolist()) - {0} for v in near_dup.sketch(found)]
+    share = np.mean([not a.isdisjoint(b) for a, b in zip(values[::2], values[1::2], strict=True)])
+    assert share > (0.99 if size[0] > 30 else 0.9)
+
+
+def test_sketch_values_keep_the_order():
+    texts = ["a b c d e f g h", "e f g h a b c d"]
+    found = kernel.find_words(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]), kernel.NON_SPACE)
+    _, start, pool = near_dup._pool(found)
+    assert start.tolist() == [0, 6] and pool[0] == pool[6] and pool[5] == pool[11] and len(set(pool.tolist())) == 10
+    one, two = (set(v.tolist()) - {0} for v in near_dup.sketch(found))
+    assert one and two and one.isdisjoint(two)
+
+
+def test_histograms_bound_the_edit_distance():
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [rng.randint(0, 40) for _ in range(rng.randint(1, 30))]
+        b = [x for x in a if rng.random() < 0.8] + [rng.randint(0, 40) for _ in range(rng.randint(0, 4))]
+        text = [" ".join(map(str, x)) for x in (a, b)]
+        found = kernel.find_words(np.frombuffer("".join(text).encode(), np.uint8), np.cumsum([0, *map(len, text)]), kernel.NON_SPACE)
+        bins = near_dup.histograms(found)
+        assert near_dup.least_edits(bins[:1], bins[1:])[0] <= plain_distance(a, b)
+
+
+def test_large_buckets_in_blocks_are_the_same(spark, docs, monkeypatch):
+    once = pairs(near_dup.label(docs), "doc_id", "class_id", "class_size")
+    monkeypatch.setattr(near_dup, "BLOCK", 2)
+    monkeypatch.setattr(near_dup, "_LANES", 3)
+    assert pairs(near_dup.label(docs), "doc_id", "class_id", "class_size") == once
 
 
 def test_near_duplicates_of_nothing(empty):
