@@ -324,25 +324,29 @@ def _hubs(nodes: DataFrame, member: DataFrame) -> DataFrame:
     return settle(sized.select("a", "b", "a_words", "a_bins", "b_words", "b_bins").mapInArrow(_plausible, _PAIR), "hubs", release=True)
 
 
-def _rest(nodes: DataFrame, member: DataFrame, links: DataFrame, best: bool) -> DataFrame:
-    """Table (a, b): all pairs of a bucket that may align and that ``links`` do not lead to each other yet; ``best``: of each text the likeliest one."""
+def _open(nodes: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (one, id, n, root) of the buckets that ``links`` do not lead together; root is the least text that they lead to."""
     roots = components(links)
-    known = nodes.select("id", "n_words").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    known = nodes.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     rooted = settle(member.select("one", "id", "n").join(known, "id"), "rooted", release=True)
     split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("one")
-    open_ = rooted.join(split, "one").join(nodes.select("id", "n_words", "bins"), "id")
+    out = settle(rooted.join(split, "one"), "open", release=True)
+    discard(roots, rooted)
+    return out
+
+
+def _rest(nodes: DataFrame, member: DataFrame, best: bool) -> DataFrame:
+    """Table (a, b): all pairs of a bucket that may align and have unlike roots; ``best``: of each text the likeliest one."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     part = F.pmod(F.xxhash64("id"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    dealt = open_.select("one", part.alias("part"), other, "root", "id", "n_words", "bins")
+    dealt = member.join(nodes.select("id", "n_words", "bins"), "id").select("one", part.alias("part"), other, "root", "id", "n_words", "bins")
     dealt = dealt.select("one", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "id", "n_words", "bins")
     grouped = dealt.repartition("one", "x", "y").sortWithinPartitions("one", "x", "y", "root")
     found = grouped.mapInArrow(lambda batches: _across(batches, best), _FOUND)
     if best:
         found = found.groupBy("a").agg(F.min_by("b", F.struct("least", "b")).alias("b"))
-    out = settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest", release=True)
-    discard(roots, rooted)
-    return out
+    return settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest", release=True)
 
 
 def _aligned(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -359,8 +363,8 @@ def _aligned(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Different texts (id, k1, k2, first_doc, copies, ...) and the verified links (a, b) between their ids.
 
-    Links to hubs come first, then the likeliest pair of each text with one of
-    another class in its buckets; then every other pair of a bucket that these do not lead to each
+    Links to hubs come first, then, twice, the likeliest pair of each text with
+    one of another class in its buckets; then every other pair of a bucket that these do not lead to each
     other and that may align is aligned as well, so classes are those of all pairs in
     all buckets.
     """
@@ -376,12 +380,14 @@ def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     hubs = _hubs(nodes, member)
     links = _aligned(keyed, nodes, hubs)
     discard(hubs)
-    for best in (True, False):
-        rest = _rest(nodes, member, links, best)
+    for best in (True, True, False):
+        # Classes only grow, so what is open later is open now.
+        left = _open(nodes, member, links)
+        rest = _rest(nodes, left, best)
         more = _aligned(keyed, nodes, rest)
         both = settle(links.unionByName(more), "links", release=True)
-        discard(rest, links, more)
-        links = both
+        discard(member, rest, links, more)
+        member, links = left, both
     discard(member)
     return nodes, links
 
