@@ -8,9 +8,10 @@ single shingles under the same rule.
 
 Each text is first aligned with two hubs of its buckets. What these links leave
 apart in a bucket is compared pair by pair by word histograms, which bound the edit
-distance from below and so lose no pair, and the pairs that pass are aligned too,
-the likeliest of each text first. Large buckets are compared block by block. Verified links make classes: those of
-all aligned pairs of all buckets.
+distance from below and so lose no pair; texts with such partners meet in their
+bucket and are aligned there, the likeliest pairs first, unless they are linked
+already. Large buckets are compared block by block. Verified links make classes:
+those of all aligned pairs of all buckets.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ from siltstone.operators.graph import components
 
 #: Words of a shingle; least share of words that stay in an alignment; hash functions and shingles that each picks.
 SHINGLE, SIMILAR, HASHES, PICKS = 5, 0.8, 20, 4
-#: Bins of a text's word histogram; members of a bucket that one task compares with as many others.
-BINS, BLOCK = 256, 1 << 13
-#: Pairs compared at a time in a task.
-_LANES = 1 << 15
+#: Bins of a text's word histogram; words of the members of a bucket that one task compares with as many others.
+BINS, BLOCK = 256, 1 << 20
+#: Pairs compared at a time in a task, and alignments between two looks at what is linked by then.
+_LANES, _TURN = 1 << 15, 256
 _PLACE = 28
 _SEEDS = K.mix(np.arange(1, 2 * HASHES + 1, dtype=K.U) * K.U(0xA0761D6478BD642F)).reshape(2, HASHES) | K.U(1)
-_BEGIN, _END = K.mix(np.array([0xB5, 0xE9], K.U))
+#: Far from any row number, with whose hashes they are mixed.
+_BEGIN, _END = K.mix(np.array([1 << 62, 3 << 61], K.U))
 
 
 def _pool(words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,74 +243,132 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
-    """From members (one, x, y, part, root, id, n_words, bins) in order of one, x, y, root: rows of _FOUND for the pairs of a group with unlike roots that may align.
+#: A group is a pair of blocks x, y of a bucket; part is the member's own block. Where x and y differ, its pairs are those of one block with the other.
+_GROUP = ["one", "x", "y"]
+_MEMBER = T.StructType().add("one", "long").add("x", "integer").add("y", "integer").add("part", "integer").add("root", "long").add("id", "long").add("n_words", "long")
 
-    A group is a pair of blocks x, y of a bucket; part is the member's own block.
-    Where x and y differ, the pairs are those of one block with the other. A group
-    has 2 * BLOCK members at most and may go on in the next batch. ``best`` keeps, of
-    the pairs of a member seen at a time, one with the lowest bound.
-    """
-    names = ["one", "x", "y", "part", "root", "id", "n_words"]
-
-    def pairs(column: dict[str, np.ndarray], bins: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(bins)
-        group = np.ones(n, bool)
-        group[1:] = False
-        for c in ("one", "x", "y"):
-            group[1:] |= column[c][1:] != column[c][:-1]
-        family = group.copy()
-        family[1:] |= column["root"][1:] != column["root"][:-1]
-        group_end = np.append(np.flatnonzero(group), n)[np.cumsum(group)]
-        # Members of other roots in the same group follow the own root's.
-        begin = np.append(np.flatnonzero(family), n)[np.cumsum(family)]
-        count = group_end - begin
-        done = np.cumsum(count)
-        at = 0
-        while at < n:
-            upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _LANES, "right")))
-            own = count[at:upto]
-            i = np.repeat(np.arange(at, upto), own)
-            j = begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
-            at = upto
-            words = column["n_words"]
-            other = (column["x"][i] == column["y"][i]) | (column["part"][i] != column["part"][j])
-            close = np.minimum(words[i], words[j]) >= np.maximum(words[i], words[j]) * SIMILAR
-            i, j = i[other & close], j[other & close]
-            for k in range(0, len(i), _LANES):
-                p, q = i[k : k + _LANES], j[k : k + _LANES]
-                least = least_edits(bins[p], bins[q])
-                good = np.flatnonzero(least <= most_edits(words[p], words[q]))
-                p, q, least = p[good], q[good], least[good]
-                if best:
-                    p, q, least = np.concatenate((p, q)), np.concatenate((q, p)), np.concatenate((least, least))
-                    order = np.lexsort((least, p))
-                    order = order[np.append(True, np.diff(p[order]) != 0)[: len(order)]]
-                    p, q, least = p[order], q[order], least[order]
-                yield pa.RecordBatch.from_arrays([pa.array(column["id"][p]), pa.array(column["id"][q]), pa.array(least)], _FOUND.names)
-
-    held: dict[str, np.ndarray] = {}
-    held_bins = np.zeros((0, BINS), np.uint8)
+
+def _starts(column: dict[str, np.ndarray], names: list[str]) -> np.ndarray:
+    """Where a row differs from the one before in any of the named columns."""
+    out = np.ones(len(column[names[0]]), bool)
+    out[1:] = False
+    for c in names:
+        out[1:] |= column[c][1:] != column[c][:-1]
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches regrouped so that no group, of rows in order, goes on in the next."""
+    held = None
     for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if not batch.num_rows:
             continue
-        column = {c: batch.column(k).to_numpy() for k, c in enumerate(names)}
-        bins = _bytes(batch.column(7))
-        if held:
-            column = {c: np.concatenate((held[c], column[c])) for c in names}
-            bins = np.concatenate((held_bins, bins))
-        # The last group may go on.
-        last = np.flatnonzero((column["one"] != column["one"][-1]) | (column["x"] != column["x"][-1]) | (column["y"] != column["y"][-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
+        cut = int(np.flatnonzero(_starts({c: batch.column(c).to_numpy() for c in _GROUP}, _GROUP))[-1])
         if cut:
-            yield from pairs({c: v[:cut] for c, v in column.items()}, bins[:cut])
-        held, held_bins = {c: v[cut:].copy() for c, v in column.items()}, bins[cut:].copy()
-    if held:
-        yield from pairs(held, held_bins)
+            yield batch.slice(0, cut)
+        held = batch.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _across(column: dict[str, np.ndarray], bins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bound) of the pairs in a group with unlike roots that may align, of members in order of group and root."""
+    n = len(bins)
+    group = _starts(column, _GROUP)
+    family = _starts(column, [*_GROUP, "root"])
+    # Members of other roots in the same group follow the own root's.
+    begin = np.append(np.flatnonzero(family), n)[np.cumsum(family)]
+    count = np.append(np.flatnonzero(group), n)[np.cumsum(group)] - begin
+    done, words = np.cumsum(count), column["n_words"]
+    at = 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _LANES, "right")))
+        own = count[at:upto]
+        i = np.repeat(np.arange(at, upto), own)
+        j = begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        at = upto
+        keep = (column["x"][i] == column["y"][i]) | (column["part"][i] != column["part"][j])
+        keep &= np.minimum(words[i], words[j]) >= np.maximum(words[i], words[j]) * SIMILAR
+        i, j = i[keep], j[keep]
+        for k in range(0, len(i), _LANES):
+            p, q = i[k : k + _LANES], j[k : k + _LANES]
+            least = least_edits(bins[p], bins[q])
+            good = np.flatnonzero(least <= most_edits(words[p], words[q]))
+            yield p[good], q[good], least[good]
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep the members that may align with one of another root in their group."""
+    for batch in _whole_groups(batches):
+        column = {c: batch.column(c).to_numpy() for c in _MEMBER.names}
+        some = np.zeros(batch.num_rows, bool)
+        for i, j, _ in _across(column, _bytes(batch.column("bins"))):
+            some[i] = some[j] = True
+        yield batch.select(_MEMBER.names).filter(pa.array(some))
+
+
+def _shared_below(values: list[np.ndarray], one: int) -> np.ndarray:
+    """Which members share a value below that of their bucket, and so meet in another one: a square matrix."""
+    below = [v[v < np.int64(one)] for v in values]
+    flat = np.concatenate(below)
+    owner = np.repeat(np.arange(len(below)), [len(v) for v in below])
+    known, inverse, often = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1
+    shared = often[inverse] > 1
+    total = np.zeros((len(below), len(below)), bool)
+    for a in range(0, int((often > 1).sum()), 4096):
+        here = shared & (number[inverse] >= a) & (number[inverse] < a + 4096)
+        table = np.zeros((len(below), 4096), np.float32)
+        table[owner[here], number[inverse[here]] - a] = 1
+        total |= table @ table.T > 0
+    return total
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) from members with their texts: in each group alignments of unlike roots, until what aligns is linked.
+
+    A pair that meets in several buckets is looked at in that of its least value.
+    """
+    for batch in _whole_groups(batches):
+        column = {c: batch.column(c).to_numpy() for c in _MEMBER.names}
+        sequences, values, bins = [], [], []
+        for i, j, data, offsets in K.slices(batch.column("text")):
+            words = K.find_words(data, offsets, K.NON_SPACE)
+            hashes = words.hashes()
+            sequences += [hashes[words.bounds[d] : words.bounds[d + 1]] for d in range(j - i)]
+            values += list(sketch(words).view(np.int64))
+            bins.append(histograms(words))
+        found = [np.stack(p) for p in _across(column, np.concatenate(bins))]
+        i, j, least = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        starts = np.append(np.flatnonzero(_starts(column, _GROUP)), batch.num_rows)
+        group = np.searchsorted(starts, i, "right") - 1
+        order = np.lexsort((least, group))
+        i, j, group = i[order], j[order], group[order]
+        links: list[tuple[int, int]] = []
+        edges = np.flatnonzero(np.append(True, np.diff(group) != 0)) if len(group) else np.zeros(0, np.int64)
+        for a, b in zip(edges, np.append(edges[1:], len(group)), strict=True):
+            first, last = starts[group[a]], starts[group[a] + 1]
+            elsewhere = _shared_below([np.unique(v[v != 0]) for v in values[first:last]], column["one"][first])
+            p, q = i[a:b] - first, j[a:b] - first
+            keep = ~elsewhere[p, q]
+            p, q = p[keep], q[keep]
+            label = np.unique(column["root"][first:last], return_inverse=True)[1]
+            while len(p):
+                for x, y in zip(p[:_TURN].tolist(), q[:_TURN].tolist(), strict=True):
+                    if label[x] != label[y] and similar(sequences[first + x], sequences[first + y]):
+                        links.append((first + x, first + y))
+                        label[label == label[y]] = label[x]
+                p, q = p[_TURN:], q[_TURN:]
+                apart = label[p] != label[q]
+                p, q = p[apart], q[apart]
+        at = np.array(links, np.int64).reshape(-1, 2)
+        ids = np.sort(column["id"][at], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[:, 1]), pa.array(ids[:, 0])], ["a", "b"])
 
 
 _PAIR = T.StructType().add("a", "long").add("b", "long")
-_FOUND = T.StructType().add("a", "long").add("b", "long").add("least", "long")
 
 
 def _hubs(nodes: DataFrame, member: DataFrame) -> DataFrame:
@@ -325,48 +385,45 @@ def _hubs(nodes: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _open(nodes: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (one, id, n, root) of the buckets that ``links`` do not lead together; root is the least text that they lead to."""
+    """Members with their histograms, in groups and order, of the buckets that ``links`` do not lead together."""
     roots = components(links)
-    known = nodes.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    rooted = settle(member.select("one", "id", "n").join(known, "id"), "rooted", release=True)
-    split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("one")
-    out = settle(rooted.join(split, "one"), "open", release=True)
+    known = nodes.select("id", "n_words").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n_words", F.coalesce("root", "id").alias("root"))
+    rooted = settle(member.select("one", "id").join(known, "id"), "rooted", release=True)
+    split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum("n_words").alias("words")).filter("least < most")
+    out = rooted.join(split.select("one", F.ceil(F.col("words") / F.lit(BLOCK)).cast("int").alias("blocks")), "one")
+    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")
+    dealt = out.select("one", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "root", "id")
+    dealt = dealt.join(nodes.select("id", "n_words", "bins"), "id").select("one", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "id", "n_words", "bins")
+    out = settle(_grouped(dealt).mapInArrow(_partnered, _MEMBER), "open", release=True)
     discard(roots, rooted)
     return out
 
 
-def _rest(nodes: DataFrame, member: DataFrame, best: bool) -> DataFrame:
-    """Table (a, b): all pairs of a bucket that may align and have unlike roots; ``best``: of each text the likeliest one."""
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    part = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    dealt = member.join(nodes.select("id", "n_words", "bins"), "id").select("one", part.alias("part"), other, "root", "id", "n_words", "bins")
-    dealt = dealt.select("one", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "id", "n_words", "bins")
-    grouped = dealt.repartition("one", "x", "y").sortWithinPartitions("one", "x", "y", "root")
-    found = grouped.mapInArrow(lambda batches: _across(batches, best), _FOUND)
-    if best:
-        found = found.groupBy("a").agg(F.min_by("b", F.struct("least", "b")).alias("b"))
-    return settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest", release=True)
+def _grouped(members: DataFrame) -> DataFrame:
+    return members.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "root")
 
 
-def _aligned(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Table of the pairs whose texts align."""
-    part = settle(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "k1", "k2"), "paired")
+def _bodies(keyed: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Table (id, text) of the texts with these ids."""
+    part = settle(nodes.join(ids.distinct(), "id", "left_semi").select("id", "k1", "k2"), "paired")
     bodies = maybe_in(keyed.select("k1", "k2", "text"), "k1", membership(part, "k1")).filter("_maybe").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    bodies = settle(bodies.join(part, ["k1", "k2"]).select("id", "text"), "bodies", release=True)
+    out = settle(bodies.join(part, ["k1", "k2"]).select("id", "text"), "bodies", release=True)
+    discard(part)
+    return out
+
+
+def _aligned(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Table of the pairs whose texts align."""
     full = pairs.join(bodies.toDF("a", "a_text"), "a").join(bodies.toDF("b", "b_text"), "b").select("a", "b", "a_text", "b_text")
-    links = settle(full.mapInArrow(_verify, _PAIR), "links", release=True)
-    discard(part, bodies)
-    return links
+    return settle(full.mapInArrow(_verify, _PAIR), "links", release=True)
 
 
 def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Different texts (id, k1, k2, first_doc, copies, ...) and the verified links (a, b) between their ids.
 
-    Links to hubs come first, then, twice, the likeliest pair of each text with
-    one of another class in its buckets; then every other pair of a bucket that these do not lead to each
-    other and that may align is aligned as well, so classes are those of all pairs in
-    all buckets.
+    Links to hubs come first; then the texts of a bucket that these do not lead to
+    each other and that may align are aligned in their bucket until all that align are
+    linked, so classes are those of all pairs in all buckets.
     """
     ship(docs.sparkSession)
     keyed = docs.filter(F.col(text).isNotNull()).select(*text_key(text), F.col(text).alias("text"), F.col(key).alias("doc"))
@@ -378,17 +435,15 @@ def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     first = values.groupBy("one").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     member = settle(values.join(first, "one"), "buckets", release=True)
     hubs = _hubs(nodes, member)
-    links = _aligned(keyed, nodes, hubs)
-    discard(hubs)
-    for best in (True, True, False):
-        # Classes only grow, so what is open later is open now.
-        left = _open(nodes, member, links)
-        rest = _rest(nodes, left, best)
-        more = _aligned(keyed, nodes, rest)
-        both = settle(links.unionByName(more), "links", release=True)
-        discard(member, rest, links, more)
-        member, links = left, both
+    bodies = _bodies(keyed, nodes, hubs.select(F.explode(F.array("a", "b")).alias("id")))
+    stars = _aligned(bodies, hubs)
+    discard(hubs, bodies)
+    rest = _open(nodes, member, stars)
     discard(member)
+    bodies = _bodies(keyed, nodes, rest.select("id"))
+    more = _grouped(rest.join(bodies, "id").select(*_MEMBER.names, "text")).mapInArrow(_linked, _PAIR)
+    links = settle(stars.unionByName(more).distinct(), "links", release=True)
+    discard(rest, bodies, stars)
     return nodes, links
 
 
@@ -401,8 +456,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """(k1, k2, class_id, class_size, copies, links, leader) of each different text.
 
     class_id is the least id in the class, class_size its number of rows, copies
-    the rows with this very text, links the number of other texts it was found to
-    align with. leader marks the text with the least id (then hash) in its class.
+    the rows with this very text, links the number of other texts that it was linked
+    with to make its class, pairs that were linked already not being tried. leader marks the text with the least id (then hash) in its class.
     """
     nodes, links = texts_and_links(docs, text, key)
     roots = components(links)

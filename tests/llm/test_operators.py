@@ -289,6 +289,14 @@ def test_sketches_agree_at_the_threshold(size):
     assert share > (0.99 if size[0] > 30 else 0.9)
 
 
+def test_sketches_do_not_depend_on_the_texts_beside():
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, rng.randint(1, 40))) for _ in range(400)]
+    split = lambda ts: kernel.find_words(np.frombuffer("".join(ts).encode(), np.uint8), np.cumsum([0, *map(len, ts)]), kernel.NON_SPACE)
+    together = near_dup.sketch(split(texts))
+    assert all((near_dup.sketch(split([t]))[0] == row).all() for t, row in zip(texts, together, strict=True))
+
+
 def test_sketch_values_keep_the_order():
     texts = ["a b c d e f g h", "e f g h a b c d"]
     found = kernel.find_words(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]), kernel.NON_SPACE)
@@ -311,8 +319,9 @@ def test_histograms_bound_the_edit_distance():
 
 def test_large_buckets_in_blocks_are_the_same(spark, docs, monkeypatch):
     once = pairs(near_dup.label(docs), "doc_id", "class_id", "class_size")
-    monkeypatch.setattr(near_dup, "BLOCK", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 300)
     monkeypatch.setattr(near_dup, "_LANES", 3)
+    monkeypatch.setattr(near_dup, "_TURN", 2)
     assert pairs(near_dup.label(docs), "doc_id", "class_id", "class_size") == once
 
 
