@@ -6,7 +6,8 @@ that order, are a value of the text; texts that share a value share a bucket. Th
 begin and the end of a text are shingles too, so that short texts are found by
 single shingles under the same rule.
 
-Each text is first aligned with two hubs of its buckets. What these links leave
+Each text is first aligned with two hubs of its buckets and with its likeliest
+partner elsewhere. What these links leave
 apart in a bucket is compared pair by pair by word histograms, which bound the edit
 distance from below and so lose no pair; texts with such partners meet in their
 bucket and are aligned there, the likeliest pairs first, unless they are linked
@@ -32,7 +33,7 @@ from siltstone.operators.graph import components
 #: Words of a shingle; least share of words that stay in an alignment; hash functions and shingles that each picks.
 SHINGLE, SIMILAR, HASHES, PICKS = 5, 0.8, 20, 4
 #: Bins of a text's word histogram; words of the members of a bucket that one task compares with as many others.
-BINS, BLOCK = 256, 1 << 20
+BINS, BLOCK = 256, 1 << 18
 #: Pairs compared at a time in a task, and alignments between two looks at what is linked by then.
 _LANES, _TURN = 1 << 15, 256
 _PLACE = 28
@@ -309,6 +310,18 @@ def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(_MEMBER.names).filter(pa.array(some))
 
 
+def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, least) of each member a and that of another root in its groups with the lowest bound."""
+    for batch in _whole_groups(batches):
+        column = {c: batch.column(c).to_numpy() for c in _MEMBER.names}
+        found = [np.zeros((3, 0), np.int64)]
+        for i, j, least in _across(column, _bytes(batch.column("bins"))):
+            both = np.stack((np.append(column["id"][i], column["id"][j]), np.append(column["id"][j], column["id"][i]), np.append(least, least)))
+            both = both[:, np.lexsort((both[2], both[0]))]
+            found.append(both[:, np.append(True, np.diff(both[0]) != 0)[: both.shape[1]]])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.concatenate(found, axis=1)], _FOUND.names)
+
+
 def _shared_below(values: list[np.ndarray], one: int) -> np.ndarray:
     """Which members share a value below that of their bucket, and so meet in another one: a square matrix."""
     below = [v[v < np.int64(one)] for v in values]
@@ -369,6 +382,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _PAIR = T.StructType().add("a", "long").add("b", "long")
+_FOUND = T.StructType().add("a", "long").add("b", "long").add("least", "long")
 
 
 def _hubs(nodes: DataFrame, member: DataFrame) -> DataFrame:
@@ -385,20 +399,25 @@ def _hubs(nodes: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _open(nodes: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with their histograms, in groups and order, of the buckets that ``links`` do not lead together."""
+    """Members (one, id, root, blocks) of the buckets that ``links`` do not lead together; root is the least text that they lead to."""
     roots = components(links)
     known = nodes.select("id", "n_words").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n_words", F.coalesce("root", "id").alias("root"))
     rooted = settle(member.select("one", "id").join(known, "id"), "rooted", release=True)
     split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum("n_words").alias("words")).filter("least < most")
     out = rooted.join(split.select("one", F.ceil(F.col("words") / F.lit(BLOCK)).cast("int").alias("blocks")), "one")
-    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")
-    dealt = out.select("one", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "root", "id")
-    dealt = dealt.join(nodes.select("id", "n_words", "bins"), "id").select("one", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "id", "n_words", "bins")
-    out = settle(_grouped(dealt).mapInArrow(_partnered, _MEMBER), "open", release=True)
+    out = settle(out.select("one", "id", "root", "blocks"), "open", release=True)
     discard(roots, rooted)
     return out
 
 
+def _dealt(nodes: DataFrame, left: DataFrame) -> DataFrame:
+    """Open members with their histograms, in groups and order."""
+    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")
+    dealt = left.select("one", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "root", "id")
+    dealt = dealt.join(nodes.select("id", "n_words", "bins"), "id")
+    return _grouped(dealt.select("one", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "id", "n_words", "bins"))
+
+
 def _grouped(members: DataFrame) -> DataFrame:
     return members.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "root")
 
@@ -421,9 +440,10 @@ def _aligned(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
 def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Different texts (id, k1, k2, first_doc, copies, ...) and the verified links (a, b) between their ids.
 
-    Links to hubs come first; then the texts of a bucket that these do not lead to
-    each other and that may align are aligned in their bucket until all that align are
-    linked, so classes are those of all pairs in all buckets.
+    Links to hubs come first, then those to the likeliest partner that these do not
+    lead to. The texts of a bucket that are still apart and may align are aligned in
+    their bucket until all that align are linked, so classes are those of all pairs in
+    all buckets.
     """
     ship(docs.sparkSession)
     keyed = docs.filter(F.col(text).isNotNull()).select(*text_key(text), F.col(text).alias("text"), F.col(key).alias("doc"))
@@ -434,17 +454,24 @@ def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     values = nodes.select("id", F.explode("sketch").alias("one"))
     first = values.groupBy("one").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     member = settle(values.join(first, "one"), "buckets", release=True)
-    hubs = _hubs(nodes, member)
-    bodies = _bodies(keyed, nodes, hubs.select(F.explode(F.array("a", "b")).alias("id")))
-    stars = _aligned(bodies, hubs)
-    discard(hubs, bodies)
-    rest = _open(nodes, member, stars)
-    discard(member)
+    both = F.explode(F.array("a", "b")).alias("id")
+    pairs, links = _hubs(nodes, member), None
+    for last in (False, True):
+        bodies = _bodies(keyed, nodes, pairs.select(both))
+        found = _aligned(bodies, pairs)
+        found = found if links is None else settle(links.unionByName(found), "links", release=True)
+        left = _open(nodes, member, found)
+        discard(*(t for t in (pairs, bodies, member, links) if t is not None))
+        member, links = left, found
+        if not last:
+            best = _dealt(nodes, left).mapInArrow(_likeliest, _FOUND).groupBy("a").agg(F.min_by("b", F.struct("least", "b")).alias("b"))
+            pairs = settle(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "likeliest", release=True)
+    rest = settle(_dealt(nodes, member).mapInArrow(_partnered, _MEMBER), "rest", release=True)
     bodies = _bodies(keyed, nodes, rest.select("id"))
     more = _grouped(rest.join(bodies, "id").select(*_MEMBER.names, "text")).mapInArrow(_linked, _PAIR)
-    links = settle(stars.unionByName(more).distinct(), "links", release=True)
-    discard(rest, bodies, stars)
-    return nodes, links
+    every = settle(links.unionByName(more).distinct(), "links", release=True)
+    discard(member, rest, bodies, links)
+    return nodes, every
 
 
 def _class_id(first: Column, k1: Column) -> Column:
