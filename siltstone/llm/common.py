@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.scratch import discard, scratch_dir, settle
 
-__all__ = ["discard", "held_out", "hash60", "maybe_in", "membership", "scratch_dir", "settle", "ship", "table", "text_key"]
+__all__ = ["aside", "discard", "held_out", "hash60", "maybe_in", "membership", "scratch_dir", "settle", "ship", "table", "text_key"]
 
 #: A word of the corpus: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its own columns of these names out of the way, and the renaming that brings them back."""
+    taken, moved = set(df.columns) | set(names), {}
+    for c in df.columns:
+        if c in names:
+            new = c + "_"
+            while new in taken:
+                new += "_"
+            taken.add(new)
+            moved[c] = new
+    return df.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
+
+
 def text_key(text: str) -> list[Column]:
     """128 bits that stand for a text: columns k1, k2."""
     return [F.xxhash64(F.col(text)).alias("k1"), F.xxhash64(F.lit(1), F.col(text)).alias("k2")]

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import kernel as K
-from siltstone.llm.common import ship
+from siltstone.llm.common import aside, discard, maybe_in, membership, settle, ship, text_key
 
-#: Words of a window, and bytes of benchmark text in one broadcast; more text goes in further blocks.
+#: Words of a window, and bytes of benchmark text in one broadcast; more text goes in further blocks, one at a time.
 WINDOW, BLOCK_BYTES = 10, 4 << 20
 _BITS = 20
 
@@ -64,62 +64,104 @@ class Index:
         return cover, items
 
 
-def _blocks(benchmark: DataFrame, text: str, item: str, n: int) -> list[Index]:
-    """Indexes over parts of the benchmark of about BLOCK_BYTES each; one part at a time comes to the driver."""
+def _parts(benchmark: DataFrame, text: str, item: str) -> tuple[DataFrame, int]:
+    """(item, text) rows, and in how many parts of about BLOCK_BYTES they go."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 + size // BLOCK_BYTES
-    out = []
+    return rows, 1 + size // BLOCK_BYTES
+
+
+def _index(rows: DataFrame, parts: int, k: int, n: int) -> Index:
+    """The index of one part, which alone comes to the driver."""
+    part = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
+    return Index([tuple(r) for r in part.toLocalIterator()], n)
+
+
+def _in_blocks(docs: DataFrame, rows: DataFrame, parts: int, n: int, text: str) -> DataFrame:
+    """(k1, k2, items, covers) of the different texts with hits: a pass for each part, whose index is dropped before the next."""
+    spark = docs.sparkSession
+    keyed = docs.filter(F.col(text).isNotNull()).select(*text_key(text), F.col(text).alias("text"))
+    schema = T.StructType().add("k1", "long").add("k2", "long").add("items", T.ArrayType(T.StringType())).add("cover", "binary")
+    done = []
     for k in range(parts):
-        part = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
-        out.append(Index([tuple(r) for r in part.toLocalIterator()], n))
+        index = spark.sparkContext.broadcast(_index(rows, parts, k, n))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, items, cover = [], [], []
+                for i, j, data, offsets in K.slices(batch.column(2)):
+                    words = K.find_words(data, offsets, K.ALNUM, K.LOWER)
+                    hit, own = index.value.hits(words)
+                    for d in sorted(own):
+                        at.append(i + d)
+                        items.append(sorted(own[d]))
+                        cover.append(np.packbits(hit[words.bounds[d] : words.bounds[d + 1]]).tobytes())
+                keys = batch.select([0, 1]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(items, pa.list_(pa.string())), pa.array(cover, pa.binary())], schema.names)
+
+        done.append(settle(keyed.mapInArrow(run, schema).dropDuplicates(["k1", "k2"]), "hits"))
+        index.destroy()
+    every = spark.read.schema(schema).parquet(*(t._scratch for t in done))
+    out = settle(every.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.collect_list("cover").alias("covers")), "hit-texts")
+    discard(*done)
     return out
 
 
+_ADDED = T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("cover", "binary")
+_ARROW = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary()]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, text: str = "text", item: str = "item_id", item_text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add n_words, n_hit, items (sorted ids as strings) and cover (bits of the hit words; empty if none).
 
-    The benchmark is sent out in blocks of bounded size; each block is one more
-    pass over the same rows of the same scan, and hits add up. No shuffle. Words
-    are folded to lower case (A-Z) and made of digits, letters a-z and everything
-    beyond ASCII. A null text has no words; items without words have no windows; a
-    null item id counts as "null", equal ids as one item. Repeated rows stay, and
-    columns of the added names are replaced. ``keep_text=False`` leaves the text out.
+    A benchmark of up to BLOCK_BYTES is one broadcast and one scan without a
+    shuffle. A larger one goes in blocks, of which one is alive at a time: each
+    writes the hits of the texts it is found in, and these are added up and joined
+    to the rows at the end. Words are folded to lower case (A-Z) and made of digits,
+    letters a-z and everything beyond ASCII. A null text has no words, an empty table
+    gives none, texts of any length are scanned whole; items without words have no
+    windows; a null item id counts as "null", equal ids as one item. Repeated rows
+    stay, and columns of the added names are replaced. ``keep_text=False`` leaves the
+    text out.
     """
     spark = ship(docs.sparkSession)
-    added = T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("cover", "binary")
-    arrow = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary()]
-    rest = docs.select(*[c for c in docs.columns if c not in added.names])
-    width = len(rest.columns)
-
-    def one(index, names):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            look = index.value
-            for batch in batches:
-                old = [(set(a), b) for a, b in zip(*(batch.column(width + k).to_pylist() for k in (2, 3)), strict=True)] if batch.num_columns > width else None
-                found: list[list] = [[], [], [], []]
-                for i, j, data, offsets in K.slices(batch.column(batch.schema.get_field_index(text))):
-                    words = K.find_words(data, offsets, K.ALNUM, K.LOWER)
-                    hit, items = look.hits(words)
-                    for d in range(j - i):
-                        mine, own = hit[words.bounds[d] : words.bounds[d + 1]], items.get(d, set())
-                        if old:
-                            own = own | old[i + d][0]
-                            if old[i + d][1]:
-                                mine = mine | unpacked(old[i + d][1], len(mine))
-                        count = int(mine.sum())
-                        for k, v in enumerate((len(mine), count, sorted(own), np.packbits(mine).tobytes() if count else b"")):
-                            found[k].append(v)
-                arrays = [batch.column(c) for c in range(width) if batch.schema.names[c] in names]
-                yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, found, arrow)], [*names, *added.names])
-
-        return run
-
-    out, blocks = rest, _blocks(benchmark, item_text, item, n)
-    for k, index in enumerate(blocks, 1):
-        names = [c for c in rest.columns if keep_text or k < len(blocks) or c != text]
-        out = out.mapInArrow(one(spark.sparkContext.broadcast(index), names), T.StructType([*(rest.schema[c] for c in names), *added.fields]))
-    return out
+    rest = docs.select(*[c for c in docs.columns if c not in _ADDED.names])
+    names = [c for c in rest.columns if keep_text or c != text]
+    rows, parts = _parts(benchmark, item_text, item)
+    own = ("_k1", "_k2", "_maybe", "_items", "_covers")
+    if parts == 1:
+        given, index = rest, spark.sparkContext.broadcast(_index(rows, 1, 0, n))
+    else:
+        found, index = _in_blocks(rest, rows, parts, n, text), None
+        moved, back = aside(rest, *own)
+        keyed = maybe_in(moved.withColumns(dict(zip(own, text_key(text), strict=False))), "_k1", membership(found, "k1"))
+        hits = found.toDF("_k1", "_k2", "_items", "_covers")
+        touched = keyed.filter("_maybe").join(hits, ["_k1", "_k2"], "left").select(*moved.columns, "_items", "_covers")
+        clean = keyed.filter("not _maybe").select(*moved.columns, *(F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in own[3:]))
+        given = touched.unionByName(clean).toDF(*(back.get(c, c) for c in moved.columns), "items", "covers")
+    columns, width = rest.columns, len(rest.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list] = [[], [], [], []]
+            known = [batch.column(width + k).to_pylist() for k in (0, 1)] if index is None else None
+            for i, j, data, offsets in K.slices(batch.column(batch.schema.get_field_index(text))):
+                words = K.find_words(data, offsets, K.ALNUM, K.LOWER)
+                hit, items = index.value.hits(words) if index else (None, {})
+                for d in range(j - i):
+                    if index:
+                        mine, own_items = hit[words.bounds[d] : words.bounds[d + 1]], items.get(d, ())
+                    else:
+                        mine, own_items = np.zeros(words.count[d], bool), known[0][i + d] or ()
+                        for cover in known[1][i + d] or ():
+                            mine |= unpacked(cover, len(mine))
+                    count = int(mine.sum())
+                    for k, v in enumerate((len(mine), count, sorted(own_items), np.packbits(mine).tobytes() if count else b"")):
+                        found[k].append(v)
+            arrays = [batch.column(k) for k, c in enumerate(columns) if c in names]
+            yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, found, _ARROW)], [*names, *_ADDED.names])
+
+    return given.mapInArrow(run, T.StructType([*(rest.schema[c] for c in names), *_ADDED.fields]))
 
 
 def unpacked(bits: bytes, size: int) -> np.ndarray:
@@ -138,10 +180,16 @@ def without(text: str, cover: bytes) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, remove: str = "documents", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without contaminated documents, or (remove="spans") with the hit stretches cut from their texts."""
-    out = scan(docs, benchmark, n, text=text, item=item, item_text=item_text)
+    """``docs`` without contaminated documents, or (remove="spans") with the hit stretches cut from their texts.
+
+    All columns keep their values, also those named like the ones that ``scan``
+    adds. Rows with null or empty texts stay, and so do repeated rows.
+    """
+    moved, back = aside(docs, *_ADDED.names)
+    out = scan(moved, benchmark, n, text=moved.columns[docs.columns.index(text)], item=item, item_text=item_text)
     if remove == "documents":
-        return out.filter("n_hit = 0").select(*docs.columns)
+        return out.filter("n_hit = 0").select(*moved.columns).withColumnsRenamed(back)
+    text = moved.columns[docs.columns.index(text)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, *, rem
             clean = [without(t, c) if c else t for t, c in zip(batch.column(at).to_pylist(), cover, strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
-    return out.mapInArrow(cut, out.schema).select(*docs.columns)
+    return out.mapInArrow(cut, out.schema).select(*moved.columns).withColumnsRenamed(back)
 
 
 #: The same in SQL: windows of items against windows of documents, word by word.

@@ -1,22 +1,25 @@
 """Line dedup by content-defined chunks of lines, with native expressions only.
 
-A boundary follows a line where the rolling hash of it and the line before is
-divisible by ``DIVISOR``, so an insertion moves no boundary but those beside it.
-Chunks of two lines or more that occur again anywhere are found by hash, compared byte
-for byte, and removed but for their first occurrence.
+A rolling hash over every two neighbouring lines makes that window a boundary of one
+of ``KINDS`` chunkings, by its remainder, so an insertion moves no boundary but those
+beside it. A chunk goes from the first line of a boundary window to the last line
+of the next one of its kind, so neighbours overlap in a window and every chunk has
+two lines or more; a text's ends are boundaries of every kind. Chunks that occur
+again anywhere are found by hash, compared byte for byte, and their lines removed
+but for the first occurrence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import discard, maybe_in, membership, settle
+from siltstone.llm.common import aside, discard, maybe_in, membership, settle
 
-#: Lines in the rolling hash are two: the hash is (before * BASE + own) % MODULUS over 28-bit line hashes.
-BASE, MODULUS, DIVISOR = 1000003, 2147483647, 3
-#: Lines of a chunk that is removed, at least.
-LEAST = 2
+#: The rolling hash is (before * BASE + own) % MODULUS over 28-bit line hashes; its remainder by KINDS is the kind of the boundary.
+BASE, MODULUS, KINDS = 1000003, 2147483647, 2
+#: A chunk's place is start * _SPAN + lines.
+_SPAN = 1 << 31
 
 
 def let(value: Column, use) -> Column:
@@ -29,18 +32,23 @@ def lines(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """Array of struct(start, n, body): the chunks of a text, in time linear in its length."""
+    """Array of struct(start, n, body): the chunks of a text, in time linear in its length; a text of one line has none."""
     line_hash = lambda line: F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("bigint")
-    before = lambda hs, i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(hs, i - 1))
-    rolling = lambda hs, i: (before(hs, i) * BASE + F.get(hs, i)) % MODULUS
-    ends = lambda hs: F.filter(F.sequence(F.lit(0), F.size(hs) - 1), lambda i: (i == F.size(hs) - 1) | (rolling(hs, i) % DIVISOR == 0))
+    rolling = lambda hs, i: (F.get(hs, i - 1) * BASE + F.get(hs, i)) % MODULUS
+    ends = lambda hs, kind: F.filter(F.sequence(F.lit(1), F.size(hs) - 1), lambda i: rolling(hs, i) % KINDS == kind)
+    start = lambda es, k: F.when(k == 0, F.lit(0)).otherwise(F.get(es, k - 1) - 1)
+    stop = lambda hs, es, k: F.when(k == F.size(es), F.size(hs) - 1).otherwise(F.get(es, k))
+    place = lambda a, b: a.cast("bigint") * _SPAN + (b - a + 1)
+    cut = lambda hs, es: F.transform(F.sequence(F.lit(0), F.size(es)), lambda k: let(start(es, k), lambda a: place(a, stop(hs, es, k))))
+    spans = lambda hs: F.array_distinct(F.concat(*(let(ends(hs, kind), lambda es: cut(hs, es)) for kind in range(KINDS))))
 
-    def cut(ls: Column, es: Column) -> Column:
-        start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(es, k - 1) + 1)
-        one = lambda k, s: F.struct(s.alias("start"), (F.get(es, k) - s + 1).alias("n"), F.array_join(F.slice(ls, s + 1, F.get(es, k) - s + 1), "\n").alias("body"))
-        return F.transform(F.sequence(F.lit(0), F.size(es) - 1), lambda k: let(start(k), lambda s: one(k, s)))
+    def body(ls: Column, at: Column) -> Column:
+        first, n = F.floor(at / _SPAN).cast("int"), (at % _SPAN).cast("int")
+        return F.struct(first.alias("start"), n.alias("n"), F.array_join(F.slice(ls, first + 1, n), "\n").alias("body"))
 
-    return let(lines(text), lambda ls: let(F.transform(ls, line_hash), lambda hs: let(ends(hs), lambda es: cut(ls, es))))
+    none = F.lit(None).cast("array<struct<start:int,n:int,body:string>>")
+    every = lambda ls: let(F.transform(ls, line_hash), lambda hs: F.transform(spans(hs), lambda at: body(ls, at)))
+    return let(lines(text), lambda ls: F.when(F.size(ls) < 2, none).otherwise(every(ls)))
 
 
 def _kept(text: Column, gone: Column) -> Column:
@@ -57,22 +65,32 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drop_text
     First is the occurrence with the least id (nulls last), then text hash and line.
     Rows equal in id and text are one document and keep the same lines; chunks
     of nothing but white space stay. A null text has no lines and its kept text is
-    empty; an empty one has one line. Columns of the added names are replaced.
+    empty; an empty one has one line. Very long texts are handled whole. Columns of
+    the added names are replaced, all others keep their values.
     """
     names = ("n_lines", "n_removed", "kept_text", "kept_sha256")
-    rest = docs.select(*[c for c in docs.columns if c not in names])
+    given = docs.select(*[c for c in docs.columns if c not in names])
+    rest, back = aside(given, "_t", "_u", "_id", "_none", "_gone", "_maybe")
+    text, key = (rest.columns[given.columns.index(c)] for c in (text, key))
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("t"))
     each = rest.filter(F.col(text).isNotNull()).select(row.alias("row"), F.explode(chunks(F.col(text))).alias("c"))
-    each = each.filter((F.col("c.n") >= LEAST) & F.col("c.body").rlike(r"\S")).select("row", "c.start", "c.n", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body"))
+    each = each.filter(F.col("c.body").rlike(r"\S")).select("row", "c.start", "c.n", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body"))
 
-    again = settle(each.groupBy("h").count().filter("count > 1").select("h"), "chunks-again", release=True, few=True)
+    again = settle(each.groupBy("h").count().filter("count > 1").select("h"), "chunks-again", release=True)
     some = settle(maybe_in(each, "h", membership(again, "h")).filter("_maybe").drop("_maybe"), "chunks")
     place = F.struct("row", "start")
     first = some.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").drop("n_rows")
-    later = some.join(first, ["h", "body"]).filter(place != F.col("first"))
-    gone = later.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("gone"))
-    gone = settle(gone.withColumn("t", F.col("row.t")), "chunks-gone", release=True, few=True)
-    discard(again, some)
+    # As a table of its own, so that the rows of a very common chunk can be split in the join.
+    first = settle(first, "chunks-first")
+    later = some.join(first, ["h", "body"]).filter(place != F.col("first")).select("row", "start", (F.col("start") + F.col("n")).alias("stop"))
+    # Overlapping stretches of a document become one.
+    by_row = Window.partitionBy("row").orderBy("start", "stop")
+    opens = F.coalesce(F.col("start") > F.max("stop").over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    joined = later.withColumn("opens", opens).withColumn("part", F.sum(F.col("opens").cast("int")).over(by_row))
+    parts = joined.groupBy("row", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    gone = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("stop") - F.col("start")).alias("n")))).alias("gone"))
+    gone = settle(gone.withColumn("t", F.col("row.t")), "chunks-gone", release=True)
+    discard(again, some, first)
 
     keyed = maybe_in(rest.withColumn("_t", F.xxhash64(text)), "_t", membership(gone, "t"))
     g = gone.select(F.col("row.none").alias("_none"), F.col("row.id").alias("_id"), F.col("t").alias("_u"), F.col("gone").alias("_gone"))
@@ -82,7 +100,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drop_text
     n_removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda s, x: s + x["n"]), F.lit(0)).cast("bigint")
     kept_text = F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(_kept(F.col(text), F.col("_gone")), "\n"))
     out = whole.select(
-        *[c for c in rest.columns if c != text or not drop_text],
+        *[F.col(c).alias(back.get(c, c)) for c in rest.columns if c != text or not drop_text],
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text), F.lit("\n")) + 1).cast("bigint").alias("n_lines"),
         n_removed.alias("n_removed"),
         kept_text.alias("kept_text"),
@@ -92,13 +110,18 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drop_text
 
 SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, text, ls, i, ls[i] AS line, ('0x' || substr(md5(ls[i]), 1, 7))::BIGINT AS h FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-r AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 1000003 + h) % 2147483647 AS r FROM l WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
-c AS (SELECT *, coalesce(sum(CASE WHEN r % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
-k AS (SELECT doc_id, text, k, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, text, k),
-x AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, start) > 1 AND n >= 2 AND regexp_matches(body, '\S') AS gone FROM k),
-o AS (SELECT doc_id, text, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed, sum(n)::BIGINT AS n_lines,
-             coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (WHERE NOT gone), '') AS kept FROM x GROUP BY doc_id, text)
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+l AS (SELECT doc_id, text, i, ('0x' || substr(md5(ls[i + 1]), 1, 7))::BIGINT AS h FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM d WHERE len(ls) > 1)),
+r AS (SELECT doc_id, text, i, (lag(h) OVER (PARTITION BY doc_id, text ORDER BY i) * 1000003 + h) % 2147483647 % 2 AS kind FROM l),
+w AS (SELECT doc_id, text, kind, i, coalesce(lag(i) OVER (PARTITION BY doc_id, text, kind ORDER BY i) - 1, 0) AS start FROM r WHERE i > 0),
+e AS (SELECT d.doc_id, d.text, k.kind, len(d.ls) - 1 AS i, coalesce(max(w.i) - 1, 0) AS start FROM d CROSS JOIN (SELECT unnest([0, 1]) AS kind) k
+      LEFT JOIN w ON w.doc_id IS NOT DISTINCT FROM d.doc_id AND w.text = d.text AND w.kind = k.kind WHERE len(d.ls) > 1 GROUP BY d.doc_id, d.text, d.ls, k.kind),
+c AS (SELECT DISTINCT doc_id, text, start, i FROM (SELECT doc_id, text, start, i FROM w UNION ALL SELECT doc_id, text, start, i FROM e)),
+b AS (SELECT c.*, array_to_string(string_split(c.text, chr(10))[start + 1 : i + 1], chr(10)) AS body FROM c),
+x AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, start) > 1 AND regexp_matches(body, '\S') AS gone FROM b),
+g AS (SELECT DISTINCT doc_id, text, unnest(range(start, i + 1)) AS i FROM x WHERE gone),
+o AS (SELECT d.doc_id, d.text, count(g.i)::BIGINT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY d.i) FILTER (WHERE g.i IS NULL), '') AS kept
+      FROM (SELECT doc_id, text, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM d) d
+      LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM d.doc_id AND g.text = d.text AND g.i = d.i GROUP BY d.doc_id, d.text)
+SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.text IS NOT DISTINCT FROM o.text
 """

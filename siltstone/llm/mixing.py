@@ -13,12 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, hash60, settle
+from siltstone.llm.common import WORD, discard, hash60, settle
 
 #: Weights of the sources in order of code points, repeating; share of all sizes to take; times a source may be taken at most.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-#: Hash bits, and those below the bucket at each level: 16,384 buckets a source, then single hashes in the boundary bucket.
-BITS, LEVELS = 60, (46, 0)
+#: Hash bits, and those below the bucket at each level: 16,384 buckets a source and level, single hashes at the last.
+BITS, LEVELS = 60, (46, 32, 18, 4, 0)
 #: Budget rounds: the first takes rows while they fit, further ones fill the gap with rows that still fit.
 ROUNDS = 3
 #: Sources up to which their table of thresholds is broadcast; beyond it, it is joined by shuffle.
@@ -70,13 +70,13 @@ def targets(base: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SH
     return out.withColumn("copies", copies).withColumn("budget", F.floor("target").cast("bigint") - F.col("copies") * F.col("source_size"))
 
 
-def _threshold(rows: DataFrame, budget: DataFrame, small) -> DataFrame:
-    """(sk, t, left): t is the least hash at which a source's sizes, by rising hash, exceed its budget.
+def _threshold(rows: DataFrame, budget: DataFrame, small) -> tuple[DataFrame, list[DataFrame]]:
+    """(sk, t, left), and the settled tables behind it: t is the least hash at which a source's sizes, by rising hash, exceed its budget.
 
     rows: (sk, size, h); budget: (sk, budget). Without such a hash t is 2**60; left
     is what remains of the budget below t. A source without rows is missing.
     """
-    done = None
+    done, used = None, []
     for shift in LEVELS:
         run = F.sum("size").over(Window.partitionBy("sk").orderBy("bucket"))
         hist = rows.groupBy("sk", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"))
@@ -91,6 +91,7 @@ def _threshold(rows: DataFrame, budget: DataFrame, small) -> DataFrame:
             .select("sk", "bucket", (F.col("budget") - F.coalesce("below", F.lit(0))).alias("left"))
         )
         found = settle(found, "mix-level", few=True)
+        used.append(found)
         ended = found.filter("bucket is null").select("sk", F.lit(1 << BITS).cast("bigint").alias("t"), "left")
         done = ended if done is None else done.unionByName(ended)
         found = found.filter("bucket is not null")
@@ -98,7 +99,11 @@ def _threshold(rows: DataFrame, budget: DataFrame, small) -> DataFrame:
         if shift:
             edge = found.select("sk", "bucket")
             rows = rows.withColumn("bucket", F.shiftright("h", shift)).join(small(edge), ["sk", "bucket"], "left_semi").drop("bucket")
-    return done.unionByName(found.select("sk", F.col("bucket").alias("t"), "left"))
+            if len(used) == 1:
+                # One bucket of each source is left: further levels read no more than that.
+                rows = settle(rows, "mix-edge", few=True)
+                used.append(rows)
+    return done.unionByName(found.select("sk", F.col("bucket").alias("t"), "left")), used
 
 
 def plan(base: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -111,12 +116,14 @@ def plan(base: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
         rows = base.select("sk", "size", "h")
         if k > 1:
             rows = rows.join(small(found), "sk").filter(~extra(k - 1) & (F.col("size") <= F.col(left))).select("sk", "size", "h")
-        t = _threshold(rows, found.select("sk", F.col(left).alias("budget")), small)
-        found = settle(
+        t, used = _threshold(rows, found.select("sk", F.col(left).alias("budget")), small)
+        after = settle(
             found.join(t, "sk", "left").withColumn(f"t{k}", F.coalesce("t", F.lit(0))).withColumn(f"g{k}", F.coalesce("left", F.col(left))).drop("t", "left"),
             "mix-plan",
             few=True,
         )
+        discard(found, *used)
+        found = after
     return small(found)
 
 
@@ -129,7 +136,7 @@ def extra(rounds: int = ROUNDS) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, *, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """How often each row is taken: (key, size, source_size, target, copies, taken).
+    """How often each row is taken: (key, size, source_size, target, taken, copies).
 
     Nulls: a null text has size 0, a null source is a source of its own, last in
     order; a null key is as good as any. Rows equal in key and text share a hash and
@@ -138,7 +145,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     base = settle(measured(docs, text, source, key, F.col(key).alias("id")), "mix-sizes")
     copies = (F.col("copies") + extra().cast("bigint")).alias("copies")
     out = base.join(plan(base, weights, share, cap).drop("source"), "sk").select(F.col("id").alias(key), "size", "source_size", "target", copies)
-    return out.withColumn("taken", F.col("size") * F.col("copies"))
+    return out.select(key, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, *, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:

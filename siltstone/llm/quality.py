@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import kernel as K
-from siltstone.llm.common import held_out, ship
+from siltstone.llm.common import aside, held_out, ship
 
 #: The statistics, in order; all are logarithms or log odds, see ``statistics``.
 FEATURES = ("words", "word_bytes", "symbols", "capitals", "digits", "stops", "bare", "echo", "spread", "novel", "lines", "long_words")
@@ -182,11 +182,19 @@ def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str
     """``docs`` with its columns, ``score`` and ``predicted``; fitted on all labelled rows that are not held out.
 
     The statistics are computed in two scans, once for the labelled rows (without
-    the texts, which never leave the scan) and once as scores are attached. Empty
-    and null texts are scored like any other; without labels all score 0.5.
+    the texts, which never leave the scan) and once as scores are attached. Empty,
+    null and very long texts are scored like any other, repeated rows alike; without
+    labels all score 0.5, and an empty table gives none. Columns named ``score`` or
+    ``predicted`` are replaced, all others keep their values.
     """
     seen = with_statistics(docs.select(key, text), text, drop_text=True).join(training_labels(labels, name, key), key)
     model = fit(seen, name)
-    rest = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
-    out = with_statistics(rest, text, out="_statistics").withColumn("score", model.score(F.col("_statistics"))).drop("_statistics")
-    return out.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
+    rest, back = aside(docs.select(*[c for c in docs.columns if c not in ("score", "predicted")]), "statistics")
+    out = with_statistics(rest, text).withColumn("score", model.score(F.col("statistics"))).drop("statistics")
+    return out.withColumnsRenamed(back).withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", name: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with all their columns and values, ``score`` and ``predicted`` included."""
+    moved, back = aside(docs, "score", "predicted")
+    return classify(moved, labels, text=text, key=key, name=name).filter("predicted = 1").select(*moved.columns).withColumnsRenamed(back)

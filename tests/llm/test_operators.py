@@ -363,6 +363,34 @@ def test_decontaminate_in_blocks_is_the_same(spark, docs, corpus, monkeypatch):
     assert any(k[2] for k in once)
 
 
+def test_decontaminate_keeps_the_values_of_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "clean text", "mine", 7.5, 3)], "doc_id long, text string, items string, cover double, n_hit int")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    for remove in ("documents", "spans"):
+        out = decontam.decontaminate(rows, bench, remove=remove)
+        assert out.schema == rows.schema and out.collect() == rows.collect()
+
+
+def test_decontaminate_in_many_blocks_holds_one(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, " ".join(words(rng, 12, 5000))) for i in range(60)]
+    rows = [(i, " ".join(words(rng, 30, 5000) + items[i % 60][1].split() + words(rng, 5, 5000)), f"k{i}") for i in range(90)] + [(90, None, "k"), (91, "", "k"), (1, "x", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k1 string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    once = pairs(decontam.scan(df, bench).selectExpr("doc_id", "_k1", "n_words", "n_hit", "array_join(items, ',') i", "hex(cover) c"), "doc_id", "_k1", "n_words", "n_hit", "i", "c")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    made = []
+    real = decontam._index
+
+    def index(*args):
+        made.append(args[2])
+        return real(*args)
+
+    monkeypatch.setattr(decontam, "_index", index)
+    many = pairs(decontam.scan(df, bench).selectExpr("doc_id", "_k1", "n_words", "n_hit", "array_join(items, ',') i", "hex(cover) c"), "doc_id", "_k1", "n_words", "n_hit", "i", "c")
+    assert many == once and len(made) > 10 and sum(n for k, n in once.items() if k[3] == 12) == 90
+
+
 # op7 and op10
 
 
@@ -474,6 +502,67 @@ def test_substring_equals_brute_force(docs, corpus, empty):
 # op1
 
 
+def plain_chunks(ls):
+    """(first line, last line) of the chunks of both kinds."""
+    out, h = set(), [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
+    for kind in (0, 1):
+        at = 0
+        for i in range(1, len(ls)):
+            if (h[i - 1] * 1000003 + h[i]) % 2147483647 % 2 == kind:
+                out.add((at, i))
+                at = i - 1
+        if len(ls) > 1:
+            out.add((at, len(ls) - 1))
+    return out
+
+
+def plain_lines(rows):
+    """Counter of (id, lines, removed lines, sha256 of the kept lines)."""
+    first, gone, want = {}, defaultdict(set), Counter()
+    place = lambda i, a: ((i is None, -1 if i is None else i), a)
+    for turn in (0, 1):
+        for i, t in rows:
+            ls = t.split("\n") if t is not None else []
+            for a, b in plain_chunks(ls):
+                body = "\n".join(ls[a : b + 1])
+                if body.strip() and turn == 0:
+                    first[body] = min(first.get(body, place(1 << 60, 0)), place(i, a))
+                elif body.strip() and first[body] != place(i, a):
+                    gone[i, t] |= set(range(a, b + 1))
+    for i, t in rows:
+        ls = t.split("\n") if t is not None else []
+        kept = [x for k, x in enumerate(ls) if k not in gone[i, t]]
+        want[i, len(ls), len(gone[i, t]), sha("\n".join(kept))] += 1
+    return want
+
+
+@pytest.mark.parametrize("size,least", [(4, 0.6), (8, 0.95), (12, 0.97), (40, 0.99)])
+def test_lines_of_repeated_passages_are_found(size, least):
+    """Passages between lines of their own, in two texts each."""
+    rng = random.Random(size)
+    found = []
+    for _ in range(300):
+        passage = [f"p{rng.random()}" for _ in range(size)]
+        texts = [[f"o{rng.random()}" for _ in range(7)] + passage + [f"o{rng.random()}" for _ in range(7)] for _ in range(2)]
+        bodies = [{tuple(t[a : b + 1]): (a, b) for a, b in plain_chunks(t)} for t in texts]
+        lines_ = {k for body in bodies[0].keys() & bodies[1].keys() for k in range(bodies[1][body][0], bodies[1][body][1] + 1)}
+        found.append(len(lines_) / size)
+    assert np.mean(found) >= least
+
+
+def test_lines_of_copies_are_all_found(spark):
+    rows = [(i, "\n".join(f"{i // 2} line {k}" for k in range(1 + i // 2))) for i in range(40)]
+    got = {r["doc_id"]: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_removed"] == (got[i]["n_lines"] if i % 2 and i > 1 else 0) for i in got)
+
+
+def test_lines_keep_the_values_of_clashing_columns(spark):
+    rows = [(1, "a\nb\nc", "x", 5), (2, "a\nb\nc", "y", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _t string, _maybe int")
+    got = sorted(tuple(r[c] for c in ("doc_id", "text", "_t", "_maybe", "n_removed")) for r in lines.dedup(df).collect())
+    assert got == [(*rows[0], 0), (*rows[1], 3)]
+
+
 def test_lines_equal_brute_force(spark, empty):
     rng = random.Random(4)
     common = [f"line {k}" for k in range(12)]
@@ -484,33 +573,7 @@ def test_lines_equal_brute_force(spark, empty):
         rows.append((i, "\n".join(body[:at] + (common[: rng.randint(2, 12)] if i % 3 == 0 else []) + body[at:])))
     rows += [(200, rows[1][1]), (200, rows[1][1]), (None, rows[1][1]), (201, None), (202, ""), (203, "\n\n\n\n\n"), (204, "\n\n\n\n\n"), (205, "x\n" * 4000)]
 
-    def cut(text):
-        ls, out, before = text.split("\n"), [[]], 0
-        for k, x in enumerate(ls):
-            out[-1].append(x)
-            h = int(hashlib.md5(x.encode()).hexdigest()[:7], 16)
-            if (before * 1000003 + h) % 2147483647 % 3 == 0 and k < len(ls) - 1:
-                out.append([])
-            before = h
-        return ["\n".join(c) for c in out]
-
-    first = {}
-    for i, t in rows:
-        at = 0
-        for c in cut(t) if t is not None else []:
-            if c.count("\n") and c.strip():
-                first[c] = min(first.get(c, ((True, 1 << 60), 0)), ((i is None, -1 if i is None else i), at))
-            at += c.count("\n") + 1
-    want = Counter()
-    for i, t in rows:
-        kept, gone, at = [], 0, 0
-        for c in cut(t) if t is not None else []:
-            if c in first and first[c] != ((i is None, -1 if i is None else i), at):
-                gone += c.count("\n") + 1
-            else:
-                kept.append(c)
-            at += c.count("\n") + 1
-        want[i, at, gone, sha("\n".join(kept))] += 1
+    want = plain_lines(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = lines.dedup(docs)
     assert pairs(out, "doc_id", "n_lines", "n_removed", "kept_sha256") == want

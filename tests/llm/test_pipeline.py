@@ -121,6 +121,7 @@ def test_stages_take_clashing_and_extra_columns(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and out.count() > 0, name
+        assert not out.filter("score <> 1 or row <> 'x' or k1 <> 2 or _text <> 'y' or id <> 3 or copies <> 4 or n_words <> 5").count(), name
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0, name
