@@ -15,7 +15,7 @@ from siltstone.llm.common import settle, table
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
