@@ -20,6 +20,8 @@ SOURCES = {
     "typescript": r"(?:const|let|var)\s+(\w+)\s*=\s*(?:await\s+)?(?:\w+\.nextUrl\.searchParams|req(?:uest)?\.(?:query|body|params|json|headers))",
 }
 SINKS = {"sql": (r"\b(?:query|execute|queryRaw|raw)\s*\(", "CWE-89"), "command": (r"\b(?:subprocess\.\w+|os\.system|exec|execSync|spawn)\s*\(", "CWE-78")}
+#: Lines that import.
+IMPORT = r"^\s*(import\s|from\s+\S+\s+import\s|const .*require\()"
 SANITIZERS = r"\.(?:parse|safeParse|escape|quote)\(|sanitize|parseInt|int\("
 
 
@@ -47,7 +49,7 @@ def tainted(line: Column, language: str) -> Column:
 
 def imports(code: Column) -> Column:
     """Import lines."""
-    return F.filter(F.split(code, "\n"), lambda x: x.rlike(r"^\s*(import\s|from\s+\S+\s+import\s|const .*require\()"))
+    return F.filter(F.split(code, "\n"), lambda x: x.rlike(IMPORT))
 
 
 def handlers(code: Column) -> Column:
@@ -61,11 +63,11 @@ def handlers(code: Column) -> Column:
 
 def middleware(code: Column) -> Column:
     """struct(detected, has_auth_check, prefixes) of a middleware file."""
-    matcher = F.regexp_extract(code, r"matcher\s*:\s*(\[[^\]]*\])", 1)
+    matcher = F.regexp_extract(code, r"""matcher\s*:\s*(\[[^\]]*\]|'[^']*'|"[^"]*")""", 1)
     return F.struct(
         F.coalesce(code.rlike(r"function\s+middleware|export\s+default"), F.lit(False)).alias("detected"),
         F.coalesce(code.rlike(r"getServerSession|getToken|withAuth|auth\("), F.lit(False)).alias("has_auth_check"),
-        F.regexp_extract_all(matcher, F.lit("'([^']*)'"), F.lit(1)).alias("prefixes"),
+        F.regexp_extract_all(matcher, F.lit("""["']([^"']*)["']"""), F.lit(1)).alias("prefixes"),
     )
 
 

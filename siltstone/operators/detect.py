@@ -16,6 +16,7 @@ FUNCTION = r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\("
 DATABASE = r"\b(?:db|prisma)\.\w+\.\w+\("
 CALLS = r"\b([a-zA-Z_]\w*)\("
 ENTRY = r"@app\.(?:route|get|post|put|delete)|http\.HandleFunc\(|export\s+(?:async\s+)?function\s+(?:GET|POST|PUT|PATCH|DELETE)\b"
+SECURITY_TEXT = r"\b(bcrypt|hashlib|jwt|createCipher)"
 SECURITY = r"(?i)(^|/)[^/]*(auth|crypto|login|session|password|token)[^/]*$"
 
 
@@ -39,8 +40,9 @@ def apply_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def taint(files: DataFrame, language: str = "python") -> DataFrame:
-    """(path, rule_id, cwe, variable, source_line, sink_line): user input that reaches a sink in the same file.
+    """(path, rule_id, cwe, variable, source_line, sink_line, dataflow): user input that reaches a sink in the same file.
 
+    dataflow has a step (file, line, message, label) for the source and one for the sink.
     Source before sink, the variable named in the sink's line, no sanitizer between
     on a line that names it. One hop, within a file.
     """
@@ -54,17 +56,27 @@ def taint(files: DataFrame, language: str = "python") -> DataFrame:
     flows = sources.join(words, ["path", "variable"]).filter("source_line < sink_line")
     cleaned = rows.filter(F.col("text").rlike(text.SANITIZERS)).select("path", F.col("line").alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("variable"))
     between = (flows["path"] == cleaned["path"]) & (flows["variable"] == cleaned["variable"]) & (cleaned["at"] > flows["source_line"]) & (cleaned["at"] <= flows["sink_line"])
-    return flows.join(cleaned, between, "left_anti").select("path", "rule_id", "cwe", "variable", "source_line", "sink_line")
+    step = lambda line, label: F.struct(F.col("path").alias("file"), F.col(line).alias("line"), F.concat(F.lit(f"{label}: "), "variable").alias("message"), F.lit(label).alias("label"))
+    found = flows.join(cleaned, between, "left_anti")
+    return found.select("path", "rule_id", "cwe", "variable", "source_line", "sink_line", F.array(step("source_line", "source"), step("sink_line", "sink")).alias("dataflow"))
 
 
 def word_flows(rows: DataFrame) -> DataFrame:
-    """(path, source_line, sink_line, variable): a word that opens a line and stands in a later line, no sanitizer's line between or at it naming the word."""
+    """(path, source_line, sink_line, variable): a word that opens a line and stands in a later line, with the nearest such line before.
+
+    No line of a sanitizer that names the word lies between or is the sink's. One
+    pass over the lines of each word and file in order, so a word that opens many
+    lines costs no more than those lines.
+    """
     named = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("variable")
-    source = rows.select("path", F.col("line").alias("source_line"), F.regexp_extract("text", r"^(\w+)", 1).alias("variable")).filter(F.col("variable").rlike("^[A-Za-z]+$"))
-    flows = source.join(rows.select("path", F.col("line").alias("sink_line"), named), ["path", "variable"]).filter("source_line < sink_line")
-    cleaned = rows.filter(F.col("text").rlike(text.SANITIZERS)).select("path", F.col("line").alias("at"), named)
-    between = (flows["path"] == cleaned["path"]) & (flows["variable"] == cleaned["variable"]) & (cleaned["at"] > flows["source_line"]) & (cleaned["at"] <= flows["sink_line"])
-    return flows.join(cleaned, between, "left_anti").select("path", "source_line", "sink_line", "variable")
+    opening = F.regexp_extract("text", r"^(\w+)", 1)
+    uses = rows.select("path", "line", opening.alias("opening"), F.col("text").rlike(text.SANITIZERS).alias("cleans"), named)
+    uses = uses.withColumn("opens", (F.col("opening") == F.col("variable")) & F.col("variable").rlike("^[A-Za-z]+$"))
+    before = Window.partitionBy("path", "variable").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("path", "variable").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    found = uses.withColumns({"source_line": F.max(F.when(F.col("opens"), F.col("line"))).over(before), "cleaned": F.max(F.when(F.col("cleans"), F.col("line"))).over(upto)})
+    kept = found.filter(F.col("source_line").isNotNull() & (F.col("cleaned").isNull() | (F.col("cleaned") <= F.col("source_line"))))
+    return kept.select("path", "source_line", F.col("line").alias("sink_line"), "variable")
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -137,7 +149,7 @@ def entry_points(rows: DataFrame) -> DataFrame:
 
 
 def security_files(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("path").rlike(SECURITY) | F.col("text").rlike(r"\b(bcrypt|hashlib|jwt|createCipher)")).select("path")
+    return files.filter(F.col("path").rlike(SECURITY) | F.col("text").rlike(SECURITY_TEXT)).select("path")
 
 
 def reachability(findings: DataFrame, entries: DataFrame, near: int = 10) -> DataFrame:

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from siltstone.functions import paths, scoring, severity
 from siltstone.operators import normalize
 
-#: Words that choose a fix, in order of trial; the first that occurs decides.
+#: Words that choose a fix, in order of trial; the first that occurs decides. A fix has two steps or more.
 FIXES = (
-    ("sql", "use parameterized queries"),
-    ("command", "pass arguments as a list, without a shell"),
-    ("ssrf", "allow known request hosts only"),
-    ("csrf", "require a csrf token"),
-    ("rate", "limit the rate of requests"),
-    ("mass", "allowlist the fields that may be set"),
-    ("timing", "use a constant time comparison"),
-    ("crypt", "use vetted crypto with managed keys"),
-    ("config", "take secrets from config outside the code"),
+    ("sql", "use parameterized queries; add a test with quotes in the input"),
+    ("command", "pass arguments as a list, without a shell; allow known commands only"),
+    ("ssrf", "allow known request hosts only; refuse private addresses"),
+    ("csrf", "require a csrf token; set the same-site flag of cookies"),
+    ("rate", "limit the rate of requests; answer 429 beyond it"),
+    ("mass", "allowlist the fields that may be set; refuse others"),
+    ("timing", "use a constant time comparison; compare digests of equal length"),
+    ("crypt", "use vetted crypto with managed keys; rotate the keys in use"),
+    ("config", "take secrets from config outside the code; revoke those that were in it"),
 )
-GENERIC = "validate input and add a test"
+GENERIC = "validate the input; add a test that shows the fault"
 ARCHETYPES = {("cli-tool", "exec"): "NORMAL for a command line tool", ("web-app", "exec"): "possible RCE", ("library", "exec"): "depends on the caller"}
 
 
@@ -57,6 +57,11 @@ def fix_template(text: Column) -> Column:
     return out
 
 
+def steps(fix: Column) -> Column:
+    """The steps of a fix."""
+    return F.split(fix, "; ")
+
+
 def archetype_context(archetype: Column, kind: Column) -> Column:
     out = F.lit("review in context")
     for (a, k), said in ARCHETYPES.items():
@@ -87,15 +92,15 @@ def write_findings(rows: DataFrame, folder: str) -> None:
     as_json(rows).write.mode("overwrite").text(folder)
 
 
-def merged_sarif(logs: DataFrame, *order: str) -> DataFrame:
-    """One log (value) of all runs; schema, version and runs are there even for no input.
+def merged_sarif(logs: DataFrame, *order: str, by: list[str] | None = None) -> DataFrame:
+    """One log (value) of all runs, or one for each value of the columns ``by``, as of each scan.
 
-    A log is one value, so all runs meet in one row: for the logs of one scan, not
-    for an archive of them.
+    Without ``by``, schema, version and runs are there even for no input. A log is
+    one value, so all its runs meet in one row.
     """
-    runs = logs.agg(F.array_sort(F.collect_list(F.struct(*order, "log.runs"))).alias("all")).select(F.flatten(F.transform("all", lambda x: x["runs"])).alias("runs"))
+    runs = logs.groupBy(*(by or [])).agg(F.array_sort(F.collect_list(F.struct(*order, "log.runs"))).alias("all")).select(*(by or []), F.flatten(F.transform("all", lambda x: x["runs"])).alias("runs"))
     box = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.coalesce("runs", F.array()).alias("runs"))
-    return runs.select(F.to_json(box).alias("value"), F.size("runs").alias("n_runs"))
+    return runs.select(*(by or []), F.to_json(box).alias("value"), F.size("runs").alias("n_runs"))
 
 
 def benchmark_rows(scores: DataFrame) -> DataFrame:

@@ -71,10 +71,10 @@ def exported(findings: DataFrame, min_confidence: float) -> DataFrame:
     return findings.filter((F.col("status") == "false-positive") & (F.col("verdict_confidence") >= min_confidence))
 
 
-def fix_validation(before: DataFrame, after: DataFrame, fingerprint: str) -> DataFrame:
-    """(resolved, new_findings_count) of a rescan."""
+def fix_validation(before: DataFrame, after: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(resolved, new_findings_count) of a rescan; resolved if it has none of the fingerprints in ``fixed``."""
     new = after.select("fingerprint").distinct().join(before.select("fingerprint").distinct(), "fingerprint", "left_anti").agg(F.count(F.lit(1)).alias("new_findings_count"))
-    left = after.agg((F.count_if(F.col("fingerprint") == fingerprint) == 0).alias("resolved"))
+    left = fixed.select("fingerprint").join(after.select("fingerprint"), "fingerprint", "left_semi").agg((F.count(F.lit(1)) == 0).alias("resolved"))
     return left.crossJoin(new)
 
 
