@@ -31,8 +31,8 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def chunks(text: Column) -> Column:
-    """Array of struct(start, n, body): the chunks of a text, in time linear in its length; a text of one line has none."""
+def _spans(ls: Column) -> Column:
+    """Array of start * _SPAN + n: the chunks of these lines, in time linear in their number."""
     line_hash = lambda line: F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("bigint")
     rolling = lambda hs, i: (F.get(hs, i - 1) * BASE + F.get(hs, i)) % MODULUS
     ends = lambda hs, kind: F.filter(F.sequence(F.lit(1), F.size(hs) - 1), lambda i: rolling(hs, i) % KINDS == kind)
@@ -40,15 +40,20 @@ def chunks(text: Column) -> Column:
     stop = lambda hs, es, k: F.when(k == F.size(es), F.size(hs) - 1).otherwise(F.get(es, k))
     place = lambda a, b: a.cast("bigint") * _SPAN + (b - a + 1)
     cut = lambda hs, es: F.transform(F.sequence(F.lit(0), F.size(es)), lambda k: let(start(es, k), lambda a: place(a, stop(hs, es, k))))
-    spans = lambda hs: F.array_distinct(F.concat(*(let(ends(hs, kind), lambda es: cut(hs, es)) for kind in range(KINDS))))
+    return let(F.transform(ls, line_hash), lambda hs: F.array_distinct(F.concat(*(let(ends(hs, kind), lambda es: cut(hs, es)) for kind in range(KINDS)))))
 
-    def body(ls: Column, at: Column) -> Column:
+
+def chunks(text: Column, bodies: bool) -> Column:
+    """Array of struct(start, n, h) and, with ``bodies``, body: the chunks of a text; one of one line has none. h is of the hashes of its lines."""
+
+    def chunk(ls: Column, xs: Column, at: Column) -> Column:
         first, n = F.floor(at / _SPAN).cast("int"), (at % _SPAN).cast("int")
-        return F.struct(first.alias("start"), n.alias("n"), F.array_join(F.slice(ls, first + 1, n), "\n").alias("body"))
+        fields = [first.alias("start"), n.alias("n"), F.xxhash64(F.slice(xs, first + 1, n)).alias("h")]
+        return F.struct(*fields, *([F.array_join(F.slice(ls, first + 1, n), "\n").alias("body")] if bodies else []))
 
-    none = F.lit(None).cast("array<struct<start:int,n:int,body:string>>")
-    every = lambda ls: let(F.transform(ls, line_hash), lambda hs: F.transform(spans(hs), lambda at: body(ls, at)))
-    return let(lines(text), lambda ls: F.when(F.size(ls) < 2, none).otherwise(every(ls)))
+    none = F.lit(None).cast(f"array<struct<start:int,n:int,h:bigint{',body:string' if bodies else ''}>>")
+    every = lambda ls: let(F.transform(ls, lambda x: F.xxhash64(x)), lambda xs: F.transform(_spans(ls), lambda at: chunk(ls, xs, at)))
+    return F.when(F.contains(text, F.lit("\n")), let(lines(text), every)).otherwise(none)
 
 
 def _kept(text: Column, gone: Column) -> Column:
@@ -73,15 +78,14 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drop_text
     rest, back = aside(given, "_t", "_u", "_id", "_none", "_gone", "_maybe")
     text, key = (rest.columns[given.columns.index(c)] for c in (text, key))
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("t"))
-    each = rest.filter(F.col(text).isNotNull()).select(row.alias("row"), F.explode(chunks(F.col(text))).alias("c"))
-    each = each.filter(F.col("c.body").rlike(r"\S")).select("row", "c.start", "c.n", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body"))
-
-    again = settle(each.groupBy("h").count().filter("count > 1").select("h"), "chunks-again", release=True)
-    some = settle(maybe_in(each, "h", membership(again, "h")).filter("_maybe").drop("_maybe"), "chunks")
+    hashes = rest.select(F.explode(chunks(F.col(text), False)["h"]).alias("h"))
+    again = settle(hashes.groupBy("h").count().filter("count > 1").select("h"), "chunks-again", release=True, few=True)
+    each = rest.filter(F.contains(F.col(text), F.lit("\n"))).select(row.alias("row"), F.explode(chunks(F.col(text), True)).alias("c")).select("row", "c.*")
+    some = settle(maybe_in(each, "h", membership(again, "h")).filter("_maybe").drop("_maybe").filter(F.col("body").rlike(r"\S")), "chunks")
     place = F.struct("row", "start")
     first = some.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").drop("n_rows")
     # As a table of its own, so that the rows of a very common chunk can be split in the join.
-    first = settle(first, "chunks-first")
+    first = settle(first, "chunks-first", few=True)
     later = some.join(first, ["h", "body"]).filter(place != F.col("first")).select("row", "start", (F.col("start") + F.col("n")).alias("stop"))
     # Overlapping stretches of a document become one.
     by_row = Window.partitionBy("row").orderBy("start", "stop")
@@ -89,7 +93,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drop_text
     joined = later.withColumn("opens", opens).withColumn("part", F.sum(F.col("opens").cast("int")).over(by_row))
     parts = joined.groupBy("row", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     gone = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("stop") - F.col("start")).alias("n")))).alias("gone"))
-    gone = settle(gone.withColumn("t", F.col("row.t")), "chunks-gone", release=True)
+    gone = settle(gone.withColumn("t", F.col("row.t")), "chunks-gone", release=True, few=True)
     discard(again, some, first)
 
     keyed = maybe_in(rest.withColumn("_t", F.xxhash64(text)), "_t", membership(gone, "t"))

@@ -314,12 +314,13 @@ def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, least) of each member a and that of another root in its groups with the lowest bound."""
     for batch in _whole_groups(batches):
         column = {c: batch.column(c).to_numpy() for c in _MEMBER.names}
-        found = [np.zeros((3, 0), np.int64)]
+        found = np.zeros((3, 0), np.int64)
         for i, j, least in _across(column, _bytes(batch.column("bins"))):
             both = np.stack((np.append(column["id"][i], column["id"][j]), np.append(column["id"][j], column["id"][i]), np.append(least, least)))
-            both = both[:, np.lexsort((both[2], both[0]))]
-            found.append(both[:, np.append(True, np.diff(both[0]) != 0)[: both.shape[1]]])
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.concatenate(found, axis=1)], _FOUND.names)
+            found = np.concatenate((found, both), axis=1)
+            found = found[:, np.lexsort((found[2], found[0]))]
+            found = found[:, np.append(True, np.diff(found[0]) != 0)[: found.shape[1]]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], _FOUND.names)
 
 
 def _shared_below(values: list[np.ndarray], one: int) -> np.ndarray:
@@ -399,13 +400,13 @@ def _hubs(nodes: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _open(nodes: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (one, id, root, blocks) of the buckets that ``links`` do not lead together; root is the least text that they lead to."""
+    """Members (one, id, root, blocks, members) of the buckets that ``links`` do not lead together; root is the least text that they lead to."""
     roots = components(links)
     known = nodes.select("id", "n_words").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n_words", F.coalesce("root", "id").alias("root"))
     rooted = settle(member.select("one", "id").join(known, "id"), "rooted", release=True)
-    split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum("n_words").alias("words")).filter("least < most")
-    out = rooted.join(split.select("one", F.ceil(F.col("words") / F.lit(BLOCK)).cast("int").alias("blocks")), "one")
-    out = settle(out.select("one", "id", "root", "blocks"), "open", release=True)
+    split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum("n_words").alias("words"), F.count(F.lit(1)).alias("members")).filter("least < most")
+    out = rooted.join(split.select("one", "members", F.ceil(F.col("words") / F.lit(BLOCK)).cast("int").alias("blocks")), "one")
+    out = settle(out.select("one", "id", "root", "blocks", "members"), "open", release=True)
     discard(roots, rooted)
     return out
 
@@ -440,8 +441,8 @@ def _aligned(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
 def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Different texts (id, k1, k2, first_doc, copies, ...) and the verified links (a, b) between their ids.
 
-    Links to hubs come first, then those to the likeliest partner that these do not
-    lead to. The texts of a bucket that are still apart and may align are aligned in
+    Links to hubs come first, then those to the likeliest partner in large
+    buckets that these do not lead to. The texts of a bucket that are still apart and may align are aligned in
     their bucket until all that align are linked, so classes are those of all pairs in
     all buckets.
     """
@@ -464,7 +465,9 @@ def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         discard(*(t for t in (pairs, bodies, member, links) if t is not None))
         member, links = left, found
         if not last:
-            best = _dealt(nodes, left).mapInArrow(_likeliest, _FOUND).groupBy("a").agg(F.min_by("b", F.struct("least", "b")).alias("b"))
+            # Buckets that are the largest of one of their texts; the others have their turn below.
+            large = left.groupBy("id").agg(F.max_by("one", F.struct("members", "one")).alias("one")).select("one").distinct()
+            best = _dealt(nodes, left.join(large, "one", "left_semi")).mapInArrow(_likeliest, _FOUND).groupBy("a").agg(F.min_by("b", F.struct("least", "b")).alias("b"))
             pairs = settle(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "likeliest", release=True)
     rest = settle(_dealt(nodes, member).mapInArrow(_partnered, _MEMBER), "rest", release=True)
     bodies = _bodies(keyed, nodes, rest.select("id"))
