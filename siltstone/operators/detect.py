@@ -20,21 +20,24 @@ SECURITY_TEXT = r"\b(bcrypt|hashlib|jwt|createCipher)"
 SECURITY = r"(?i)(^|/)[^/]*(auth|crypto|login|session|password|token)[^/]*$"
 
 
-#: Rules in one broadcast; more go in further passes over the lines.
-RULE_BLOCK = 2000
+#: Rules in one pass over the lines; more go in further passes.
+RULE_BLOCK = 500
 
 
 def apply_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, line, rule_id, severity, cwe): lines that match a rule's pattern (rule_id, pattern, severity, cwe).
 
-    Every line meets every rule, there being no key to join on; rules go out in
-    blocks of bounded size. Patterns are those of Java's regular expressions.
+    Every line meets every rule, there being no key to join on. The rules, which come
+    to the driver, are literals of one expression, so each pattern is compiled once
+    and lines go by in one pass for each RULE_BLOCK rules. Patterns are those of
+    Java's regular expressions.
     """
-    blocks = 1 + rules.count() // RULE_BLOCK
+    known = rules.select("rule_id", "pattern", "severity", "cwe").collect()
     out = None
-    for k in range(blocks):
-        block = rules if blocks == 1 else rules.filter(F.pmod(F.xxhash64("rule_id", "pattern"), F.lit(blocks)) == k)
-        hits = rows.join(F.broadcast(block), F.expr("regexp_like(text, pattern)")).select("path", "line", "rule_id", "severity", "cwe")
+    for at in range(0, max(1, len(known)), RULE_BLOCK):
+        each = [F.when(F.col("text").rlike(r["pattern"]), F.struct(*[F.lit(r[c]).cast("string").alias(c) for c in ("rule_id", "severity", "cwe")])) for r in known[at : at + RULE_BLOCK]]
+        found = F.array_compact(F.array(*each)) if each else F.array().cast("array<struct<rule_id:string,severity:string,cwe:string>>")
+        hits = rows.select("path", "line", F.explode(found).alias("r")).select("path", "line", "r.*")
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -178,7 +181,7 @@ def project(files: DataFrame) -> DataFrame:
 
 
 def corpus_scores(findings: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(path, labels, missed, false_positives, precision, recall).
+    """(path, n_lines, labels, missed, false_positives, precision, recall).
 
     A label is met by a finding of its rule on its line or the two after; a finding
     on an ``ok`` line is false. sizes: (path, n_lines).
@@ -190,12 +193,18 @@ def corpus_scores(findings: DataFrame, labels: DataFrame, sizes: DataFrame) -> D
     bad = labels.filter("polarity = 'ok'").join(rows.withColumnRenamed("found", "line"), ["path", "rule_id", "line"], "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("false_positives"))
     out = sizes.join(recall, "path", "left").join(bad, "path", "left").na.fill(0, ["labels", "missed", "false_positives"])
     return out.select(
-        "path", "labels", "missed", "false_positives",
+        "path", "n_lines", "labels", "missed", "false_positives",
         F.round(1 - F.col("false_positives") / F.greatest("n_lines", F.lit(1)), 6).alias("precision"),
         F.round(1 - F.col("missed") / F.greatest("labels", F.lit(1)), 6).alias("recall"),
     )
 
 
+def corpus_report(scores: DataFrame) -> DataFrame:
+    """Overall (files, n_lines, labels, missed, false_positives, precision, recall) of the scores of a corpus."""
+    sums = scores.agg(F.count(F.lit(1)).alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_lines", "labels", "missed", "false_positives")])
+    return sums.withColumns({"precision": F.round(1 - F.col("false_positives") / F.greatest("n_lines", F.lit(1)), 6), "recall": F.round(1 - F.col("missed") / F.greatest("labels", F.lit(1)), 6)})
+
+
 def rule_coverage(rules: DataFrame, labels: DataFrame) -> DataFrame:
     """(language, total_rules, covered_rules) of each language and overall (NULL): covered rules have an annotation."""
     seen = labels.filter("polarity = 'ruleid'").select("rule_id").distinct().withColumn("_seen", F.lit(True))

@@ -40,6 +40,40 @@ def enrichment_summary(rows: DataFrame) -> DataFrame:
     return enriched(rows).groupBy("origin", "triage_status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("evidence_strength = 'dataflow-trace'")).alias("with_trace"))
 
 
+def enrichment_totals(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by.., by_origin, by_triage, dataflow_supported, notes, discovery_categories): counts of a set of findings as maps.
+
+    Notes are findings with a status other than active; the categories are the rules
+    of what the language model found. Counts are made before anything meets in a row.
+    """
+    by = by or []
+    each = enriched(rows).withColumn("found", F.when(F.col("origin") == "llm-discovery", F.col("rule_id")))
+    n = each.groupBy(*by, "origin", "triage_status", "found").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("evidence_strength = 'dataflow-trace'")).alias("traced"), F.count_if(F.col("status") != "active").alias("noted"))
+
+    def counted(column: str) -> Column:
+        pairs = F.collect_list(F.struct(F.col(column).alias("k"), "n"))
+        keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: x["k"])))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.aggregate(F.filter(pairs, lambda x: x["k"] == k), F.lit(0).cast("bigint"), lambda s, x: s + x["n"]))))
+
+    return n.groupBy(*by).agg(counted("origin").alias("by_origin"), counted("triage_status").alias("by_triage"), F.sum("traced").alias("dataflow_supported"), F.sum("noted").alias("notes"), F.array_sort(F.collect_set("found")).alias("discovery_categories"))
+
+
+def summary(rows: DataFrame, by: list[str], gate_mode: str = "standard") -> DataFrame:
+    """(by.., value): for each set of findings, as a scan, one JSON object of summary, findings, findings_enriched, analysis_enrichment and gate_mode.
+
+    The findings of a set meet in one row, as the object is one value: for scans, not archives.
+    """
+    names = [c for c in rows.columns if c not in by]
+    more = enriched(rows).groupBy(*by).agg(
+        F.struct(F.count(F.lit(1)).alias("total"), F.struct(*[F.count_if(F.col("severity") == s).alias(s) for s in reversed(severity.ORDER)]).alias("by_severity")).alias("summary"),
+        F.array_sort(F.collect_list(F.struct(*names))).alias("findings"),
+        F.array_sort(F.collect_list(F.struct(*names, "origin", "evidence_strength", "triage_status"))).alias("findings_enriched"),
+    )
+    totals = enrichment_totals(rows, by)
+    box = F.struct("summary", "findings", "findings_enriched", F.struct(*[c for c in totals.columns if c not in by]).alias("analysis_enrichment"), F.lit(gate_mode).alias("gate_mode"))
+    return more.join(totals, by).select(*by, F.to_json(box).alias("value"))
+
+
 def grouped(rows: DataFrame, by: str) -> DataFrame:
     """(group, n, worst): by severity in capitals, or by the first path component."""
     key = F.upper("severity") if by == "severity" else paths.top(F.col("file"))

@@ -46,7 +46,7 @@ _LABELS = "b AS (SELECT path, line - (path::BIGINT % 4)::INT AS line, rule_id, '
     _HITS
     + f""", {_LABELS}, m AS (SELECT b.*, EXISTS (SELECT 1 FROM h WHERE h.path = b.path AND h.rule_id = b.rule_id AND h.line BETWEEN b.line AND b.line + 2) AS met FROM b WHERE polarity = 'ruleid'),
     n AS (SELECT path, count(*) AS n_lines FROM l GROUP BY path), q AS (SELECT path, count(*) AS labels, count(*) FILTER (WHERE NOT met) AS missed FROM m GROUP BY path), x AS (SELECT path, count(*) AS fp FROM b WHERE polarity = 'ok' GROUP BY path)
-    SELECT path, coalesce(labels, 0) AS labels, coalesce(missed, 0) AS missed, coalesce(fp, 0) AS false_positives, round(1 - coalesce(fp, 0) / greatest(n_lines, 1), 6)::DOUBLE AS precision, round(1 - coalesce(missed, 0) / greatest(coalesce(labels, 0), 1), 6)::DOUBLE AS recall FROM n LEFT JOIN q USING (path) LEFT JOIN x USING (path)""",
+    SELECT path, n_lines, coalesce(labels, 0) AS labels, coalesce(missed, 0) AS missed, coalesce(fp, 0) AS false_positives, round(1 - coalesce(fp, 0) / greatest(n_lines, 1), 6)::DOUBLE AS precision, round(1 - coalesce(missed, 0) / greatest(coalesce(labels, 0), 1), 6)::DOUBLE AS recall FROM n LEFT JOIN q USING (path) LEFT JOIN x USING (path)""",
     raw=True,
 )
 def corpus_scores(spark, sf_dir):
@@ -58,6 +58,17 @@ def corpus_scores(spark, sf_dir):
     return detect.corpus_scores(hits.select("path", "line", "rule_id"), want.union(fine), sizes)
 
 
+@query(
+    _HITS
+    + f""", {_LABELS}, m AS (SELECT b.*, EXISTS (SELECT 1 FROM h WHERE h.path = b.path AND h.rule_id = b.rule_id AND h.line BETWEEN b.line AND b.line + 2) AS met FROM b WHERE polarity = 'ruleid'),
+    s AS (SELECT (SELECT count(DISTINCT path) FROM l) AS files, (SELECT count(*) FROM l) AS n_lines, (SELECT count(*) FROM m) AS labels, (SELECT count(*) FROM m WHERE NOT met) AS missed, (SELECT count(*) FROM b WHERE polarity = 'ok') AS false_positives)
+    SELECT *, round(1 - false_positives / greatest(n_lines, 1), 6)::DOUBLE AS precision, round(1 - missed / greatest(labels, 1), 6)::DOUBLE AS recall FROM s""",
+    raw=True,
+)
+def corpus_report(spark, sf_dir):
+    return detect.corpus_report(corpus_scores(spark, sf_dir))
+
+
 @query(_HITS + " SELECT rule_id, count(*) AS hits, count(DISTINCT path) AS n_files FROM h GROUP BY rule_id", raw=True)
 def corpus_overall(spark, sf_dir):
     return rule_hits_by_line(spark, sf_dir).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("path").alias("n_files"))

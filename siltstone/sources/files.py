@@ -53,8 +53,12 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def sarif(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``log``; keeps only valid logs of version 2.1.0. As a generator's input each text is parsed once."""
-    valid = F.filter(F.array(F.from_json(text, schemas.SARIF)), lambda x: x["version"] == "2.1.0")
+    """Adds ``log``; keeps only valid logs of version 2.1.0. As a generator's input each text is parsed once.
+
+    The text is parsed as the one element of an array, so that nothing may follow the log.
+    """
+    one = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{schemas.SARIF}>>")
+    valid = F.filter(F.when(F.size(one) == 1, one), lambda x: x["version"] == "2.1.0")
     return texts.select("*", F.explode(valid).alias("log"))
 
 
