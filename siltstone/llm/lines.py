@@ -83,10 +83,15 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drop_text
     each = rest.filter(F.contains(F.col(text), F.lit("\n"))).select(row.alias("row"), F.explode(chunks(F.col(text), True)).alias("c")).select("row", "c.*")
     some = settle(maybe_in(each, "h", membership(again, "h")).filter("_maybe").drop("_maybe").filter(F.col("body").rlike(r"\S")), "chunks")
     place = F.struct("row", "start")
-    first = some.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").drop("n_rows")
-    # As a table of its own, so that the rows of a very common chunk can be split in the join.
-    first = settle(first, "chunks-first", few=True)
-    later = some.join(first, ["h", "body"]).filter(place != F.col("first")).select("row", "start", (F.col("start") + F.col("n")).alias("stop"))
+    # Grouping by bytes tells which hashes have one body only; those are joined without it.
+    first = lambda rows, *by: rows.groupBy(*by).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows"))
+    whole = first(some, "h", "body").groupBy("h").agg(F.count(F.lit(1)).alias("bodies"), F.min("first").alias("first"), F.sum("n_rows").alias("n_rows"))
+    whole = settle(whole, "chunks-first", release=True, few=True)
+    stretch = ["row", "start", (F.col("start") + F.col("n")).alias("stop")]
+    later = some.select("row", "start", "n", "h").join(whole.filter("bodies = 1 and n_rows > 1").select("h", "first"), "h").filter(place != F.col("first")).select(*stretch)
+    if whole.filter("bodies > 1").head(1):
+        mixed = some.join(whole.filter("bodies > 1").select("h"), "h", "left_semi")
+        later = later.unionByName(mixed.join(first(mixed, "h", "body").drop("n_rows"), ["h", "body"]).filter(place != F.col("first")).select(*stretch))
     # Overlapping stretches of a document become one.
     by_row = Window.partitionBy("row").orderBy("start", "stop")
     opens = F.coalesce(F.col("start") > F.max("stop").over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
@@ -94,16 +99,16 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", *, drop_text
     parts = joined.groupBy("row", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     gone = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("stop") - F.col("start")).alias("n")))).alias("gone"))
     gone = settle(gone.withColumn("t", F.col("row.t")), "chunks-gone", release=True, few=True)
-    discard(again, some, first)
+    discard(again, some, whole)
 
     keyed = maybe_in(rest.withColumn("_t", F.xxhash64(text)), "_t", membership(gone, "t"))
     g = gone.select(F.col("row.none").alias("_none"), F.col("row.id").alias("_id"), F.col("t").alias("_u"), F.col("gone").alias("_gone"))
     touched = keyed.filter("_maybe").join(g, (F.col("_t") == F.col("_u")) & F.col(key).eqNullSafe(F.col("_id")) & F.col(text).isNotNull(), "left")
     empty = F.lit(None).cast("array<struct<start:int,n:int>>")
-    whole = touched.select(*rest.columns, "_gone").unionByName(keyed.filter("not _maybe").select(*rest.columns, empty.alias("_gone")))
+    rows = touched.select(*rest.columns, "_gone").unionByName(keyed.filter("not _maybe").select(*rest.columns, empty.alias("_gone")))
     n_removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda s, x: s + x["n"]), F.lit(0)).cast("bigint")
     kept_text = F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(_kept(F.col(text), F.col("_gone")), "\n"))
-    out = whole.select(
+    out = rows.select(
         *[F.col(c).alias(back.get(c, c)) for c in rest.columns if c != text or not drop_text],
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text), F.lit("\n")) + 1).cast("bigint").alias("n_lines"),
         n_removed.alias("n_removed"),

@@ -441,8 +441,8 @@ def _aligned(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
 def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Different texts (id, k1, k2, first_doc, copies, ...) and the verified links (a, b) between their ids.
 
-    Links to hubs come first, then those to the likeliest partner in large
-    buckets that these do not lead to. The texts of a bucket that are still apart and may align are aligned in
+    Links to hubs come first, then those to the likeliest partner in a
+    text's largest bucket that these do not lead to. The texts of a bucket that are still apart and may align are aligned in
     their bucket until all that align are linked, so classes are those of all pairs in
     all buckets.
     """
@@ -465,9 +465,9 @@ def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         discard(*(t for t in (pairs, bodies, member, links) if t is not None))
         member, links = left, found
         if not last:
-            # Buckets that are the largest of one of their texts; the others have their turn below.
-            large = left.groupBy("id").agg(F.max_by("one", F.struct("members", "one")).alias("one")).select("one").distinct()
-            best = _dealt(nodes, left.join(large, "one", "left_semi")).mapInArrow(_likeliest, _FOUND).groupBy("a").agg(F.min_by("b", F.struct("least", "b")).alias("b"))
+            # Each text in the largest of its open buckets; the others have their turn below.
+            large = left.groupBy("id").agg(F.max_by(F.struct("one", "root", "blocks"), F.struct("members", "one")).alias("m")).select("id", "m.*")
+            best = _dealt(nodes, large).mapInArrow(_likeliest, _FOUND).groupBy("a").agg(F.min_by("b", F.struct("least", "b")).alias("b"))
             pairs = settle(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "likeliest", release=True)
     rest = settle(_dealt(nodes, member).mapInArrow(_partnered, _MEMBER), "rest", release=True)
     bodies = _bodies(keyed, nodes, rest.select("id"))

@@ -556,6 +556,18 @@ def test_lines_of_copies_are_all_found(spark):
     assert all(got[i]["n_removed"] == (got[i]["n_lines"] if i % 2 and i > 1 else 0) for i in got)
 
 
+def test_lines_of_unlike_chunks_with_one_hash_stay(spark, monkeypatch):
+    """With hashes of five values, only chunks of equal bytes go."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(i, "\n".join(f"l{rng.randrange(6)}" for _ in range(rng.randint(1, 8)))) for i in range(60)]
+    want, real = plain_lines(rows), lines.chunks
+    fold = lambda text, bodies: F.transform(real(text, bodies), lambda c: c.withField("h", F.pmod(c["h"], F.lit(5))))
+    monkeypatch.setattr(lines, "chunks", fold)
+    assert pairs(lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_lines", "n_removed", "kept_sha256") == want
+
+
 def test_lines_keep_the_values_of_clashing_columns(spark):
     rows = [(1, "a\nb\nc", "x", 5), (2, "a\nb\nc", "y", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _t string, _maybe int")
