@@ -32,10 +32,10 @@ from siltstone.operators.graph import components
 
 #: Words of a shingle; least share of words that stay in an alignment; hash functions and shingles that each picks.
 SHINGLE, SIMILAR, HASHES, PICKS = 5, 0.8, 20, 4
-#: Bins of a text's word histogram; words of the members of a bucket that one task compares with as many others.
-BINS, BLOCK = 256, 1 << 18
-#: Pairs compared at a time in a task, and alignments between two looks at what is linked by then.
-_LANES, _TURN = 1 << 15, 256
+#: Bins of a text's word histogram; words of the members of a bucket (a member counting BINS more) that one task compares with as many others.
+BINS, BLOCK = 256, 1 << 20
+#: Pairs compared at a time in a task; alignments between two looks at what is linked by then; members in a tile of pairs.
+_LANES, _TURN, _TILE = 1 << 15, 256, 2048
 _PLACE = 28
 _SEEDS = K.mix(np.arange(1, 2 * HASHES + 1, dtype=K.U) * K.U(0xA0761D6478BD642F)).reshape(2, HASHES) | K.U(1)
 #: Far from any row number, with whose hashes they are mixed.
@@ -323,21 +323,29 @@ def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], _FOUND.names)
 
 
-def _shared_below(values: list[np.ndarray], one: int) -> np.ndarray:
-    """Which members share a value below that of their bucket, and so meet in another one: a square matrix."""
-    below = [v[v < np.int64(one)] for v in values]
-    flat = np.concatenate(below)
-    owner = np.repeat(np.arange(len(below)), [len(v) for v in below])
-    known, inverse, often = np.unique(flat, return_inverse=True, return_counts=True)
-    number = np.cumsum(often > 1) - 1
-    shared = often[inverse] > 1
-    total = np.zeros((len(below), len(below)), bool)
-    for a in range(0, int((often > 1).sum()), 4096):
-        here = shared & (number[inverse] >= a) & (number[inverse] < a + 4096)
-        table = np.zeros((len(below), 4096), np.float32)
-        table[owner[here], number[inverse[here]] - a] = 1
-        total |= table @ table.T > 0
-    return total
+def _meet_here(values: list[np.ndarray], one: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs of members share no value below that of their bucket, and so meet in no earlier one; a tile of members at a time."""
+    keep = np.ones(len(p), bool)
+    tile = (p // _TILE) * (1 + len(values) // _TILE) + q // _TILE
+    order = np.argsort(tile, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1) if len(order) else []:
+        first = [int(x[at[0]]) // _TILE * _TILE for x in (p, q)]
+        sides = [[v[v < np.int64(one)] for v in values[f : f + _TILE]] for f in first]
+        flat = [np.concatenate(side) for side in sides]
+        owner = [np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in sides]
+        known = np.intersect1d(*flat)
+        total = np.zeros((len(sides[0]), len(sides[1])), bool)
+        for k in range(0, len(known), 4096):
+            here, tables = known[k : k + 4096], []
+            for side, own, v in zip(sides, owner, flat, strict=True):
+                spot = np.minimum(np.searchsorted(here, v), len(here) - 1)
+                hit = here[spot] == v
+                table = np.zeros((len(side), len(here)), np.float32)
+                table[own[hit], spot[hit]] = 1
+                tables.append(table)
+            total |= tables[0] @ tables[1].T > 0
+        keep[at] = ~total[p[at] - first[0], q[at] - first[1]]
+    return keep
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,9 +372,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.append(True, np.diff(group) != 0)) if len(group) else np.zeros(0, np.int64)
         for a, b in zip(edges, np.append(edges[1:], len(group)), strict=True):
             first, last = starts[group[a]], starts[group[a] + 1]
-            elsewhere = _shared_below([np.unique(v[v != 0]) for v in values[first:last]], column["one"][first])
             p, q = i[a:b] - first, j[a:b] - first
-            keep = ~elsewhere[p, q]
+            keep = _meet_here([np.unique(v[v != 0]) for v in values[first:last]], column["one"][first], p, q)
             p, q = p[keep], q[keep]
             label = np.unique(column["root"][first:last], return_inverse=True)[1]
             while len(p):
@@ -404,7 +411,7 @@ def _open(nodes: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links)
     known = nodes.select("id", "n_words").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n_words", F.coalesce("root", "id").alias("root"))
     rooted = settle(member.select("one", "id").join(known, "id"), "rooted", release=True)
-    split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum("n_words").alias("words"), F.count(F.lit(1)).alias("members")).filter("least < most")
+    split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum(F.col("n_words") + BINS).alias("words"), F.count(F.lit(1)).alias("members")).filter("least < most")
     out = rooted.join(split.select("one", "members", F.ceil(F.col("words") / F.lit(BLOCK)).cast("int").alias("blocks")), "one")
     out = settle(out.select("one", "id", "root", "blocks", "members"), "open", release=True)
     discard(roots, rooted)

@@ -319,7 +319,8 @@ def test_histograms_bound_the_edit_distance():
 
 def test_large_buckets_in_blocks_are_the_same(spark, docs, monkeypatch):
     once = pairs(near_dup.label(docs), "doc_id", "class_id", "class_size")
-    monkeypatch.setattr(near_dup, "BLOCK", 300)
+    monkeypatch.setattr(near_dup, "BLOCK", 800)
+    monkeypatch.setattr(near_dup, "_TILE", 2)
     monkeypatch.setattr(near_dup, "_LANES", 3)
     monkeypatch.setattr(near_dup, "_TURN", 2)
     assert pairs(near_dup.label(docs), "doc_id", "class_id", "class_size") == once
