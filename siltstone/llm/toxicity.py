@@ -1,9 +1,11 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A token's input is the sum of embeddings of its word and of its characters (its
-first four and six bytes and its last four), so that unseen words still speak
-through their spelling. A text's score is the highest over all its overlapping
-windows. Labels are of texts, so training looks for each text's most telling window.
+A token's input is the embedding of its word plus those of all its runs of GRAM
+characters (code points; a shorter word is one run), over the root of their number,
+so that unseen words still speak through their spelling, wherever in the word it is.
+A word of more than PIECE runs is several tokens, so that a long one is not watered
+down. A text's score is the highest over all its overlapping windows. Labels are of
+texts, so training looks for each text's most telling window.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +23,13 @@ from pyspark.sql import types as T
 from siltstone.llm import kernel as K
 from siltstone.llm.common import ship
 
-#: Words of a window and between the starts of two; a text's last window ends with it.
+#: Characters of a run, and runs of a token at most.
+GRAM, PIECE = 4, 24
+#: Tokens of a window and between the starts of two; a text's last window ends with it.
 WINDOW, STRIDE = 64, 48
-#: The labelled texts to learn from: at most so many of each class, by the hash of their ids, none longer than this.
-POSITIVES, NEGATIVES, TRAIN_CHARS = 1500, 3000, 20_000
+#: The labelled texts to learn from: at most so many of each class, by the hash of their ids, none longer than this;
+#: and of each class those of least id whose bytes together stay within this, at least one.
+POSITIVES, NEGATIVES, TRAIN_CHARS, TRAIN_BYTES = 1500, 3000, 20_000, 8 << 20
 #: Vocabulary: inputs found in at least so many training texts, the most frequent so many; sizes of embedding and hidden state.
 MIN_TEXTS, VOCABULARY, EMBED, HIDDEN = 3, 1 << 16, 8, 8
 EPOCHS, UPDATES, BATCH, RATE, SEED = 6, 160, 256, 0.01, 7
@@ -31,19 +37,51 @@ EPOCHS, UPDATES, BATCH, RATE, SEED = 6, 160, 256, 0.01, 7
 PRIOR_TEXTS = 3.0
 #: A text is predicted toxic from this score on.
 TOXIC = 0.5
-_SLOTS, _LANES = 1 << 19, 1024
-
-
-def inputs(words: K.Words) -> np.ndarray:
-    """Four hashes of each word, 0 where the word is too short: the word, its first 4 and 6 bytes, its last 4."""
-    out = np.zeros((4, len(words)), K.U)
-    size = words.end - words.start
-    out[0] = words.hashes() ^ K.U(1)
-    for k, (least, first, last) in enumerate(((4, 0, 4), (6, 0, 6), (4, -4, 0)), 1):
-        long = np.flatnonzero(size >= least)
-        begin = words.start[long] if last else words.end[long] - 4
-        end = words.start[long] + last if last else words.end[long]
-        out[k, long] = K.mix(words.spans(begin, end) + K.U(k + 1))
+_SLOTS, _LANES, _BLOCK = 1 << 19, 1024, 1 << 15
+
+
+@dataclass
+class Tokens:
+    """Input hashes of the tokens of some texts: token t has word[t] and gram[edge[t]:edge[t + 1]]; bounds[d]:bounds[d + 1] are those of text d."""
+
+    word: np.ndarray
+    gram: np.ndarray
+    edge: np.ndarray
+    bounds: np.ndarray
+
+
+def tokens(words: K.Words) -> Tokens:
+    """The tokens of words: every run of GRAM code points of a word is in one of them."""
+    lead = np.append(np.flatnonzero((words.data & 0xC0) != 0x80), len(words.data))
+    first, past = np.searchsorted(lead, words.start), np.searchsorted(lead, words.end)
+    runs = np.maximum(1, past - first - (GRAM - 1))
+    word = np.repeat(np.arange(len(words)), runs)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(runs) - runs, runs)
+    at = first[word] + place
+    begin, end = lead[at], lead[np.minimum(at + GRAM, past[word])]
+    head = np.flatnonzero(place % PIECE == 0)
+    edge = np.append(head, len(word))
+    return Tokens(words.spans(begin[head], end[edge[1:] - 1]) ^ K.U(1), K.mix(words.spans(begin, end) + K.U(2)), edge, np.searchsorted(word[head], words.bounds))
+
+
+def joined(parts: list[Tokens]) -> Tokens:
+    """Tokens of the texts of all parts, one after the other."""
+    word, gram = (np.concatenate([getattr(p, k) for p in parts]) for k in ("word", "gram"))
+    counts, texts = (np.concatenate([np.diff(getattr(p, k)) for p in parts]) for k in ("edge", "bounds"))
+    return Tokens(word, gram, np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(texts)))
+
+
+def spread(edge: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the grams of chosen tokens, in order, and how many each token has."""
+    count = edge[chosen + 1] - edge[chosen]
+    return np.arange(count.sum()) + np.repeat(edge[chosen] - (np.cumsum(count) - count), count), count
+
+
+def vectors(table: np.ndarray, word: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Input vectors of tokens from rows of the embedding: a word's and its grams', count of them each."""
+    out = table[word]
+    if len(word):
+        out = out + np.add.reduceat(table[gram], np.cumsum(count) - count) / np.sqrt(count, dtype=np.float32)[:, None]
     return out
 
 
@@ -71,11 +109,13 @@ class Network:
         slot = (hashes & K.U(_SLOTS - 1)).astype(np.int32)
         return np.where(self.keys[slot] == hashes, self.rows[slot], 0)
 
-    def embed(self, found: np.ndarray) -> np.ndarray:
-        """The input vectors of words given by their input hashes, with a row of zeros behind them."""
-        out = np.zeros((found.shape[1] + 1, EMBED), np.float32)
-        for h in found:
-            out[:-1] += self.weights["embedding"][self.lookup(h)]
+    def embed(self, found: Tokens) -> np.ndarray:
+        """The input vectors of tokens, with a row of zeros behind them."""
+        out = np.zeros((len(found.word) + 1, EMBED), np.float32)
+        for a in range(0, len(found.word), _BLOCK):
+            edge = found.edge[a : a + _BLOCK + 1]
+            words, grams = self.lookup(found.word[a : a + _BLOCK]), self.lookup(found.gram[edge[0] : edge[-1]])
+            out[a : a + len(words)] = vectors(self.weights["embedding"], words, grams, np.diff(edge))
         return out
 
     def logits(self, x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -95,10 +135,10 @@ class Network:
         """A score from 0 to 1 of each text."""
         if self.constant is not None:
             return np.full(len(offsets) - 1, self.constant)
-        words = K.find_words(data, offsets, K.ALNUM, K.LOWER)
-        text, first, size = windows(words.bounds)
+        found = tokens(K.find_words(data, offsets, K.ALNUM, K.LOWER))
+        text, first, size = windows(found.bounds)
         best = np.full(len(offsets) - 1, -30.0)
-        np.maximum.at(best, text, self.logits(self.embed(inputs(words)), first, size).astype(float))
+        np.maximum.at(best, text, self.logits(self.embed(found), first, size).astype(float))
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
@@ -179,22 +219,16 @@ def train(column, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) ->
     nothing = np.zeros(0)
     if not (labels == 1).any() or not (labels == 0).any():
         return Network(nothing, nothing, {}, float((labels == 1).sum() / (len(labels) + 1)))
-    pieces, counts = [], []
-    for _, _, data, offsets in K.slices(column):
-        words = K.find_words(data, offsets, K.ALNUM, K.LOWER)
-        pieces.append(inputs(words))
-        counts.append(words.count)
-    found, bounds = np.concatenate(pieces, axis=1), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-    n_words = found.shape[1]
+    found = joined([tokens(K.find_words(data, offsets, K.ALNUM, K.LOWER)) for _, _, data, offsets in K.slices(column)])
+    bounds, n_tokens = found.bounds, len(found.word)
     doc = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(bounds))
 
     # Vocabulary, and the log odds of each entry as the first coordinate of its embedding.
     entries = []
-    for h in found:
-        _, one = np.unique(K.mix(h ^ K.mix(doc.astype(K.U) + K.U(1))), return_index=True)
-        one = one[h[one] != 0]
+    for h, owner in ((found.word, doc), (found.gram, np.repeat(doc, np.diff(found.edge)))):
+        _, one = np.unique(K.mix(h ^ K.mix(owner.astype(K.U) + K.U(1))), return_index=True)
         own, inverse, texts = np.unique(h[one], return_inverse=True, return_counts=True)
-        entries.append((own, texts, np.bincount(inverse, weights=labels[doc[one]] == 1, minlength=len(own))))
+        entries.append((own, texts, np.bincount(inverse, weights=labels[owner[one]] == 1, minlength=len(own))))
     known, texts, toxic = (np.concatenate(e) for e in zip(*entries, strict=True))
     often = np.flatnonzero(texts >= MIN_TEXTS)
     often = often[np.argsort(-texts[often], kind="stable")][:VOCABULARY]
@@ -216,9 +250,7 @@ def train(column, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) ->
         w |= {f"{side}_in": wide(EMBED, 3 * HIDDEN), f"{side}_rec": wide(HIDDEN, 3 * HIDDEN), f"{side}_bias": np.zeros(3 * HIDDEN, np.float32)}
     net = Network(keys, rows, w)
 
-    ids = np.zeros((4, n_words + 1), np.int32)
-    for k, h in enumerate(found):
-        ids[k, :-1] = net.lookup(h)
+    word_rows, gram_rows = net.lookup(found.word), net.lookup(found.gram)
     text, first, size = windows(bounds)
     starts = np.searchsorted(text, np.arange(len(labels)))
     step = np.arange(WINDOW)[:, None]
@@ -245,7 +277,7 @@ def train(column, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) ->
             part = use[a : a + batch]
             longest = max(1, int(size[part].max()))
             mask = step[:longest] < size[part]
-            at = np.where(mask, first[part] + step[:longest], n_words)
+            at = np.where(mask, first[part] + step[:longest], n_tokens)
             if len(clean):
                 # A word of clean texts, repeated through a window, is clean as well.
                 same = np.broadcast_to(rng.choice(clean, max(1, len(part) // 8)), (longest, max(1, len(part) // 8)))
@@ -254,11 +286,15 @@ def train(column, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) ->
             goal[: len(part)] = labels[text[part]]
             importance = np.full(at.shape[1], 0.5)
             importance[: len(part)] = weigh[text[part]]
-            picked = ids[:, at]
-            _, grad, dx = gradients(w, table[picked].sum(0), mask, goal, importance / len(part))
-            flat = np.zeros_like(table)
-            for k in range(4):
-                np.add.at(flat, picked[k].ravel(), dx.reshape(-1, EMBED))
+            token = at[mask]
+            places, count = spread(found.edge, token)
+            x_part = np.zeros((*at.shape, EMBED), np.float32)
+            x_part[mask] = vectors(table, word_rows[token], gram_rows[places], count)
+            _, grad, dx = gradients(w, x_part, mask, goal, importance / len(part))
+            d = dx[mask]
+            rows_hit = np.concatenate((word_rows[token], gram_rows[places]))
+            d = np.concatenate((d, np.repeat(d / np.sqrt(count, dtype=np.float32)[:, None], count, axis=0)))
+            flat = np.stack([np.bincount(rows_hit, weights=d[:, c], minlength=len(table)) for c in range(EMBED)], axis=1).astype(np.float32)
             flat[0] = 0
             grad["embedding"] = flat
             turn += 1
@@ -281,13 +317,19 @@ def sample(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
         ids = part if ids is None else ids.unionByName(part)
     # At most POSITIVES + NEGATIVES ids, whatever the input.
     rows = docs.filter(F.length(text) <= TRAIN_CHARS).select(key, text).join(F.broadcast(ids), key)
-    return rows.groupBy(key).agg(F.min(text).alias("text"), F.first(name).cast("int").alias("label")).select("text", "label", key).orderBy(key).select("text", "label").toArrow()
+    found = rows.groupBy(key).agg(F.min(text).alias("text"), F.first(name).cast("int").alias("label")).select("text", "label", key).orderBy(key).select("text", "label").toArrow()
+    label, size = found["label"].to_numpy(), pc.binary_length(found["text"]).to_numpy()
+    keep = np.zeros(len(label), bool)
+    for value in (0, 1):
+        own = np.flatnonzero(label == value)
+        keep[own[(np.cumsum(size[own]) <= TRAIN_BYTES) | (np.arange(len(own)) == 0)]] = True
+    return found.filter(pa.array(keep))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", name: str = "toxic", drop_text: bool = False) -> DataFrame:
     """``docs`` with its columns, ``score`` and ``predicted``: one scan after training on a bounded sample, no shuffle.
 
-    Null and empty texts are one window of no words. Repeated rows are scored
+    Null and empty texts are one window of no words; long ones are scored whole. Repeated rows are scored
     alike. If the sample lacks a class, all rows have the share of label 1.
     Columns named ``score`` or ``predicted`` are replaced.
     """

@@ -454,6 +454,115 @@ def test_network_gradients():
     assert not dx[3, 1].any()
 
 
+def plain_tokens(text):
+    """(whole, runs) of the tokens of a text: runs of letters, digits and what is not ASCII, cut after each 24 runs of four characters."""
+    out = []
+    for word in re.findall(r"[0-9a-z\x80-\U0010FFFF]+", "".join(c.lower() if c.isascii() else c for c in text)):
+        runs = [word[i : i + 4] for i in range(max(1, len(word) - 3))]
+        for a in range(0, len(runs), 24):
+            part = runs[a : a + 24]
+            out.append((word[a : a + len(part) - 1 + len(part[-1])], part))
+    return out
+
+
+@pytest.mark.parametrize("texts", [["", "Ab cétés x", "中文字符串" * 20, "q" * 27 + " " + "r" * 28, "!?"], ["", ""], ["a" * 1000]])
+def test_tokens_hold_every_character(texts):
+    import pyarrow as pa
+
+    for _, _, data, offsets in kernel.slices(pa.array(texts)):
+        got = toxicity.tokens(kernel.find_words(data, offsets, kernel.ALNUM, kernel.LOWER))
+    want = [plain_tokens(t) for t in texts]
+    assert np.diff(got.bounds).tolist() == [len(t) for t in want]
+    flat = [t for doc in want for t in doc]
+    assert np.diff(got.edge).tolist() == [len(runs) for _, runs in flat]
+    # Equal strings have equal hashes, unlike ones unlike.
+    for hashes, names in ((got.word, [w for w, _ in flat]), (got.gram, [r for _, runs in flat for r in runs])):
+        assert len(hashes) == len(names) and len(set(zip(hashes.tolist(), names))) == len(set(names)) == len(set(hashes.tolist()))
+
+
+def test_scores_equal_a_plain_network():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, rng.randint(5, 150), 60) + (["vile"] if i % 2 else [])) for i in range(60)] + ["", "x" * 500]
+    net = toxicity.train(pa.array(texts), np.array([i % 2 for i in range(60)] + [0, 0]), epochs=1)
+    w, row = net.weights, lambda h: w["embedding"][net.lookup(np.array([h], kernel.U))[0]].astype(float)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(side, xs):
+        h, out = np.zeros(8), []
+        for x in xs:
+            g, a = x @ w[f"{side}_in"] + w[f"{side}_bias"], h @ w[f"{side}_rec"]
+            z, r = sig(g[:8] + a[:8]), sig(g[8:16] + a[8:16])
+            n = np.tanh(g[16:] + r * a[16:])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    for _, _, data, offsets in kernel.slices(pa.array(texts)):
+        got = net.score(data, offsets)
+        found = toxicity.tokens(kernel.find_words(data, offsets, kernel.ALNUM, kernel.LOWER))
+        for d in range(0, len(texts), 7):
+            a, b = found.bounds[d], found.bounds[d + 1]
+            xs = [row(found.word[t]) + sum(map(row, found.gram[found.edge[t] : found.edge[t + 1]])) / np.sqrt(found.edge[t + 1] - found.edge[t]) for t in range(a, b)]
+            best = -30.0
+            for s in sorted({max(0, min(s, len(xs) - 64)) for s in range(0, max(1, len(xs) - 16), 48)}):
+                part = xs[s : s + 64]
+                h = [np.concatenate(p) for p in zip(states("l", part), states("r", part[::-1])[::-1])]
+                e = np.array([v @ w["attention"] for v in h])
+                share = np.exp(e - e.max()) / np.exp(e - e.max()).sum() if len(h) else e
+                best = max(best, float(sum((s * v for s, v in zip(share, h)), np.zeros(16)) @ w["out"] + w["out_bias"][0]))
+            assert got[d] == pytest.approx(sig(best), abs=1e-4)
+
+
+def test_toxicity_of_spelling_and_order(spark):
+    """Unseen words that hide a known one in their middle are caught, in a long unspaced run too."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        body = words(rng, rng.randint(30, 90), 300)
+        if i % 3 == 0:
+            hidden = "".join(rng.choice("abcdefgh") for _ in range(8)) + "loathsome" + "".join(rng.choice("abcdefgh") for _ in range(8))
+            for _ in range(3):
+                body.insert(rng.randrange(len(body)), hidden)
+        rows.append((i, " ".join(body), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, labels).collect()}
+    held = [(i, t) for i, _, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i] == t for i, t in held) / len(held) >= 0.95
+
+
+def test_quality_scores_equal_plain_densities(spark):
+    """Scores against log densities of Gaussians by numpy's solver, covariances from the rows themselves; repeated rows alike."""
+    docs, labels = labelled(spark)
+    known = quality.with_statistics(docs.union(docs.filter("doc_id < 3")))
+    marks = quality.training_labels(labels, "quality")
+    model = quality.fit(known.join(marks, "doc_id"), "quality")
+    rows = [(r["doc_id"], np.array(r["statistics"]), r["s"]) for r in known.withColumn("s", model.score(known["statistics"])).collect()]
+    truth = {r["doc_id"]: r["quality"] for r in marks.collect()}
+    part = [np.array([x for i, x, _ in rows if truth.get(i) == k]) for k in (0, 1)]
+    size, n = len(quality.FEATURES), [len(p) for p in part]
+    inside = [np.cov(p, rowvar=False, bias=True) for p in part]
+    pooled = (n[0] * inside[0] + n[1] * inside[1]) / sum(n) + quality.RIDGE * np.eye(size)
+    spread = []
+    for k in (0, 1):
+        lean = min(1.0, quality.TO_POOLED + size / (size + n[k]))
+        c = (1 - lean) * inside[k] + lean * pooled
+        spread.append(c - quality.TO_DIAGONAL * (c - np.diag(np.diag(c))) + quality.RIDGE * np.eye(size))
+
+    def density(k, x):
+        d = x - part[k].mean(0)
+        return -0.5 * (d @ np.linalg.solve(spread[k], d) + np.linalg.slogdet(spread[k])[1])
+
+    by_id = defaultdict(set)
+    for i, x, s in rows:
+        odds = density(1, x) - density(0, x) + np.log((n[1] + 1) / (n[0] + 1))
+        assert s == pytest.approx(1 / (1 + np.exp(-np.clip(odds, -30, 30))), abs=1e-6)
+        by_id[i].add(s)
+    assert len(rows) == 607 and all(len(by_id[i]) == 1 for i in range(3))
+
+
 def test_windows_overlap_and_cover():
     bounds = np.array([0, 0, 10, 10 + 64, 74 + 200])
     text, first, size = toxicity.windows(bounds)
