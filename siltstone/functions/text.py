@@ -36,6 +36,27 @@ def redacted_evidence(evidence: Column) -> Column:
     return F.struct(redacted(evidence["source"]).alias("source"), redacted(evidence["sink"]).alias("sink"), steps.alias("dataflow"))
 
 
+#: Escapes of JSON strings and characters that JSON text never holds, to stand for them for a while.
+_ESCAPES = (("\\\\", "\x01"), ('\\"', "\x02"), ("\\n", "\x03"), ("\\t", "\x04"), ("\\r", "\x05"))
+
+
+def redacted_json(value: Column) -> Column:
+    """JSON text, as of a SARIF log, redacted inside its strings: never over the end of one, so it stays JSON.
+
+    Escapes count as what they stand for, but for those by code.
+    """
+    value = F.replace(value, F.lit(_ESCAPES[0][0]), F.lit(_ESCAPES[0][1]))
+    value = F.replace(value, F.lit("\\/"), F.lit("/"))
+    for escape, stand_in in _ESCAPES[1:]:
+        value = F.replace(value, F.lit(escape), F.lit(stand_in))
+    for name, pattern in SECRETS:
+        inside = pattern.replace('"', "\x02").replace(r"[\s\S]", '[^"]').replace(r"\s", r"[\s\x03-\x05]")
+        value = F.regexp_replace(value, inside, f"[REDACTED-{name}]")
+    for escape, stand_in in _ESCAPES:
+        value = F.replace(value, F.lit(stand_in), F.lit(escape))
+    return value
+
+
 def cwe_numbers(values: Column) -> Column:
     """The first run of digits of each entry, sorted, each once; entries without digits fall out."""
     found = F.transform(values, lambda v: F.regexp_extract(v, r"(\d+)", 1).try_cast("int"))

@@ -101,6 +101,11 @@ def diff(before: DataFrame, after: DataFrame, key: str = "fingerprint") -> DataF
     return a.join(b, key, "full").select(key, change.alias("change"))
 
 
+def diff_all(before: DataFrame, after: DataFrame, held_before: DataFrame, held_after: DataFrame) -> DataFrame:
+    """(kind, fingerprint, change) of two baselines: their fingerprints, and their suppressions."""
+    return diff(before, after).select(F.lit("fingerprint").alias("kind"), "fingerprint", "change").unionByName(diff(held_before, held_after).select(F.lit("suppression").alias("kind"), "fingerprint", "change"))
+
+
 def audit_trail(audit: DataFrame, limit: int = 50) -> DataFrame:
     """Newest first."""
     return audit.orderBy(F.col("seq").desc()).limit(limit)

@@ -120,10 +120,15 @@ def importable(envelope: Column) -> Column:
     return F.concat(F.coalesce(envelope["findings"], empty), F.coalesce(confirmed, empty))
 
 
+def llm_body(text: str) -> Column:
+    """The findings of an envelope or a bare list."""
+    return F.when(F.ltrim(F.col(text)).startswith("["), F.from_json(text, schemas.LLM_LIST)).otherwise(importable(F.from_json(text, schemas.ENVELOPE)))
+
+
 def from_llm(texts: DataFrame, text: str = "text") -> DataFrame:
     """Envelopes or bare lists; triage, enrichment and notes pass through."""
-    body = F.when(F.ltrim(F.col(text)).startswith("["), F.from_json(text, schemas.LLM_LIST)).otherwise(importable(F.from_json(text, schemas.ENVELOPE)))
-    return texts.select(*[c for c in texts.columns if c != text], F.explode(body).alias("f")).select(*[c for c in texts.columns if c != text], "f.*").withColumn("tool", F.lit("llm-analyzer"))
+    kept = [c for c in texts.columns if c != text]
+    return texts.select(*kept, F.explode(llm_body(text)).alias("f")).select(*kept, "f.*").withColumn("tool", F.lit("llm-analyzer"))
 
 
 def origin(tool: Column) -> Column:

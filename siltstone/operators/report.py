@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,11 +168,20 @@ def history_entries(rows: DataFrame) -> DataFrame:
 
 
 def save_plan(targets: DataFrame, folder: str, session_id: str) -> str:
-    """Write a plan's targets; a session id that the folder's plan has already stays. Returns the id in use."""
+    """Write a plan's targets; a session id that the folder's plan has already stays. Returns the id in use.
+
+    The new plan is written beside the folder and takes its name when whole, so targets may
+    come from the folder itself and a write that fails leaves the old plan.
+    """
     spark = targets.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    new = f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
+    path, beside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, new))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
         known = spark.read.json(folder).select("session_id").first()
         session_id = known["session_id"] if known else session_id
-    targets.withColumn("session_id", F.lit(session_id)).write.mode("overwrite").json(folder)
+    targets.withColumn("session_id", F.lit(session_id)).write.json(new)
+    fs.delete(path, True)
+    if not fs.rename(beside, path):
+        raise OSError(f"the plan is in {new}: {folder} could not be replaced")
     return session_id

@@ -113,6 +113,36 @@ def session_status(findings: DataFrame, targets: DataFrame) -> DataFrame:
     return left.crossJoin(targets.agg(F.count_if(~F.col("done")).alias("pending_targets")))
 
 
+def sessions(scans: DataFrame, plans: DataFrame, findings: DataFrame, analyses: DataFrame) -> DataFrame:
+    """One row for each session_id that any input has: how far it came, and what is next.
+
+    scans (session_id, profile) and plans (session_id, completed_phases, n_discover) have a row
+    a session, analyses (session_id, n_validated, n_discovered) one for what a model gave
+    back; findings (session_id, severity, status, is_suppressed) any number. A session
+    without rows in one of them has nothing of that kind.
+    """
+    open_ = ~F.col("is_suppressed") & (F.col("status") != "false-positive") & severity.at_least(F.col("severity"), "high")
+    left = findings.groupBy("session_id").agg(F.count_if(open_).alias("unfixed_high"))
+    marked = lambda rows, name: rows.withColumn(name, F.lit(True))
+    rows = marked(scans, "scanned").join(plans, "session_id", "full").join(left, "session_id", "full").join(marked(analyses, "analyzed"), "session_id", "full")
+    number = lambda name: F.coalesce(name, F.lit(0)).cast("bigint")
+    scanned, analyzed = F.coalesce("scanned", F.lit(False)), F.coalesce("analyzed", F.lit(False))
+    phases = F.array_compact(F.array(F.when(scanned, "scan"), F.when(number("n_validated") > 0, "phase_a"), F.when(number("n_discovered") > 0, "phase_b")))
+    rows = rows.select(
+        "session_id", "profile", scanned.alias("scan_complete"), analyzed.alias("llm_findings_present"),
+        F.greatest(number("n_discover") - number("n_discovered"), F.lit(0)).alias("pending_discover"), number("unfixed_high").alias("unfixed_high"),
+        F.array_sort(F.array_union(F.coalesce("completed_phases", F.array().cast("array<string>")), phases)).alias("completed_phases"),
+    )
+    due = F.array_compact(
+        F.array(
+            F.when(~F.col("scan_complete"), "run a sast-scan"),
+            F.when(F.col("pending_discover") > 0, "analyze the discover targets left"),
+            F.when(F.col("unfixed_high") > 0, "triage and fix the high findings"),
+        )
+    )
+    return rows.withColumn("next_steps", F.when(F.size(due) > 0, due).otherwise(F.array(F.lit("refresh the baseline"))))
+
+
 def next_steps(findings: DataFrame) -> DataFrame:
     """Three steps for a scan, by what it found."""
     steps = ("fix blocking findings", "review findings that need it", "refresh the baseline", "keep scanning in continuous integration", "update rules")

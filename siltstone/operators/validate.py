@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import schemas
+from siltstone.functions import paths
 from siltstone.functions.severity import ORDER
+from siltstone.operators import normalize
 from siltstone.operators.triage import STATUSES
 
 #: Version of the envelope that this engine writes and expects.
@@ -30,6 +32,14 @@ def llm_findings(rows: DataFrame) -> DataFrame:
     return rows.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
 
 
+def import_llm(texts: DataFrame, root: str, text: str = "text") -> DataFrame:
+    """As ``from_llm``, with files relative to ``root``; a payload with a finding that is not valid gives no rows at all."""
+    f = normalize.llm_body(text)
+    valid = lambda x: x["severity"].isin(*ORDER) & (x["triage"]["status"].isNull() | x["triage"]["status"].isin(*STATUSES)) & (x["file"] != "") & (x["title"] != "")
+    good = texts.filter(F.forall(f, lambda x: F.coalesce(valid(x), F.lit(False))))
+    return normalize.from_llm(good, text).withColumn("file", paths.relative(F.col("file"), root))
+
+
 def envelopes(texts: DataFrame, text: str = "text", agent: bool = False) -> DataFrame:
     """Adds errors: the version, a list of findings, and for an agent's the mark that its review is complete; a bare list is valid."""
     e = F.from_json(text, schemas.ENVELOPE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone import schemas
 from siltstone.functions import paths
 from siltstone.functions import text as words
 from siltstone.operators import detect, report, validate
@@ -100,6 +101,17 @@ def redact_nested(spark, sf_dir):
     return rows.select("event_id", words.redacted_evidence(evidence).alias("e")).select("event_id", "e.source", F.col("e.dataflow")[0]["message"].alias("step"))
 
 
+@query(f"SELECT event_id, {_REDACTED} AS message, {_REDACTED} || chr(10) || 'end' AS snippet FROM {samples.duck(samples.SECRET)}")
+def redact_sarif(spark, sf_dir):
+    """Logs with secrets in two strings, redacted as text and read again."""
+    rows = samples.made(findings(spark, sf_dir), "event_id", secret=samples.SECRET)
+    said = lambda value: F.struct(value.alias("text"))
+    place = F.struct(F.struct(F.struct(said(F.concat("secret", F.lit("\nend"))).alias("snippet")).alias("region")).alias("physicalLocation"))
+    log = F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(F.array(F.struct(said(F.col("secret")).alias("message"), F.array(place).alias("locations"))).alias("results"))).alias("runs"))
+    result = F.from_json(words.redacted_json(F.to_json(log)), schemas.SARIF)["runs"][0]["results"][0]
+    return rows.select("event_id", result.alias("r")).select("event_id", F.col("r.message.text").alias("message"), F.col("r.locations")[0]["physicalLocation"]["region"]["snippet"]["text"].alias("snippet"))
+
+
 def code(spark, sf_dir):
     """(event_id, path, text) of a file for each finding."""
     return samples.made(findings(spark, sf_dir), "event_id", path=samples.PATH, text=samples.TEXT)

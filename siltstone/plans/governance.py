@@ -155,6 +155,20 @@ def baseline_diff(spark, sf_dir):
     return baseline.diff(rows.filter("scan_date = date '2024-01-10'"), rows.filter("scan_date = date '2024-01-11'"))
 
 
+def _changes(kind: str, before: str, after: str) -> str:
+    return f"SELECT '{kind}' AS kind, fingerprint, CASE WHEN b.fingerprint IS NULL THEN 'added' WHEN a.fingerprint IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM ({before}) b FULL JOIN ({after}) a USING (fingerprint)"
+
+
+@query(
+    f"WITH {_PRINTED}, {_HELD} {_changes('fingerprint', 'SELECT DISTINCT fingerprint FROM p WHERE ts < TIMESTAMP \'2024-01-15\'', 'SELECT DISTINCT fingerprint FROM p WHERE ts >= TIMESTAMP \'2024-01-10\'')}"
+    f" UNION ALL {_changes('suppression', 'SELECT DISTINCT fingerprint FROM s WHERE seq % 4 < 2', 'SELECT DISTINCT fingerprint FROM s WHERE seq % 4 > 0')}"
+)
+def baseline_diff_all(spark, sf_dir):
+    """Baselines of the days before the 15th and from the 10th on, with suppressions that come, go and stay."""
+    rows, kept = printed(spark, sf_dir), held(spark, sf_dir)
+    return baseline.diff_all(rows.filter("scan_date < date '2024-01-15'"), rows.filter("scan_date >= date '2024-01-10'"), kept.filter("seq % 4 < 2"), kept.filter("seq % 4 > 0"))
+
+
 @query(f"WITH {_PRINTED} SELECT fingerprint FROM p UNION SELECT fingerprint_v1 FROM p")
 def baseline_keys(spark, sf_dir):
     return baseline.keys(printed(spark, sf_dir))
@@ -280,6 +294,28 @@ def session_status(spark, sf_dir):
     return triage.session_status(findings(spark, sf_dir), _targets(spark, sf_dir).withColumn("done", F.col("target") % 5 == 0))
 
 
+# A session for each user: of some the scan, the plan or the model's answer is not there yet.
+@query(
+    f"""WITH u AS (SELECT DISTINCT user_id AS session_id FROM events), p AS (SELECT session_id, session_id % 3 = 0 AS planned, session_id % 4 > 0 AS scanned, session_id % 5 > 1 AS analyzed FROM u),
+    g AS (SELECT user_id AS session_id, count(*) FILTER (WHERE NOT is_suppressed AND status <> 'false-positive' AND {_RANK} >= 3) AS n FROM f JOIN events USING (event_id) WHERE is_new GROUP BY 1),
+    s AS (SELECT session_id, scanned, analyzed, CASE WHEN scanned THEN 'quick' END AS profile, greatest(CASE WHEN planned THEN session_id % 6 + 1 ELSE 0 END - CASE WHEN analyzed THEN session_id % 5 - 2 ELSE 0 END, 0) AS pending, coalesce(n, 0) AS n,
+      list_sort(list_distinct(list_filter([CASE WHEN planned THEN 'plan' END, CASE WHEN scanned THEN 'scan' END, CASE WHEN analyzed AND session_id % 2 = 1 THEN 'phase_a' END, CASE WHEN analyzed AND session_id % 5 > 2 THEN 'phase_b' END], lambda x: x IS NOT NULL))) AS phases
+      FROM p LEFT JOIN g USING (session_id) WHERE scanned OR planned OR analyzed OR n IS NOT NULL),
+    d AS (SELECT *, list_filter([CASE WHEN NOT scanned THEN 'run a sast-scan' END, CASE WHEN pending > 0 THEN 'analyze the discover targets left' END, CASE WHEN n > 0 THEN 'triage and fix the high findings' END], lambda x: x IS NOT NULL) AS due FROM s)
+    SELECT session_id, profile, scanned AS scan_complete, analyzed AS llm_findings_present, pending::BIGINT AS pending_discover, n AS unfixed_high, phases AS completed_phases, CASE WHEN len(due) > 0 THEN due ELSE ['refresh the baseline'] END AS next_steps FROM d"""
+)
+def sessions(spark, sf_dir):
+    from siltstone.sources import tables
+
+    events = tables.load(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"))
+    ids = events.select("session_id").distinct()
+    at = F.col("session_id")
+    scans = ids.filter("session_id % 4 > 0").select("session_id", F.lit("quick").alias("profile"))
+    plans = ids.filter("session_id % 3 = 0").select("session_id", F.array(F.lit("plan")).alias("completed_phases"), (at % 6 + 1).alias("n_discover"))
+    analyses = ids.filter("session_id % 5 > 1").select("session_id", (at % 2).alias("n_validated"), (at % 5 - 2).alias("n_discovered"))
+    return triage.sessions(scans, plans, findings(spark, sf_dir).filter("is_new").join(events, "event_id"), analyses)
+
+
 @query("SELECT * FROM (VALUES (0, 'fix blocking findings'), (1, 'review findings that need it'), (2, 'refresh the baseline')) t(\"at\", step)")
 def next_steps(spark, sf_dir):
     return triage.next_steps(findings(spark, sf_dir))

@@ -135,6 +135,18 @@ def llm_findings(spark, sf_dir):
     return normalize.from_llm(rows.select("event_id", text.alias("text"))).select("event_id", "rule_id", "file", F.col("triage.status").alias("status"))
 
 
+@query("SELECT event_id, rule_id, CASE WHEN event_id % 5 = 2 THEN 'elsewhere/' || file ELSE file END AS file, CASE WHEN event_id % 2 = 0 THEN 'likely' END AS status FROM f WHERE event_id % 5 > 0 AND event_id % 7 > 0")
+def llm_import(spark, sf_dir):
+    """Payloads of two findings, or with one more of unknown severity (event_id % 5 = 0) or status (% 7 = 0), which void them; files under the root, or under another one (% 5 = 2)."""
+    rows = findings(spark, sf_dir)
+    root = F.when(F.col("event_id") % 5 == 2, "/elsewhere/").otherwise("/work/tree/")
+    status = F.when(F.col("event_id") % 2 == 0, ', "triage": {"status": "likely"}').otherwise("")
+    item = F.format_string('{"rule_id": "%s", "title": "t", "severity": "high", "file": "%s%s"%s}', "rule_id", root, "file", status)
+    worse = F.when(F.col("event_id") % 5 == 0, ', {"title": "t", "severity": "dire", "file": "a"}').when(F.col("event_id") % 7 == 0, ', {"title": "t", "severity": "low", "file": "a", "triage": {"status": "odd"}}').otherwise("")
+    texts = rows.select("event_id", F.concat(F.lit("["), item, worse, F.lit("]")).alias("text"))
+    return validate.import_llm(texts, "/work/tree").select("event_id", "rule_id", "file", F.col("triage.status").alias("status"))
+
+
 @query("SELECT event_id, [['schema_version', 'agent_review_complete'], ['agent_review_complete'], list_filter([''], lambda x: false), ['agent_review_complete']][event_id % 4 + 1] AS errors FROM f")
 def envelope_validate(spark, sf_dir):
     texts = ('{"schema_version": "0.9", "findings": []}', '{"schema_version": "1.0", "findings": []}', '{"schema_version": "1.0", "findings": [], "agent_review_complete": true}', "[]")
