@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.schemas import BASELINE
+
 
 def keys(findings: DataFrame) -> DataFrame:
     """Both fingerprints of all findings, each once, without empty ones."""
@@ -116,3 +118,11 @@ def save(baseline: DataFrame, folder: str, version: int) -> str:
     path = f"{folder}/v={version}"
     baseline.write.parquet(path)
     return path
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The baseline saved last, of those written whole; one without fingerprints where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    versions = [int(f.getPath().getParent().getName()[2:]) for f in found or ()]
+    return spark.read.schema(BASELINE).parquet(f"{folder}/v={max(versions)}") if versions else spark.createDataFrame([], BASELINE)

@@ -66,8 +66,8 @@ def sarif(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def build_commands(rows: DataFrame, allow_repo: bool, allow_package: bool = True, command: str = "command") -> DataFrame:
-    """Adds is_repo_command and is_allowed."""
+def build_commands(rows: DataFrame, allow_repo: bool | Column, allow_package: bool | Column = True, command: str = "command") -> DataFrame:
+    """Adds is_repo_command and is_allowed; the policy is fixed or of each row."""
     c = F.trim(F.col(command))
     repo = c.rlike(REPO_BUILD)
     return rows.withColumn("is_repo_command", repo).withColumn("is_allowed", (repo & allow_repo) | (~repo & c.rlike(PACKAGE_BUILD) & allow_package))

@@ -332,3 +332,11 @@ def tainted_variables(spark, sf_dir):
     rows = code(spark, sf_dir)
     found = F.when(F.col("path").endswith(".py"), words.tainted(F.col("text"), "python")).otherwise(words.tainted(F.col("text"), "typescript"))
     return rows.select("event_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("variables"))
+
+
+@query(f"SELECT event_id, a AS allow_repo, b AS allow_package, CASE WHEN regexp_matches(value, '^([.]/|make|cmake)') THEN a ELSE b AND regexp_matches(value, '^(npm|go) ') END AS is_allowed FROM {samples.duck(samples.COMMAND)}, (VALUES (true), (false)) x(a), (VALUES (true), (false)) y(b)")
+def build_command_policies(spark, sf_dir):
+    """All four policies over all commands."""
+    rows = samples.made(findings(spark, sf_dir), "event_id", command=samples.COMMAND)
+    each = rows.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("allow_repo")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("allow_package"))
+    return validate.build_commands(each, F.col("allow_repo"), F.col("allow_package")).select("event_id", "allow_repo", "allow_package", "is_allowed")
