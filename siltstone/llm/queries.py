@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import decontam, hamming, lines, mixing, near_dup, pii, quality, sharding, substring, toxicity
+from siltstone.llm import decontam, hamming, infill, lines, mixing, near_dup, negatives, pii, quality, secrets, sharding, substring, toxicity
 from siltstone.llm.common import held_out, settle, table
 
 
@@ -64,6 +64,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
+    base = F.filter("secrets", lambda s: s["layers"] == "")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: (s["layers"] == "") & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+    hidden = F.size(F.filter("secrets", lambda s: s["layers"] != "")).cast("bigint").alias("n_hidden")
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("secrets")).alias("spans"), hidden)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True, digests=True)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_shard,
         op9_substring_dedup,
         op10_quality,
+        op11_secrets,
+        op12_fill_in_middle,
+        op13_hard_negatives,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -87,4 +107,6 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": decontam.SQL,
     "op8_shard": sharding.sql(),
     "op9_substring_dedup": substring.SQL,
+    "op12_fill_in_middle": infill.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
