@@ -3,8 +3,8 @@
 Each of HASHES hash functions picks the PICKS least of a text's SHINGLE-word
 shingles, labelled by occurrence, and keeps them in text order. Every two of them, in
 that order, are a value of the text; texts that share a value share a bucket. The
-begin and the end of a text are shingles too, so that short texts are found by
-single shingles under the same rule.
+begin and the end of a text are shingles too, and short texts have values of shingles
+of two words besides, under the same rule.
 
 Each text is first aligned with two hubs of its buckets and with its likeliest
 partner elsewhere. What these links leave
@@ -32,10 +32,12 @@ from siltstone.operators.graph import components
 
 #: Words of a shingle; least share of words that stay in an alignment; hash functions and shingles that each picks.
 SHINGLE, SIMILAR, HASHES, PICKS = 5, 0.8, 20, 4
+#: Texts of so many words at most are known by shingles of two words as well, of so many hash functions.
+SHORT, SHORT_HASHES = 64, 4
 #: Bins of a text's word histogram; words of the members of a bucket (a member counting BINS more) that one task compares with as many others.
 BINS, BLOCK = 256, 1 << 20
-#: Pairs compared at a time in a task; alignments between two looks at what is linked by then; members in a tile of pairs.
-_LANES, _TURN, _TILE = 1 << 15, 256, 2048
+#: Pairs compared at a time in a task; alignments between two looks at what is linked by then; members in a tile of pairs; pairs held to be ordered.
+_LANES, _TURN, _TILE, _HELD = 1 << 15, 256, 2048, 1 << 20
 _PLACE = 28
 _SEEDS = K.mix(np.arange(1, 2 * HASHES + 1, dtype=K.U) * K.U(0xA0761D6478BD642F)).reshape(2, HASHES) | K.U(1)
 #: Far from any row number, with whose hashes they are mixed.
@@ -66,19 +68,21 @@ def _pool(words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, start, pool
 
 
-def sketch(words: K.Words) -> np.ndarray:
-    """One row of values for each text, of every two picks of each hash function; 0 where there is none.
+def _short_pool(words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_pool``, of shingles of two words, for the texts of SHINGLE - 1 to SHORT words; without begin and end."""
+    text = np.flatnonzero((words.count >= SHINGLE - 1) & (words.count <= SHORT))
+    size = words.count[text] - 1
+    start = np.cumsum(size) - size
+    place = np.repeat(words.bounds[text] - start, size) + np.arange(size.sum())
+    return text, start, K.grams(words.hashes(), 2)[place]
 
-    Equal values say that two texts have the same two shingles in the same order.
-    A text without words has zeros only.
-    """
+
+def _values(pool: np.ndarray, start: np.ndarray, hashes: int) -> np.ndarray:
+    """A row of values for each stretch of the pool, of every two picks of each hash function; 0 where there is none."""
     two = list(combinations(range(PICKS), 2))
-    out = np.zeros((len(words.bounds) - 1, HASHES * len(two)), K.U)
-    if not len(words):
-        return out
-    text, start, pool = _pool(words)
+    out = np.zeros((len(start), hashes * len(two)), K.U)
     size = np.diff(np.append(start, len(pool)))
-    owner = np.repeat(np.arange(len(text)), size)
+    owner = np.repeat(np.arange(len(start)), size)
     # Occurrences of a shingle in its text are numbered.
     own = K.mix(pool ^ K.mix(owner.astype(K.U) + K.U(1)))
     order = np.argsort(own, kind="stable")
@@ -88,7 +92,7 @@ def sketch(words: K.Words) -> np.ndarray:
     labelled = K.mix(pool + number * K.U(0x9E3779B97F4A7C15))
     place = (np.arange(len(pool)) - start[owner]).astype(K.U)
     low, none = K.U((1 << _PLACE) - 1), K.U(0xFFFFFFFFFFFFFFFF)
-    for j in range(HASHES):
+    for j in range(hashes):
         value = (labelled ^ _SEEDS[0, j]) * _SEEDS[1, j]
         value ^= value >> K.U(32)
         value = (value & ~low) | place
@@ -103,7 +107,22 @@ def sketch(words: K.Words) -> np.ndarray:
             there = picked[b] < len(pool)
             x, y = pool[picked[a][there]], pool[picked[b][there]]
             both = K.mix(x * K.U(0xD6E8FEB86659FD93) + K.mix(y))
-            out[text[there], j * len(two) + k] = np.where((x == _BEGIN) & (y == _END), K.U(0), both)
+            out[there, j * len(two) + k] = np.where((x == _BEGIN) & (y == _END), K.U(0), both)
+    return out
+
+
+def sketch(words: K.Words) -> np.ndarray:
+    """One row of values for each text, of every two picks of each hash function; 0 where there is none.
+
+    Equal values say that two texts have the same two shingles in the same order. Texts
+    of SHORT words or fewer have values of shingles of two words besides, as few of
+    their longer shingles outlive a change. A text without words has zeros only.
+    """
+    per = PICKS * (PICKS - 1) // 2
+    out = np.zeros((len(words.bounds) - 1, (HASHES + SHORT_HASHES) * per), K.U)
+    for hashes, at, (text, start, pool) in ((HASHES, 0, _pool(words)), (SHORT_HASHES, HASHES * per, _short_pool(words))) if len(words) else ():
+        if len(pool):
+            out[text, at : at + hashes * per] = _values(pool, start, hashes)
     return out
 
 
@@ -348,6 +367,20 @@ def _meet_here(values: list[np.ndarray], one: int, p: np.ndarray, q: np.ndarray)
     return keep
 
 
+def _held(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """Pairs as rows of i, j and bound, about _HELD at a time."""
+    held: list[np.ndarray] = []
+    n = 0
+    for part in parts:
+        held.append(np.stack(part))
+        n += len(part[0])
+        if n >= _HELD:
+            yield np.concatenate(held, axis=1)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) from members with their texts: in each group alignments of unlike roots, until what aligns is linked.
 
@@ -362,28 +395,29 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sequences += [hashes[words.bounds[d] : words.bounds[d + 1]] for d in range(j - i)]
             values += list(sketch(words).view(np.int64))
             bins.append(histograms(words))
-        found = [np.stack(p) for p in _across(column, np.concatenate(bins))]
-        i, j, least = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
         starts = np.append(np.flatnonzero(_starts(column, _GROUP)), batch.num_rows)
-        group = np.searchsorted(starts, i, "right") - 1
-        order = np.lexsort((least, group))
-        i, j, group = i[order], j[order], group[order]
+        label = np.cumsum(_starts(column, [*_GROUP, "root"]))
         links: list[tuple[int, int]] = []
-        edges = np.flatnonzero(np.append(True, np.diff(group) != 0)) if len(group) else np.zeros(0, np.int64)
-        for a, b in zip(edges, np.append(edges[1:], len(group)), strict=True):
-            first, last = starts[group[a]], starts[group[a] + 1]
-            p, q = i[a:b] - first, j[a:b] - first
-            keep = _meet_here([np.unique(v[v != 0]) for v in values[first:last]], column["one"][first], p, q)
-            p, q = p[keep], q[keep]
-            label = np.unique(column["root"][first:last], return_inverse=True)[1]
-            while len(p):
-                for x, y in zip(p[:_TURN].tolist(), q[:_TURN].tolist(), strict=True):
-                    if label[x] != label[y] and similar(sequences[first + x], sequences[first + y]):
-                        links.append((first + x, first + y))
-                        label[label == label[y]] = label[x]
-                p, q = p[_TURN:], q[_TURN:]
-                apart = label[p] != label[q]
-                p, q = p[apart], q[apart]
+        for found in _held(_across(column, np.concatenate(bins))):
+            i, j, least = found[:, label[found[0]] != label[found[1]]]
+            group = np.searchsorted(starts, i, "right") - 1
+            order = np.lexsort((least, group))
+            i, j, group = i[order], j[order], group[order]
+            edges = np.flatnonzero(np.append(True, np.diff(group) != 0)) if len(group) else np.zeros(0, np.int64)
+            for a, b in zip(edges, np.append(edges[1:], len(group)), strict=True):
+                first, last = starts[group[a]], starts[group[a] + 1]
+                p, q = i[a:b] - first, j[a:b] - first
+                keep = _meet_here([np.unique(v[v != 0]) for v in values[first:last]], column["one"][first], p, q)
+                p, q = p[keep], q[keep]
+                own = label[first:last]
+                while len(p):
+                    for x, y in zip(p[:_TURN].tolist(), q[:_TURN].tolist(), strict=True):
+                        if own[x] != own[y] and similar(sequences[first + x], sequences[first + y]):
+                            links.append((first + x, first + y))
+                            own[own == own[y]] = own[x]
+                    p, q = p[_TURN:], q[_TURN:]
+                    apart = own[p] != own[q]
+                    p, q = p[apart], q[apart]
         at = np.array(links, np.int64).reshape(-1, 2)
         ids = np.sort(column["id"][at], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids[:, 1]), pa.array(ids[:, 0])], ["a", "b"])
@@ -513,9 +547,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 def label(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, class_id, class_size, copies, links), one row per row of ``docs``.
 
-    Texts that are equal are one class, also empty ones; texts under SHINGLE words
-    only if their words are equal. A null text is in a class of its own, named by
-    its id (null without one). Repeated rows are copies of each other.
+    Texts that are equal are one class, also empty ones; those of fewer words than
+    SHINGLE - 1 only if their words are equal. Texts count whole, however long. A null
+    text is in a class of its own, named by its id (null without one). Repeated rows are
+    copies of each other. Other columns are not read, and an empty table gives no rows.
     """
     found = classes(docs, text, key)
     rows = docs.select(F.col(key), F.col(text).isNull().alias("_none"), *text_key(text))
@@ -527,7 +562,8 @@ def label(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each class, that with the least id, with its columns; rows with null texts all stay.
 
-    Of rows that repeat id and text one stays.
+    Of rows that repeat id and text one stays. Columns of any name stay as they are;
+    an empty table gives an empty one.
     """
     found = classes(docs, text, key)
     row = F.struct(*[F.col(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import kernel as K
-from siltstone.llm.common import discard, maybe_in, membership, settle, ship, text_key
+from siltstone.llm.common import aside, discard, maybe_in, membership, settle, ship, text_key
 
 #: Words of a repeat at least, and of a seed.
 WINDOW, SEED = 35, 12
@@ -145,13 +145,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, drop_text: bool = Fal
 
     Every word in a window of WINDOW words whose words also start anywhere else is
     removed, in all its occurrences. Rows with equal texts are copies of each other,
-    also with equal ids; a null text has no words. Columns of the added names are
-    replaced.
+    also with equal ids; a null text has no words. Texts are read whole, one slice of
+    them at a time; an empty table gives an empty one. Columns of the added names are
+    replaced, any other keeps its name and values.
     """
     ship(docs.sparkSession)
     found = repeats(docs, text)
     names = ("n_words", "n_removed", "kept_sha256", "kept_text")
-    rest = docs.select(*[c for c in docs.columns if c not in names])
+    rest, back = aside(docs.select(*[c for c in docs.columns if c not in names]), "_k1", "_k2", "_copies", "_starts", "_maybe", "_m_at", "_m_slot", "_m_bits")
     kept = [c for c in rest.columns if c != text or not drop_text]
     added = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if not drop_text:
@@ -183,7 +184,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, drop_text: bool = Fal
     keyed = maybe_in(rest.withColumns(dict(zip(("_k1", "_k2"), text_key(text), strict=True))), "_k1", membership(found, "k1"))
     touched = keyed.filter("_maybe").drop("_maybe").join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("copies").alias("_copies"), F.col("starts").alias("_starts")), ["_k1", "_k2"], "left")
     clean = keyed.filter("not _maybe").select(*rest.columns, F.lit(None).cast("long").alias("_copies"), F.lit(None).cast("array<int>").alias("_starts"))
-    return touched.select(*rest.columns, "_copies", "_starts").unionByName(clean).mapInArrow(cut, schema)
+    return touched.select(*rest.columns, "_copies", "_starts").unionByName(clean).mapInArrow(cut, schema).withColumnsRenamed(back)
 
 
 SQL = r"""

@@ -316,3 +316,33 @@ def test_windows_are_exact():
     assert (high == score).all()
     for s, least in zip(score.tolist(), low.tolist()):
         assert 80 * s <= 100 * least and 80 * s > 100 * (least - 1)
+
+
+# Short near-duplicates, and names that clash
+
+
+def test_short_texts_with_one_word_changed_are_one_class(spark):
+    from siltstone.llm import near_dup
+
+    rows = []
+    for n in (4, 5, 6, 7, 9, 12, 30):
+        own = [f"k{n}w{i}" for i in range(n)]
+        rows += [(n * 10, " ".join(own)), (n * 10 + 1, " ".join(own[: n // 2] + ["other"] + own[n // 2 + 1 :])), (n * 10 + 2, " ".join([*own, "more"]))]
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.label(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in (5, 6, 7, 9, 12, 30):
+        assert found[n * 10] == found[n * 10 + 1] == found[n * 10 + 2] == n * 10
+    # One of four words is a quarter.
+    assert found[40] == found[42] == 40 and found[41] == 41
+
+
+def test_substring_columns_may_have_any_name(spark):
+    from siltstone.llm import substring
+
+    text = " ".join(f"w{i}" for i in range(40))
+    names = ("_k1", "_k2", "_copies", "_starts", "_maybe", "_m_at", "_m_slot", "_m_bits", "_k1_")
+    rows = [(1, text, *names), (2, text + " end", *names), (3, None, *names)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = substring.remove_repeats(frame)
+    assert out.columns == ["doc_id", "text", *names, "n_words", "n_removed", "kept_sha256", "kept_text"]
+    assert {(r["doc_id"], r["n_removed"], *(r[n] for n in names)) for r in out.collect()} == {(1, 40, *names), (2, 40, *names), (3, 0, *names)}
+    assert substring.remove_repeats(frame.limit(0)).collect() == []
