@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone import versions
 from siltstone.schemas import BASELINE
 
 
@@ -113,16 +114,16 @@ def audit_trail(audit: DataFrame, limit: int = 50) -> DataFrame:
     return audit.orderBy(F.col("seq").desc()).limit(limit)
 
 
-def save(baseline: DataFrame, folder: str, version: int) -> str:
-    """A new version beside the old ones, which are never written over."""
-    path = f"{folder}/v={version}"
-    baseline.write.parquet(path)
-    return path
+def create(spark: SparkSession, folder: str, findings: DataFrame, at: Column) -> int:
+    """Save the fingerprints of findings as a baseline that starts anew; its version."""
+    return versions.commit(spark, folder, BASELINE, lambda known: created(findings, at).select("fingerprint", "first_seen"))
+
+
+def update(spark: SparkSession, folder: str, findings: DataFrame, at: Column) -> int:
+    """Bring the saved baseline up to date; its version. Of two updates at once both are in it at the end, and one cut off changes nothing."""
+    return versions.commit(spark, folder, BASELINE, lambda known: updated(known, findings, at))
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The baseline saved last, of those written whole; one without fingerprints where there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    versions = [int(f.getPath().getParent().getName()[2:]) for f in found or ()]
-    return spark.read.schema(BASELINE).parquet(f"{folder}/v={max(versions)}") if versions else spark.createDataFrame([], BASELINE)
+    """The baseline saved last; one without fingerprints where there is none."""
+    return versions.read(spark, folder, BASELINE)

@@ -13,8 +13,11 @@ GAP = 1
 
 
 def exact(rows: DataFrame) -> DataFrame:
-    """One row for each file, line and rule."""
-    return rows.dropDuplicates(["file", "start_line", "rule_id"])
+    """One row for each file, line and rule: that of the highest severity, then of the least id, then of the least hash of its values."""
+    order = [severity.rank(F.col("severity")).desc_nulls_last()] if "severity" in rows.columns else []
+    ids = [F.col(c).asc_nulls_last() for c in ("id", "event_id") if c in rows.columns]
+    first = Window.partitionBy("file", "start_line", "rule_id").orderBy(*order, *ids, F.xxhash64(*rows.columns))
+    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def islands(rows: DataFrame, *keys: str, line: str = "start_line", gap: int = GAP) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import paths, text
+from siltstone.functions import literals, paths, text
 from siltstone.sources.files import lines
 
 AUTH = r"getServerSession|getSession|\bauth\(\)|requireAuth|withAuth|verifyToken"
@@ -42,6 +44,34 @@ def apply_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return out
 
 
+#: Anchors that a task may hold at once; beyond, Spark joins them by shuffling.
+ANCHORS = 1 << 18
+
+
+def apply_many_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """As ``apply_rules``, by an index of the rules, so that a line meets only rules whose text it holds.
+
+    A literal that all matches of a pattern hold is read off it, and of its pieces of three
+    characters the one that the fewest rules have is the rule's anchor. Lines are joined by
+    equality of their pieces with the anchors, then hold the literal, then match. Work is
+    that of the pieces and the candidates, not lines times rules. Rules without such a literal meet
+    every line, in ``apply_rules``. The rules come to the driver, as there.
+    """
+    spark = rows.sparkSession
+    known = [(r, literals.required(r["pattern"] or "")) for r in rules.select("rule_id", "pattern", "severity", "cwe").collect()]
+    pieces = {lit: sorted({lit[i : i + literals.LEAST] for i in range(len(lit) - literals.LEAST + 1)}) for _, lit in known}
+    common = Counter(p for _, lit in known for p in pieces[lit])
+    anchored = [(min(pieces[lit], key=lambda p: (common[p], p)), lit, r["rule_id"], r["pattern"], r["severity"], r["cwe"]) for r, lit in known if pieces[lit]]
+    plain = [tuple(r) for r, lit in known if not pieces[lit]]
+    kinds = "rule_id string, pattern string, severity string, cwe string"
+    anchors = spark.createDataFrame(anchored, "piece string, literal string, " + kinds)
+    size = F.length("text") - literals.LEAST + 1
+    own = F.array_distinct(F.transform(F.when(size > 0, F.sequence(F.lit(1), size)), lambda i: F.substring("text", i, F.lit(literals.LEAST))))
+    met = rows.select("path", "line", "text", F.explode(own).alias("piece")).join(F.broadcast(anchors) if len(anchored) <= ANCHORS else anchors, "piece")
+    found = met.filter(F.col("text").contains(F.col("literal"))).filter(F.expr("rlike(text, pattern)")).select("path", "line", "rule_id", "severity", "cwe")
+    return found.unionByName(apply_rules(rows, spark.createDataFrame(plain, kinds))) if plain else found
+
+
 def taint(files: DataFrame, language: str = "python") -> DataFrame:
     """(path, rule_id, cwe, variable, source_line, sink_line, dataflow): user input that reaches a sink in the same file.
 
@@ -64,17 +94,22 @@ def taint(files: DataFrame, language: str = "python") -> DataFrame:
     return found.select("path", "rule_id", "cwe", "variable", "source_line", "sink_line", F.array(step("source_line", "source"), step("sink_line", "sink")).alias("dataflow"))
 
 
-def word_flows(rows: DataFrame) -> DataFrame:
-    """(path, source_line, sink_line, variable): a word that opens a line and stands in a later line, with the nearest such line before.
+def word_flows(files: DataFrame) -> DataFrame:
+    """(path, source_line, sink_line, variable) of files (path, text): a word that opens a line and stands in a later line, with the nearest such line before.
 
-    No line of a sanitizer that names the word lies between or is the sink's. One
-    pass over the lines of each word and file in order, so a word that opens many
-    lines costs no more than those lines.
+    No line of a sanitizer that names the word lies between or is the sink's. The opening
+    words of a file are known before its lines are taken apart, so a line gives a row
+    only for each of these that it has. One pass over the lines of each word and file in
+    order, so a word that opens many lines costs no more than those lines.
     """
-    named = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("variable")
-    opening = F.regexp_extract("text", r"^(\w+)", 1)
-    uses = rows.select("path", "line", opening.alias("opening"), F.col("text").rlike(text.SANITIZERS).alias("cleans"), named)
-    uses = uses.withColumn("opens", (F.col("opening") == F.col("variable")) & F.col("variable").rlike("^[A-Za-z]+$"))
+    opening = r"^([A-Za-z]+)(?:\W|$)"
+    opens = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?m){opening}"), F.lit(1)))
+    # What a generator makes is made once: else the words would be sought for each line again.
+    whole = files.select("path", F.explode(F.array(F.struct(opens.alias("opens"), F.split("text", "\n").alias("lines")))).alias("f")).filter(F.size("f.opens") > 0)
+    rows = whole.select("path", F.col("f.opens").alias("opens"), F.posexplode("f.lines").alias("at", "text"))
+    named = F.array_intersect(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)), F.col("opens"))
+    lines_ = rows.select("path", (F.col("at") + 1).alias("line"), F.regexp_extract("text", opening, 1).alias("opening"), F.col("text").rlike(text.SANITIZERS).alias("cleans"), named.alias("named"))
+    uses = lines_.select("path", "line", "opening", "cleans", F.explode("named").alias("variable")).withColumn("opens", F.col("opening") == F.col("variable"))
     before = Window.partitionBy("path", "variable").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("path", "variable").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     found = uses.withColumns({"source_line": F.max(F.when(F.col("opens"), F.col("line"))).over(before), "cleaned": F.max(F.when(F.col("cleans"), F.col("line"))).over(upto)})
@@ -180,17 +215,22 @@ def project(files: DataFrame) -> DataFrame:
     return per.crossJoin(found).select("languages", frameworks.alias("frameworks"), kind.alias("archetype"))
 
 
+#: Lines after a label on which a finding still meets it.
+MET_AFTER = 2
+
+
 def corpus_scores(findings: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """(path, n_lines, labels, missed, false_positives, precision, recall).
 
     A label is met by a finding of its rule on its line or the two after; a finding
-    on an ``ok`` line is false. sizes: (path, n_lines).
+    on an ``ok`` line is false. sizes: (path, n_lines). A finding stands for the three
+    lines that it can meet, so labels are joined by equality.
     """
-    want = labels.filter("polarity = 'ruleid'").withColumnRenamed("line", "at")
-    rows = findings.select("path", F.col("line").alias("found"), "rule_id")
-    met = want.join(rows, ["path", "rule_id"]).filter("found between at and at + 2").select("path", "rule_id", "at").distinct().withColumn("met", F.lit(1))
+    want = labels.filter("polarity = 'ruleid'").select("path", "rule_id", F.col("line").alias("at"))
+    rows = findings.select("path", "line", "rule_id").distinct()
+    met = rows.select("path", "rule_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MET_AFTER)), lambda k: F.col("line") - k)).alias("at")).distinct().withColumn("met", F.lit(1))
     recall = want.join(met, ["path", "rule_id", "at"], "left").groupBy("path").agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("met").isNull()).alias("missed"))
-    bad = labels.filter("polarity = 'ok'").join(rows.withColumnRenamed("found", "line"), ["path", "rule_id", "line"], "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("false_positives"))
+    bad = labels.filter("polarity = 'ok'").join(rows, ["path", "rule_id", "line"], "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("false_positives"))
     out = sizes.join(recall, "path", "left").join(bad, "path", "left").na.fill(0, ["labels", "missed", "false_positives"])
     return out.select(
         "path", "n_lines", "labels", "missed", "false_positives",

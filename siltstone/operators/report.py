@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone import versions
 from siltstone.functions import paths, scoring, severity
 from siltstone.operators import normalize
 
@@ -53,10 +54,11 @@ def enrichment_totals(rows: DataFrame, by: list[str] | None = None) -> DataFrame
     n = each.groupBy(*by, "origin", "triage_status", "found").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("evidence_strength = 'dataflow-trace'")).alias("traced"), F.count_if(F.col("status") != "active").alias("noted"))
 
     def counted(column: str) -> Column:
-        pairs = F.collect_list(F.struct(F.col(column).alias("k"), "n"))
-        keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: x["k"])))
-        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.aggregate(F.filter(pairs, lambda x: x["k"] == k), F.lit(0).cast("bigint"), lambda s, x: s + x["n"]))))
+        # A row for each key has its sum before the rows of a set meet.
+        return F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when(F.col("of") == column, F.struct("k", "n"))), lambda x: x["k"].isNotNull())))
 
+    kinds = F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("k")) for c in ("origin", "triage_status")], F.struct(F.lit("found").alias("of"), F.col("found").alias("k")))
+    n = n.select(*by, F.explode(kinds).alias("x"), "n", "traced", "noted").groupBy(*by, "x").agg(*[F.sum(c).alias(c) for c in ("n", "traced", "noted")]).select(*by, "x.of", "x.k", "n", F.when(F.col("x.of") == "origin", F.col("traced")).alias("traced"), F.when(F.col("x.of") == "origin", F.col("noted")).alias("noted"), F.when(F.col("x.of") == "found", F.col("x.k")).alias("found"))
     return n.groupBy(*by).agg(counted("origin").alias("by_origin"), counted("triage_status").alias("by_triage"), F.sum("traced").alias("dataflow_supported"), F.sum("noted").alias("notes"), F.array_sort(F.collect_set("found")).alias("discovery_categories"))
 
 
@@ -145,8 +147,12 @@ def benchmark_rows(scores: DataFrame) -> DataFrame:
 
 
 def append_history(rows: DataFrame, folder: str) -> None:
-    """Adds saved scans beside earlier ones."""
-    rows.write.mode("append").json(folder)
+    """Add saved scans to a history, a folder for each day and scan; one saved again takes its own place, so a repeat changes nothing.
+
+    A scan without a readable time is of no day.
+    """
+    day = F.to_date(F.try_to_timestamp("timestamp"))
+    rows.withColumn("scan_date", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_date", "scan_id").json(folder)
 
 
 def comment_table(rows: DataFrame, gate: DataFrame, review_findings_blocking: bool = False) -> DataFrame:
@@ -167,21 +173,26 @@ def history_entries(rows: DataFrame) -> DataFrame:
     return out.select(F.concat(F.lit("scan-"), day).alias("scan_id"), F.concat(day, F.lit("T00:00:00Z")).alias("timestamp"), "total_findings", "severity_counts", "fingerprints")
 
 
-def save_plan(targets: DataFrame, folder: str, session_id: str) -> str:
-    """Write a plan's targets; a session id that the folder's plan has already stays. Returns the id in use.
+PLAN_SESSION = "session_id"
+
+
+def save_plan(spark: SparkSession, folder: str, schema: str, make: Callable[[DataFrame], DataFrame], session_id: str) -> str:
+    """Save the targets that ``make`` makes of the plan saved last (columns ``schema``); the id of the session in use.
 
-    The new plan is written beside the folder and takes its name when whole, so targets may
-    come from the folder itself and a write that fails leaves the old plan.
+    A session id that the plan has already stays. A plan that was cut off, or came after another writer's, leaves what
+    was there (see ``versions``).
     """
-    spark = targets.sparkSession
-    new = f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
-    path, beside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, new))
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        known = spark.read.json(folder).select("session_id").first()
-        session_id = known["session_id"] if known else session_id
-    targets.withColumn("session_id", F.lit(session_id)).write.json(new)
-    fs.delete(path, True)
-    if not fs.rename(beside, path):
-        raise OSError(f"the plan is in {new}: {folder} could not be replaced")
-    return session_id
+    used: list[str] = []
+
+    def made(known: DataFrame) -> DataFrame:
+        first = known.select(PLAN_SESSION).filter(F.col(PLAN_SESSION).isNotNull()).first()
+        used.append(first[0] if first else session_id)
+        return make(known.drop(PLAN_SESSION)).withColumn(PLAN_SESSION, F.lit(used[-1]))
+
+    versions.commit(spark, folder, f"{schema}, {PLAN_SESSION} string", made)
+    return used[-1]
+
+
+def load_plan(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The targets and session_id of the plan saved last."""
+    return versions.read(spark, folder, f"{schema}, {PLAN_SESSION} string")

@@ -143,9 +143,12 @@ def sessions(scans: DataFrame, plans: DataFrame, findings: DataFrame, analyses:
     return rows.withColumn("next_steps", F.when(F.size(due) > 0, due).otherwise(F.array(F.lit("refresh the baseline"))))
 
 
-def next_steps(findings: DataFrame) -> DataFrame:
-    """Three steps for a scan, by what it found."""
-    steps = ("fix blocking findings", "review findings that need it", "refresh the baseline", "keep scanning in continuous integration", "update rules")
-    n = findings.agg(F.count_if(severity.at_least(F.col("severity"), "high")).alias("high"), F.count_if(F.col("status") == "needs-review").alias("review"))
+def next_steps(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """(at, step): three steps for a scan, by what it found; with ``scans``, whose columns name one, three for each, also for clean ones."""
+    by = scans.columns if scans is not None else []
+    steps = ("fix blocking findings", "review findings that need it", "refresh the baseline", "scan changed-only in continuous integration", "update rules")
+    n = findings.groupBy(*by).agg(F.count_if(severity.at_least(F.col("severity"), "high")).alias("high"), F.count_if(F.col("status") == "needs-review").alias("review"))
     all_steps = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(s).alias("step"), due.alias("due")) for k, (s, due) in enumerate(zip(steps, (F.col("high") > 0, F.col("review") > 0, F.lit(True), F.lit(True), F.lit(True)), strict=True))])
-    return n.select(F.explode(F.slice(F.filter(all_steps, lambda s: s["due"]), 1, 3)).alias("s")).select("s.at", "s.step")
+    if scans is not None:
+        n = scans.distinct().join(n, by, "left").na.fill(0, ["high", "review"])
+    return n.select(*by, F.explode(F.slice(F.filter(all_steps, lambda s: s["due"]), 1, 3)).alias("s")).select(*by, "s.at", "s.step")

@@ -51,8 +51,8 @@ def envelopes(texts: DataFrame, text: str = "text", agent: bool = False) -> Data
 
 
 def sarif(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds errors of structure."""
-    log = F.from_json(text, schemas.SARIF)
+    """Adds errors of structure; a text that is no JSON lacks all."""
+    log = F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schemas.SARIF))
     runs = log["runs"]
     return texts.withColumn(
         "errors",

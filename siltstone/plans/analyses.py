@@ -10,6 +10,7 @@ from siltstone.functions import text as words
 from siltstone.operators import detect, report, validate
 from siltstone.plans import samples
 from siltstone.plans.catalogue import as_sql, findings, query
+from siltstone.scratch import settle
 from siltstone.sources import files, tables
 
 RULES = (
@@ -51,12 +52,13 @@ _LABELS = "b AS (SELECT path, line - (path::BIGINT % 4)::INT AS line, rule_id, '
     raw=True,
 )
 def corpus_scores(spark, sf_dir):
-    hits = rule_hits_by_line(spark, sf_dir)
+    # Read by findings, labels and lines alike, so each document is matched once.
+    hits = settle(rule_hits_by_line(spark, sf_dir).select("path", "line", "rule_id"), "hits", few=True)
     shift = (F.col("path").cast("bigint") % 4).cast("int")
     want = hits.filter("rule_id = 'pii.email'").select("path", (F.col("line") - shift).alias("line"), "rule_id", F.lit("ruleid").alias("polarity"))
     fine = hits.filter("rule_id = 'legal.license' and cast(path as bigint) % 2 = 0").select("path", "line", "rule_id", F.lit("ok").alias("polarity"))
-    sizes = files.lines(documents(spark, sf_dir)).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
-    return detect.corpus_scores(hits.select("path", "line", "rule_id"), want.union(fine), sizes)
+    sizes = documents(spark, sf_dir).filter("text is not null").groupBy("path").agg(F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
+    return detect.corpus_scores(hits, want.union(fine), sizes)
 
 
 @query(
@@ -129,18 +131,23 @@ def _flows(language: str, ending: str) -> str:
         f"{_CODE}, s AS (SELECT path, line AS source_line, unnest(regexp_extract_all(text, {as_sql(words.SOURCES[language])}, 1)) AS variable FROM cl WHERE path LIKE '%.{ending}'), k AS ({sinks}),"
         f" w AS (SELECT path, sink_line, rule_id, cwe, unnest({_WORD}) AS variable FROM k), z AS (SELECT path, line AS at, unnest({_WORD}) AS variable FROM cl WHERE {_HAS(words.SANITIZERS)}),"
         " p AS (SELECT s.path, rule_id, cwe, s.variable, source_line, sink_line FROM s JOIN w ON s.path = w.path AND s.variable = w.variable AND source_line < sink_line)"
-        " SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.path = p.path AND z.variable = p.variable AND z.at > p.source_line AND z.at <= p.sink_line)"
+        " SELECT p.*, source_line || ' source: ' || variable || ', ' || sink_line || ' sink: ' || variable AS dataflow FROM p WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.path = p.path AND z.variable = p.variable AND z.at > p.source_line AND z.at <= p.sink_line)"
     )
 
 
+def shown_steps(flows):
+    """Dataflow as text, a step after the other."""
+    return flows.withColumn("dataflow", F.array_join(F.transform("dataflow", lambda s: F.concat_ws(" ", s["line"], s["message"])), ", "))
+
+
 @query(_flows("python", "py"))
 def taint_python(spark, sf_dir):
-    return detect.taint(code(spark, sf_dir).filter("path like '%.py'").select("path", "text"), "python").drop("dataflow")
+    return shown_steps(detect.taint(code(spark, sf_dir).filter("path like '%.py'").select("path", "text"), "python"))
 
 
 @query(_flows("typescript", "ts"))
 def taint_typescript(spark, sf_dir):
-    return detect.taint(code(spark, sf_dir).filter("path like '%.ts'").select("path", "text"), "typescript").drop("dataflow")
+    return shown_steps(detect.taint(code(spark, sf_dir).filter("path like '%.ts'").select("path", "text"), "typescript"))
 
 
 # Flows in the lines of all documents: a word that opens a line and stands in a later one, none past a sanitizer; of each sink the nearest source.
@@ -152,7 +159,7 @@ def taint_typescript(spark, sf_dir):
     raw=True,
 )
 def taint_lines(spark, sf_dir):
-    return detect.word_flows(files.lines(documents(spark, sf_dir)))
+    return detect.word_flows(documents(spark, sf_dir))
 
 
 _FUNCTIONS = f"fn AS (SELECT unnest({_ALL(detect.FUNCTION)}) AS name, path, {_HAS('service', 'path')} AND {_HAS(detect.DATABASE)} AND NOT {_HAS(detect.AUTHZ)} AS risky FROM c)"

@@ -316,9 +316,18 @@ def sessions(spark, sf_dir):
     return triage.sessions(scans, plans, findings(spark, sf_dir).filter("is_new").join(events, "event_id"), analyses)
 
 
-@query("SELECT * FROM (VALUES (0, 'fix blocking findings'), (1, 'review findings that need it'), (2, 'refresh the baseline')) t(\"at\", step)")
+@query(
+    f"""SELECT scan, "at", step FROM (SELECT s.scan, t."at", t.step, row_number() OVER (PARTITION BY s.scan ORDER BY t."at") AS n
+      FROM (SELECT u.event_id AS scan, count(g.event_id) FILTER (WHERE {_RANK.replace('severity', 'g.severity')} >= 3) AS high, count(g.event_id) FILTER (WHERE g.status = 'needs-review') AS review FROM f u LEFT JOIN f g ON g.file = u.file AND g.start_line = u.start_line AND g.event_id % 3 <> 0 GROUP BY u.event_id) s,
+      (VALUES (0, 'fix blocking findings'), (1, 'review findings that need it'), (2, 'refresh the baseline'), (3, 'scan changed-only in continuous integration'), (4, 'update rules')) t("at", step)
+      WHERE t."at" > 1 OR (t."at" = 0 AND s.high > 0) OR (t."at" = 1 AND s.review > 0)) WHERE n <= 3"""
+)
 def next_steps(spark, sf_dir):
-    return triage.next_steps(findings(spark, sf_dir))
+    """A scan of each finding's line finds what two thirds of the findings are on it, or nothing."""
+    rows = findings(spark, sf_dir)
+    scans = rows.select(F.col("event_id").alias("scan"), "file", "start_line")
+    found = rows.filter("event_id % 3 <> 0").drop("event_id").join(scans, ["file", "start_line"])
+    return triage.next_steps(found, scans.select("scan"))
 
 
 @query(f"WITH {_PRINTED} SELECT fingerprint AS key, id FROM p WHERE fingerprint IN (SELECT fingerprint FROM p WHERE event_id % 50 = 0) UNION SELECT id, id FROM p WHERE event_id % 50 = 1 UNION SELECT fingerprint_v1, id FROM p WHERE fingerprint_v1 IN (SELECT fingerprint_v1 FROM p WHERE event_id % 50 = 2)")

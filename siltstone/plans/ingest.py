@@ -90,16 +90,32 @@ def sarif_rule_positions(spark, sf_dir):
     return normalize.dispatched(files.sarif(texts)).select("event_id", "rule_id", "severity")
 
 
+@query(_expected("checkov", _LEVEL, "'medium'").replace(_READABLE, f"{_READABLE} AND event_id % 3 > 0"))
+def sarif_checkov(spark, sf_dir):
+    """Logs of which every third has a run without results, and gives no rows."""
+    rows = logs(spark, sf_dir, "checkov")
+    bare = F.regexp_replace("text", r'(?s)"results": \[.*\]', '"results": []}]')
+    whole = F.when(F.col("event_id") % 3 == 0, F.concat(bare, F.lit("}"))).otherwise(F.col("text"))
+    found = normalize.from_sarif(files.sarif(rows.withColumn("text", whole)), "checkov")
+    return found.select("event_id", "tool", "rule_id", "severity", "confidence", "file", "start_line", "cwe", "snippet_hash", F.size("evidence.dataflow").alias("steps"))
+
+
 @query("SELECT count(*) AS findings FROM f WHERE false")
 def sarif_checkov_empty(spark, sf_dir):
     empty = findings(spark, sf_dir).select("event_id", F.lit('{"version": "2.1.0", "runs": []}').alias("text"))
     return normalize.from_sarif(files.sarif(empty), "checkov").agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query("SELECT event_id, CASE event_id % 20 WHEN 0 THEN ['version'] WHEN 1 THEN ['version', 'runs'] ELSE list_filter([''], lambda x: false) END AS errors FROM f")
+@query("SELECT event_id, CASE event_id % 20 WHEN 0 THEN ['version'] WHEN 1 THEN ['$schema', 'version', 'runs'] WHEN 2 THEN ['$schema'] WHEN 3 THEN ['runs'] WHEN 4 THEN ['tool.driver.name'] WHEN 5 THEN ['message.text'] WHEN 6 THEN ['version', 'message.text'] ELSE list_filter([''], lambda x: false) END AS errors FROM f")
 def sarif_validate(spark, sf_dir):
-    """A cut text keeps the members read before the cut, so $schema is not missed there."""
-    return validate.sarif(logs(spark, sf_dir, "semgrep")).select("event_id", F.filter("errors", lambda e: e != "$schema").alias("errors"))
+    """Logs with another version (0), cut off (1), without a schema (2), runs (3), a driver's name (4), a message (5) or two of these (6)."""
+    rows = logs(spark, sf_dir, "semgrep")
+    gone = {2: ('"$schema": "s", ', ""), 3: ('"runs"', '"walks"'), 4: ('"driver": {"name": "semgrep", ', '"driver": {'), 5: ('"message": {"text": "m"}', '"message": {}'), 6: ('"message": {"text": "m"}', '"message": null')}
+    text = F.col("text")
+    for k, (old, new) in gone.items():
+        text = F.when(F.col("event_id") % 20 == k, F.replace(F.col("text"), F.lit(old), F.lit(new))).otherwise(text)
+    text = F.when(F.col("event_id") % 20 == 6, F.replace(text, F.lit('"2.1.0"'), F.lit("2"))).otherwise(text)
+    return validate.sarif(rows.withColumn("text", text)).select("event_id", "errors")
 
 
 @query(f"SELECT scan_date, count(*) AS n_runs FROM f WHERE {_READABLE} GROUP BY scan_date")
@@ -117,15 +133,23 @@ def eslint_ingest(spark, sf_dir):
     return normalize.from_eslint(findings(spark, sf_dir).select("event_id", text.alias("text"))).select("event_id", "file", "rule_id", "severity", "start_line")
 
 
-# Identifiers: seven tokens of security, and two of none, in names of our own.
-_IDENTIFIERS = ("security.openDoor", "types.looseCast", "unsafe.cookieRead", "eval.ofTemplate", "shell.backticks", "xss.inAttribute", "path.ofArchive", "sql.fromHeader", "style.longLine")
+# The tokens that make an identifier one of security.
+_TOKENS = ("security", "unsafe", "eval", "shell", "xss", "path", "sql")
+# Each token, or none, opens an identifier, stands within it after a dot, or within a word.
+_IDENTIFIER = "CASE (event_id // 8) % 3 WHEN 0 THEN token || '.part' || event_id % 11 WHEN 1 THEN 'part' || event_id % 11 || '.' || token || 'Of' ELSE 'rule.a' || token END"
 
 
-@query(f"SELECT event_id, {list(_IDENTIFIERS)}[event_id % 9 + 1] AS rule_id, CASE event_id % 9 WHEN 1 THEN 'low' WHEN 8 THEN 'medium' ELSE 'high' END AS severity, file, start_line FROM f WHERE event_id % 13 <> 0")
+@query(
+    f"""SELECT event_id, name AS rule_id, CASE WHEN starts_with(name, 'security.') THEN 'high' WHEN ignorable THEN 'low' WHEN regexp_matches(name, 'unsafe|eval|shell|xss|path|sql') THEN 'high' ELSE 'medium' END AS severity, file, start_line
+    FROM (SELECT *, {_IDENTIFIER} AS name, event_id % 5 < 2 AS ignorable FROM (SELECT *, {[*_TOKENS, "plain"]}[event_id % 8 + 1] AS token FROM f)) WHERE event_id % 13 <> 0"""
+)
 def phpstan_ingest(spark, sf_dir):
-    """Identifiers with their severities; every thirteenth report has a list for its files and gives nothing."""
-    name = F.get(F.array(*[F.lit(x) for x in _IDENTIFIERS]), (F.col("event_id") % 9).cast("int"))
-    ignorable = F.when(F.col("event_id") % 9 < 2, "true").otherwise("false")
+    """Identifiers with each token in each place, ignorable or not; every thirteenth report has a list for its files and gives nothing."""
+    token = F.get(F.array(*[F.lit(x) for x in (*_TOKENS, "plain")]), (F.col("event_id") % 8).cast("int"))
+    part = F.concat(F.lit("part"), (F.col("event_id") % 11).cast("string"))
+    turn = F.floor(F.col("event_id") / 8) % 3
+    name = F.when(turn == 0, F.concat(token, F.lit("."), part)).when(turn == 1, F.concat(part, F.lit("."), token, F.lit("Of"))).otherwise(F.concat(F.lit("rule.a"), token))
+    ignorable = F.when(F.col("event_id") % 5 < 2, "true").otherwise("false")
     good = F.format_string('{"totals": {"errors": 0}, "files": {"%s": {"errors": 1, "messages": [{"message": "m", "line": %d, "ignorable": %s, "identifier": "%s"}]}}}', "file", "start_line", ignorable, name)
     text = F.when(F.col("event_id") % 13 == 0, '{"files": []}').otherwise(good)
     return normalize.from_phpstan(findings(spark, sf_dir).select("event_id", text.alias("text"))).select("event_id", "rule_id", "severity", "file", "start_line")

@@ -115,9 +115,9 @@ def gate_strict_exit(spark, sf_dir):
 # Duplicates.
 
 
-@query("SELECT file, start_line, rule_id FROM f GROUP BY ALL")
+@query("SELECT file, start_line, rule_id, severity, id FROM f QUALIFY row_number() OVER (PARTITION BY file, start_line, rule_id ORDER BY array_position(['critical', 'high', 'medium', 'low', 'info'], severity), id) = 1")
 def dedupe_exact(spark, sf_dir):
-    return dedupe.exact(findings(spark, sf_dir)).select("file", "start_line", "rule_id")
+    return dedupe.exact(findings(spark, sf_dir)).select("file", "start_line", "rule_id", "severity", "id")
 
 
 _HASHED = "SELECT *, sha256(trim(regexp_replace(snippet, '\\s+', ' ', 'g'))) AS snippet_hash FROM f"

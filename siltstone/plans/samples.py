@@ -8,18 +8,23 @@ engine, as lists and lambdas are written in two ways.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators import report
+
 #: ``h`` of a row.
 SPREAD = "((event_id * 48271) % 65537)"
 
 
 def quoted(value: str) -> str:
-    """A literal; quotes in it by code, as engines escape them in their own ways."""
-    if "'" not in value:
+    """A literal; quotes and backslashes in it by code, as engines escape them in their own ways."""
+    if "'" not in value and "\\" not in value:
         return f"'{value}'"
-    return "concat(" + ", chr(39), ".join(f"'{piece}'" for piece in value.split("'")) + ")"
+    pieces = re.split(r"(['\\])", value)
+    return "concat(" + ", ".join(f"chr({ord(p)})" if p in ("'", "\\") else f"'{p}'" for p in pieces) + ")"
 
 
 def pick(items, salt):
@@ -35,9 +40,10 @@ def row(*parts):
 
 
 def several(shapes, first: int, last: int):
-    """Lines picked from the shapes, their {v} replaced by a variable."""
+    """Lines picked from the shapes, their {v} and {w} replaced by variables."""
     name = "concat('q', CAST((h * (k + 5)) % 127 % 3 AS STRING))"
-    line = lambda spark: f"replace({pick(shapes, 'k')(spark)}, '{{v}}', {name})"
+    other = "concat('q', CAST((h * (k + 11)) % 131 % 5 AS STRING))"
+    line = lambda spark: f"replace(replace({pick(shapes, 'k')(spark)}, '{{v}}', {name}), '{{w}}', {other})"
     return lambda spark: f"array_join(transform(sequence({first}, {last}), k -> {line(True)}), chr(10))" if spark else f"array_to_string([{line(False)} FOR k IN range({first}, {last + 1})], chr(10))"
 
 
@@ -69,10 +75,19 @@ def _service() -> list:
     return [name("load"), *one, quoted("}"), name("list"), many, quoted("}")]
 
 
-def _crew() -> list:
-    where = pick(("  where: { person: me.id, role: 'ADMIN' }", "  where: { person: me.id, role: 'ADMIN', orgId: org }", "  where: { person: me.id, role: 'guest' }"), 7)
-    more = pick(("const all = await db.crew.findMany({})", "const key = jwt.read(x)", "const all = await db.crew.findMany({ skip: 1 })"), 8)
-    return [quoted("const lead = await db.crew.findFirst({"), where, quoted("})"), more]
+#: Conditions of a lookup of roles: by literal or variable, in any order, with and without a scope, also one nested.
+_WHO = ("by: me.id", "account: { is: me.id }", "login: session.login")
+_ROLE = ("role: 'ADMIN'", "role: wanted", "role: 'reader'", "role: { in: ['admin', 'root'] }", "grade: 'ADMIN'")
+_SCOPE = ("", ", orgId: org", ", workspaceId: here.workspaceId", ", year: 2024")
+
+
+def _roles() -> list:
+    """A lookup of who has a role, its conditions in either order, and a list."""
+    who, role, scope = pick(_WHO, 7), pick(_ROLE, 9), pick(_SCOPE, 11)
+    first = lambda spark: f"CASE WHEN h % 2 = 0 THEN {row(who, quoted(', '), role, scope)(spark)} ELSE {row(role, scope, quoted(', '), who)(spark)} END"
+    call = row(quoted("const found = await "), pick(("db.staff", "store.membership", "tx.grants"), 13), quoted(".findFirst({"))
+    more = pick(("const all = await db.staff.findMany({})", "const key = jwt.read(x)", "const all = await db.staff.findMany({ skip: 1 })", "const all = await db.grants.findMany( )"), 8)
+    return [call, row(quoted("  where: { "), first, quoted(" }")), quoted("})"), more]
 
 
 PATH = by_kind(
@@ -81,7 +96,7 @@ PATH = by_kind(
         row("'web/w'", _ID, "'.ts'"),
         row("'shop/app/area'", "CAST(event_id % 7 AS STRING)", "'/s'", _ID, "'/[id]/route.ts'"),
         row(pick(("lib/services/item", "lib/plain/item"), 3), _ID, pick(("-service.ts", ".ts"), 3)),
-        row(pick(("lib/crew", "lib/login-crew"), 2), _ID, "'.ts'"),
+        row(pick(("lib/roles", "lib/login-roles"), 2), _ID, "'.ts'"),
     ]
 )
 TEXT = by_kind(
@@ -90,13 +105,14 @@ TEXT = by_kind(
         text(pick(("const web = require('express')", "import { page } from 'pages'", "// no import"), 1), several(_PAGE, 2, 11)),
         text(quoted("import { db } from 'store'"), *_handler(2), *_handler(9)),
         text(*_service()),
-        text(*_crew()),
+        text(*_roles()),
     ]
 )
 #: Paths from folders and names.
 ANY_PATH = row(pick(("tests", "src/test", "spec", "__tests__", "core", "vendor", "node_modules/kit", "dist", "docs", "testing_notes"), 3), "'/'", pick(("sheet.py", "sheet_test.go", "sheet.test.js", "sheet_spec.js", "sheet.generated.ts", "sheet.pb.go", "sheet.min.css", "Sheet.tsx"), 5))
 ODD_PATH = row(pick(("../", "../../", "/", "./", "", "/repo/", "..//", "/../"), 2), "'area/'", pick(("", "../", "deep/"), 3), "'f'", _ID, "'.py'")
-TITLE = row(pick(("Ledger", "Basket", "Session", "Upload"), 2), "': '", pick(("SQL text from input", "command from input", "SSRF to an inner host", "no CSRF token", "rate without a limit", "mass write", "timing of a comparison", "weak crypto", "config in the open", "something odd"), 3))
+#: Titles: a keyword of the fixes in upper, lower or title case, or none, between words that say nothing.
+TITLE = row(pick(("Note", "Report", "Case", ""), 2), "' '", lambda spark: f"CASE h % 3 WHEN 0 THEN upper({pick((*(w for w, _ in report.FIXES), 'nothing'), 3)(spark)}) ELSE {pick((*(w for w, _ in report.FIXES), 'nothing'), 3)(spark)} END", "' '", pick(("here", "there", "of part", "in step"), 5), _ID)
 SECRET = by_kind([row("'key AKIA'", f"upper(substr(md5({_ID}), 1, 16))"), row("'t ghp_'", f"md5({_ID})", "'abcd'"), row("'sent Bearer '", "md5(CAST(h AS STRING))"), row("'token = \"'", "md5(CAST(h AS STRING))", "'01234567\"'"), row("'plain '", _ID)])
 GUARD = text(
     pick(("import { getToken } from 'gate'", "import { pass } from 'gate'"), 2),
@@ -106,6 +122,27 @@ GUARD = text(
 COMMAND = pick(("./gradlew assemble", "make clean", "npm run build", "wget x", "cmake --build .", "go vet", "python setup.py"), 2)
 
 
+#: Scripts whose values pass through several variables.
+_CHAIN = ("{v} = request.form['key']", "{w} = wrap({v})", "{w} = {v}", "{w} += {v}", "{v} = 'fixed'", "{w} = pad({w}, {v})", "ledger.execute({v})", "os.system(pad({w}))", "{v} = sanitize({v})", "note({v}, {w})", "{w} = {v} if {w} else 0", "if {v} == {w}:", "{v} = {w}")
+CHAIN_PATH = row("'flows/f'", _ID, "'.py'")
+CHAIN = several(_CHAIN, 2, 31)
+
+#: Diffs of one or two files of a finding's row: hunks near its line, new, deleted, renamed and plain ones.
+_EDIT = ("+new {v}", " same {v}", "-old {v}", "+more {v}", "+", "", "-", "+++ {v}", "-- {v}", "\\ No newline at end of file", " @@ {v}", "+diff {v}")
+_SIDE = {
+    0: ("'diff --git a/', file, ' b/', file, chr(10), 'index 1..2 100644', chr(10), '--- a/', file, chr(10), '+++ b/', file"),
+    1: ("'diff --git a/', file, ' b/', file, chr(10), 'new file mode 100644', chr(10), '--- /dev/null', chr(10), '+++ b/', file"),
+    2: ("'diff --git a/', file, ' b/', file, chr(10), 'deleted file mode 100644', chr(10), '--- a/', file, chr(10), '+++ /dev/null'"),
+    3: ("'diff --git a/old/', file, ' b/', file, chr(10), 'similarity index 90%', chr(10), 'rename from old/', file, chr(10), 'rename to ', file, chr(10), '--- a/old/', file, chr(10), '+++ b/', file"),
+}
+_HUNK = lambda spark, at: f"chr(10), '@@ -', CAST({at} AS STRING), ',4 +', CAST({at} AS STRING), ',9 @@ part', chr(10), "
+_HEADS = lambda: "CASE event_id % 4 " + " ".join(f"WHEN {k} THEN concat({x})" for k, x in _SIDE.items()) + " END"
+DIFF = lambda spark: (
+    f"concat('commit ', {_ID}, chr(10), chr(10), '    message', chr(10), {_HEADS()}, {_HUNK(spark, 'start_line')}{several(_EDIT, 2, 9)(spark)}, {_HUNK(spark, 'start_line + 300')}{several(_EDIT, 10, 15)(spark)}, chr(10),"
+    f" 'diff --git a/kept/', {_ID}, '.md b/kept/', {_ID}, '.md', chr(10), 'similarity index 100%', chr(10), 'rename from kept/', {_ID}, '.md', chr(10), 'rename to moved/', {_ID}, '.md', chr(10))"
+)
+
+
 def made(rows: DataFrame, *kept: str, **values) -> DataFrame:
     """(kept.., values..) of rows with an ``event_id``."""
     return rows.withColumn("h", F.expr(SPREAD)).select(*kept, *(F.expr(v(True)).alias(k) for k, v in values.items()))

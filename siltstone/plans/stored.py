@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone import versions
 from siltstone.operators import baseline, report
 from siltstone.plans.catalogue import findings, query
 from siltstone.plans.governance import _HELD, _KNOWN, _PRINTED, held, known, printed
+from siltstone.schemas import BASELINE
 from siltstone.scratch import scratch_dir
 from siltstone.sources import files, tables
 
@@ -23,12 +25,23 @@ def _documents(rows: DataFrame, folder: str, part: str) -> None:
     rows.select(part, "text").write.partitionBy(part).text(folder)
 
 
-@query(f"WITH {_PRINTED}, {_KNOWN}, n AS (SELECT fingerprint FROM p UNION SELECT fingerprint_v1 FROM p) SELECT fingerprint, least(first_seen, CASE WHEN n.fingerprint IS NOT NULL THEN TIMESTAMP '2024-02-01' END) AS first_seen FROM k FULL JOIN n USING (fingerprint)")
+@query(
+    f"""WITH {_PRINTED}, {_KNOWN}, n AS (SELECT unnest([fingerprint, fingerprint_v1]) AS fingerprint, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-15' ELSE TIMESTAMP '2024-02-01' END AS first_seen FROM p)
+    SELECT fingerprint, min(first_seen) AS first_seen FROM (SELECT fingerprint, first_seen FROM k UNION ALL SELECT * FROM n) GROUP BY fingerprint"""
+)
 def baseline_saved(spark, sf_dir):
-    """A baseline saved, read, brought up to date and saved again; the last version is read."""
-    folder = _folder(spark, "baseline")
-    baseline.save(known(spark, sf_dir), folder, 1)
-    baseline.save(baseline.updated(baseline.latest(spark, folder), printed(spark, sf_dir), F.to_timestamp(F.lit("2024-02-01 00:00:00"))), folder, 2)
+    """A saved baseline that two writers bring up to date at once, each with part of the findings: the one that comes second starts again."""
+    folder, rows = _folder(spark, "baseline"), printed(spark, sf_dir)
+    at = lambda day: F.to_timestamp(F.lit(f"{day} 00:00:00"))
+    versions.commit(spark, folder, BASELINE, lambda old: known(spark, sf_dir).select("fingerprint", "first_seen"))
+    between = [lambda: baseline.update(spark, folder, rows.filter("event_id % 3 = 0"), at("2024-01-15"))]
+
+    def second(old: DataFrame) -> DataFrame:
+        if between:
+            between.pop()()
+        return baseline.updated(old, rows.filter("event_id % 3 <> 0"), at("2024-02-01"))
+
+    versions.commit(spark, folder, BASELINE, second)
     return baseline.latest(spark, folder)
 
 
@@ -53,10 +66,10 @@ def suppression_files(spark, sf_dir):
 
 @query("SELECT 'scan-' || scan_date AS scan_id, count(*)::INTEGER AS total_findings, count(*) FILTER (WHERE severity = 'high')::INTEGER AS high FROM f GROUP BY scan_date ORDER BY scan_date DESC LIMIT 10")
 def history_files(spark, sf_dir):
-    """The ten newest scans of a history appended to twice, the newer scans first."""
+    """The ten newest scans of a history appended to three times, the newer scans first and at last once more."""
     folder = _folder(spark, "history")
     entries = report.history_entries(printed(spark, sf_dir))
-    for older in (False, True):
+    for older in (False, True, False):
         report.append_history(entries.filter((F.col("timestamp") < "2024-01-20") == F.lit(older)), folder)
     return files.load_history(spark, folder, 10).select("scan_id", "total_findings", F.coalesce(F.col("severity_counts")["high"], F.lit(0)).alias("high"))
 
@@ -65,6 +78,14 @@ def history_files(spark, sf_dir):
 def plan_saved(spark, sf_dir):
     """A plan replaced by a smaller one, made from it, that keeps its session."""
     folder = _folder(spark, "plan")
-    report.save_plan(tables.load(spark, sf_dir, "pages").select(F.col("page_id").alias("target")), folder, "first")
-    report.save_plan(spark.read.schema("target bigint").json(folder).filter("target % 2 = 0"), folder, "second")
-    return spark.read.schema("target bigint, session_id string").json(folder)
+    report.save_plan(spark, folder, "target bigint", lambda old: tables.load(spark, sf_dir, "pages").select(F.col("page_id").alias("target")), "first")
+    report.save_plan(spark, folder, "target bigint", lambda old: old.filter("target % 2 = 0"), "second")
+    return report.load_plan(spark, folder, "target bigint")
+
+
+@query("SELECT 'scan-' || scan_date AS scan_id, count(*)::INTEGER AS total_findings FROM f WHERE scan_date >= DATE '2024-01-10' GROUP BY scan_date")
+def history_since(spark, sf_dir):
+    """Scans of the days from one on; the folders of earlier ones are not read."""
+    folder = _folder(spark, "history")
+    report.append_history(report.history_entries(printed(spark, sf_dir)), folder)
+    return files.load_history(spark, folder, since="2024-01-10").select("scan_id", "total_findings")

@@ -102,11 +102,18 @@ def load_baseline(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame,
     return prints, held, audit
 
 
-def load_history(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """Saved scans, newest first."""
+def load_history(spark: SparkSession, folder: str, limit: int | None = None, since: str | None = None) -> DataFrame:
+    """Saved scans, newest first; of days from ``since`` on only the folders of these are read.
+
+    Entries may also lie in plain files without a folder for the day; their day is that of their time.
+    """
     found = present(spark, [folder])
-    rows = spark.read.schema(schemas.HISTORY).json(found) if found else spark.createDataFrame([], schemas.HISTORY)
-    rows = rows.filter("scan_id is not null").orderBy(F.to_timestamp("timestamp").desc(), "scan_id")
+    schema = f"{schemas.HISTORY}, scan_date date"
+    rows = spark.read.schema(schema).json(found) if found else spark.createDataFrame([], schema)
+    if since is not None:
+        day = F.lit(since).cast("date")
+        rows = rows.filter(F.col("scan_date").isNull() | (F.col("scan_date") >= day)).filter(F.coalesce("scan_date", F.to_date(F.try_to_timestamp("timestamp"))) >= day)
+    rows = rows.filter("scan_id is not null").orderBy(F.try_to_timestamp("timestamp").desc_nulls_last(), "scan_id")
     return rows if limit is None else rows.limit(limit)
 
 
