@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone import schemas
-from siltstone.functions import paths
+from siltstone.functions import outline, paths
 
 DEFAULTS = {
     "gate": {"fail_on": "high", "review_findings_blocking": False},
@@ -142,9 +142,38 @@ def annotations(files: DataFrame) -> DataFrame:
 
 
 def rule_ids(files: DataFrame) -> DataFrame:
-    """(path, rule_id) of the ``id:`` lines of rule files."""
-    found = lines(files).select("path", F.regexp_extract("text", r"^\s*-\s*id:\s*([\w.-]+)", 1).alias("rule_id"))
-    return found.filter("rule_id != ''").distinct()
+    """(path, rule_id) of the rules of rule files: the ``id`` of each item of ``rules``, wherever it stands in the item."""
+    found = config_entries(files).filter(F.col("key").rlike(r"^(rules)?\[\d+\]\.id$"))
+    return found.select("path", F.col("value").alias("rule_id")).distinct()
+
+
+def config_entries(files: DataFrame) -> DataFrame:
+    """(other columns, key, value) of the entries of indented configuration files, see ``outline.entries``."""
+    kept = [c for c in files.columns if c not in ("text", "key", "value")]
+    return files.select(*kept, F.explode(outline.entries(F.col("text"))).alias("e")).select(*kept, "e.*")
+
+
+def rule_fields(files: DataFrame) -> DataFrame:
+    """(path, rule, rule_id, field, value): the fields of each rule of rule files; rule is its place, field its key below the rule."""
+    each = config_entries(files).select("path", F.regexp_extract("key", r"^(?:rules)?\[(\d+)\]", 1).alias("rule"), F.regexp_extract("key", r"^(?:rules)?\[\d+\]\.?(.*)$", 1).alias("field"), "value").filter("rule != ''")
+    each = each.withColumn("rule", F.col("rule").cast("int"))
+    named = each.filter("field = 'id'").groupBy("path", "rule").agg(F.min("value").alias("rule_id"))
+    return each.join(named, ["path", "rule"], "left").select("path", "rule", "rule_id", "field", "value")
+
+
+def layered_config(layers: DataFrame, *scope: str, layer: str = "layer") -> DataFrame:
+    """(scope.., key, value) of configuration files in layers (scope.., layer, text): of each key the entry of the highest layer.
+
+    A list of a higher layer replaces the whole list, and a value what nested below it.
+    """
+    each = config_entries(layers.select(*scope, layer, "text")).withColumn("owner", F.regexp_replace("key", r"\[\d+\].*$", ""))
+    top = each.groupBy(*scope, "owner").agg(F.max(layer).alias("_top"))
+    kept = each.join(top, [*scope, "owner"]).filter(F.col(layer) == F.col("_top"))
+    # Keys above an entry, of which none may have a value of its own in a higher layer.
+    parts = F.split("owner", r"\.")
+    above = kept.select(*scope, "owner", layer, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("up")).filter("up != owner")
+    over = above.join(top.select(*scope, F.col("owner").alias("up"), "_top"), [*scope, "up"]).filter(F.col("_top") > F.col(layer)).select(*scope, "owner").distinct()
+    return kept.join(over, [*scope, "owner"], "left_anti").select(*scope, "key", "value")
 
 
 def rule_tests(names: DataFrame, path: str = "path") -> DataFrame:

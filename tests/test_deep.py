@@ -238,3 +238,54 @@ def test_history_is_by_day_and_repeats_change_nothing(spark, tmp_path):
     assert [r["scan_id"] for r in late.collect()] == ["t 5", "s 5", "s 4"]
     plan = late._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*scan_date", plan)
+
+
+RULES = """# head
+---
+rules:
+  - message: |
+      - id: not this
+        id: nor this
+    id: second-key
+    languages: [python, go]
+    paths:
+      include:
+      - id: inner
+      - "*.py"   # kept
+    metadata:
+      cwe:
+        - CWE-1
+        - 'CWE-2 # no comment'
+      empty:
+
+  - id: "quoted"  # named
+    severity: HIGH
+other:
+  - id: elsewhere
+"""
+
+
+def test_nested_configuration_is_read_by_key_path(spark):
+    got = [tuple(r) for r in files.config_entries(sources(spark, {"a.yml": RULES})).select("key", "value").collect()]
+    assert got == [
+        ("rules[0].id", "second-key"),
+        ("rules[0].languages", "[python, go]"),
+        ("rules[0].paths.include[0].id", "inner"),
+        ("rules[0].paths.include[1]", "*.py"),
+        ("rules[0].metadata.cwe[0]", "CWE-1"),
+        ("rules[0].metadata.cwe[1]", "CWE-2 # no comment"),
+        ("rules[1].id", "quoted"),
+        ("rules[1].severity", "HIGH"),
+        ("other[0].id", "elsewhere"),
+    ]
+    both = sources(spark, {"a.yml": RULES, "b.yml": "rules:\n- id: flat\n  severity: LOW\n- severity: HIGH\n  id: late\n", "none.yml": "", "odd.yml": "just text\n- x"})
+    assert {tuple(r) for r in files.rule_ids(both).collect()} == {("a.yml", "second-key"), ("a.yml", "quoted"), ("b.yml", "flat"), ("b.yml", "late")}
+    fields = {(r["path"], r["rule"], r["rule_id"], r["field"]): r["value"] for r in files.rule_fields(both).collect()}
+    assert fields["b.yml", 1, "late", "severity"] == "HIGH" and fields["a.yml", 0, "second-key", "paths.include[0].id"] == "inner"
+    assert files.config_entries(spark.createDataFrame([("x", None)], "path string, text string")).collect() == []
+
+
+def test_layers_of_configuration(spark):
+    layers = [("u", 0, "gate:\n  fail_on: low\n  deep:\n    a: 1\nskip:\n- a\n- b\n"), ("u", 1, "gate:\n  deep: none\nskip:\n  - c\n"), ("v", 0, "gate:\n  fail_on: high\n")]
+    got = {tuple(r) for r in files.layered_config(spark.createDataFrame(layers, "who string, layer int, text string"), "who").collect()}
+    assert got == {("u", "gate.fail_on", "low"), ("u", "gate.deep", "none"), ("u", "skip[0]", "c"), ("v", "gate.fail_on", "high")}
