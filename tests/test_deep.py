@@ -289,3 +289,27 @@ def test_layers_of_configuration(spark):
     layers = [("u", 0, "gate:\n  fail_on: low\n  deep:\n    a: 1\nskip:\n- a\n- b\n"), ("u", 1, "gate:\n  deep: none\nskip:\n  - c\n"), ("v", 0, "gate:\n  fail_on: high\n")]
     got = {tuple(r) for r in files.layered_config(spark.createDataFrame(layers, "who string, layer int, text string"), "who").collect()}
     assert got == {("u", "gate.fail_on", "low"), ("u", "gate.deep", "none"), ("u", "skip[0]", "c"), ("v", "gate.fail_on", "high")}
+
+
+def test_sql_text_gives_what_the_operators_give(spark):
+    from siltstone import surface
+    from siltstone.functions import paths, severity
+    from siltstone.operators import triage
+    from siltstone.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    rows = tables.findings(spark, sf)
+    names = surface.register(rows)
+    assert {"gate", "open_findings", "per_file", "severity_rank"} <= set(names)
+    for level, review in (("high", False), ("medium", True), ("info", False)):
+        by_text = spark.sql(f"SELECT * FROM gate('{level}', {str(review).lower()})").first().asDict()
+        assert by_text == triage.gate(rows, level, review).first().asDict()
+    assert spark.sql("SELECT * FROM open_findings()").columns == rows.columns
+    odd = spark.createDataFrame([(s, p) for s in ("HIGH", "info", "odd", None) for p in ("tests/a.py", "a/b.pb.go", "x.py")], "s string, p string")
+    odd.createOrReplaceTempView("odd")
+    same = spark.sql("SELECT severity_rank(s) a, severity_reduced(s) b, is_test_path(p) c, is_generated_path(p) d, s, p FROM odd")
+    own = odd.select(severity.rank(F.col("s")).alias("a"), severity.reduced(F.col("s")).alias("b"), paths.is_test(F.col("p")).alias("c"), paths.is_generated(F.col("p")).alias("d"), "s", "p")
+    assert sorted(map(str, same.collect())) == sorted(map(str, own.collect()))
+    # A filter over a function reaches the scan, and only its columns are read.
+    plan = spark.sql("SELECT id FROM open_findings('low') WHERE event_id > 900")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(event_id,900\)", plan) and "props" not in re.search(r"ReadSchema: .*", plan)[0]
