@@ -113,7 +113,7 @@ def test_run_is_the_chain(spark, sf_dir, stages):
 
 
 def test_registered_names():
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in QUERIES if n != "pipeline"}
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in QUERIES if n != "pipeline"}
 
 
 def test_stages_take_clashing_and_extra_columns(spark, sf_dir):
