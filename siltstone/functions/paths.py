@@ -31,6 +31,12 @@ def sanitized(path: Column) -> Column:
     return F.regexp_replace(path, LEADING, "")
 
 
+def resolved(path: Column) -> Column:
+    """Without ``.``, ``..`` and empty parts; NULL where ``..`` leaves the root."""
+    step = lambda done, part: F.when(part.isin("", "."), done).when(part != "..", F.concat(done, F.array(part))).when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def relative(path: Column, root: str) -> Column:
     """Relative to ``root`` where below it, then sanitized."""
     base = root.rstrip("/") + "/"

@@ -42,4 +42,4 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
 
-from siltstone.plans import analyses, deep, governance, ingest, measures, stored  # noqa: E402,F401
+from siltstone.plans import analyses, deep, governance, graphs, ingest, measures, stored  # noqa: E402,F401

@@ -127,6 +127,40 @@ _CHAIN = ("{v} = request.form['key']", "{w} = wrap({v})", "{w} = {v}", "{w} += {
 CHAIN_PATH = row("'flows/f'", _ID, "'.py'")
 CHAIN = several(_CHAIN, 2, 31)
 
+#: Three files of a row that call each other: handlers, what they import, and what that imports. Functions have the same
+#: names in every row; checks, queries, import forms and calls differ.
+_CHECKS = ("  if (row.ownerId !== me) return deny()", "  touch({ key: '}' })", "  note(key) // }", "  if (key) {\n    touch(key)\n  }")
+_OWN = "'e'", _ID
+CALLER_PATH = row("'shop/app/'", *_OWN, "'/route.ts'")
+CALLED_PATH = row("'lib/stock/'", *_OWN, pick((".ts", "/index.ts"), 3))
+INNER_PATH = row("'lib/rows/'", *_OWN, "'.ts'")
+CALLER = text(
+    row(pick(("import { loadPart as fetchPart, dropPart } from '@/lib/stock/", "import { loadPart as fetchPart, dropPart } from '../../../lib/stock/", "import { loadPart as fetchPart, dropPart } from 'stock/"), 2), *_OWN, quoted("'")),
+    quoted("export async function GET(req, { params }) {"),
+    pick(_CHECKS, 4),
+    pick(("  return fetchPart(params.id)", "  return loadPart(params.id)", "  return show(req)"), 5),
+    quoted("}"),
+    quoted("function show(req) {"),
+    pick(_CHECKS, 6),
+    pick(("  return dropPart(req)", "  return fetchPart(req)", "  return show(req)"), 7),
+    quoted("}"),
+    pick(("export function DELETE(req) { return dropPart(req) }", "export const DELETE = async (req) => {\n  return dropPart(req)\n}", "export const other = 1"), 8),
+)
+CALLED = text(
+    row(pick(("import * as rows from '", "import rows from '"), 9), pick(("@/lib/rows/", "@/lib/none/"), 10), *_OWN, quoted("'")),
+    quoted("export async function loadPart(key) {"),
+    pick(_CHECKS, 11),
+    pick(("  return rows.read(key)", "  return read(key)", "  return db.part.findFirst({ where: { key } })", "  return dropPart(key)"), 12),
+    quoted("}"),
+    quoted("export async function dropPart(key) {"),
+    pick(_CHECKS, 13),
+    pick(("  return rows.drop(key)", "  return cache.drop(key)", "  return loadPart(key)"), 14),
+    quoted("}"),
+)
+INNER = text(
+    *(x for name, k in (("read", 15), ("drop", 17)) for x in (quoted(f"export function {name}(key) {{"), pick(_CHECKS, k), pick((f"  return db.part.{name}(key)", f"  return cache.{name}(key)"), k + 1), quoted("}"))),
+)
+
 #: Diffs of one or two files of a finding's row: hunks near its line, new, deleted, renamed and plain ones.
 _EDIT = ("+new {v}", " same {v}", "-old {v}", "+more {v}", "+", "", "-", "+++ {v}", "-- {v}", "\\ No newline at end of file", " @@ {v}", "+diff {v}")
 _SIDE = {
