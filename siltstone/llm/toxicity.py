@@ -15,20 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import kernel as K
-from siltstone.llm.common import ship
+from siltstone.llm.common import discard, settle, ship
 
 #: Characters of a run, and runs of a token at most.
 GRAM, PIECE = 4, 24
 #: Tokens of a window and between the starts of two; a text's last window ends with it.
 WINDOW, STRIDE = 64, 48
 #: The labelled texts to learn from: at most so many of each class, by the hash of their ids, none longer than this;
-#: and of each class those of least id whose bytes together stay within this, at least one.
+#: and of each class the first of these whose bytes together stay within this, at least one.
 POSITIVES, NEGATIVES, TRAIN_CHARS, TRAIN_BYTES = 1500, 3000, 20_000, 8 << 20
 #: Vocabulary: inputs found in at least so many training texts, the most frequent so many; sizes of embedding and hidden state.
 MIN_TEXTS, VOCABULARY, EMBED, HIDDEN = 3, 1 << 16, 8, 8
@@ -317,20 +316,22 @@ def sample(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
         ids = part if ids is None else ids.unionByName(part)
     # At most POSITIVES + NEGATIVES ids, whatever the input.
     rows = docs.filter(F.length(text) <= TRAIN_CHARS).select(key, text).join(F.broadcast(ids), key)
-    found = rows.groupBy(key).agg(F.min(text).alias("text"), F.first(name).cast("int").alias("label")).select("text", "label", key).orderBy(key).select("text", "label").toArrow()
-    label, size = found["label"].to_numpy(), pc.binary_length(found["text"]).to_numpy()
-    keep = np.zeros(len(label), bool)
-    for value in (0, 1):
-        own = np.flatnonzero(label == value)
-        keep[own[(np.cumsum(size[own]) <= TRAIN_BYTES) | (np.arange(len(own)) == 0)]] = True
-    return found.filter(pa.array(keep))
+    found = settle(rows.groupBy(key).agg(F.min(text).alias("text"), F.first(name).cast("int").alias("label")), "train")
+    # The bound holds before a text comes to the driver; rows of a class are at most POSITIVES or NEGATIVES here.
+    by_hash = Window.partitionBy("label").orderBy(F.xxhash64(key), key)
+    total = F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0))
+    sized = found.select(key, "label", total.alias("bytes"), F.row_number().over(by_hash).alias("n"))
+    kept = sized.filter((F.col("bytes") <= TRAIN_BYTES) | (F.col("n") == 1)).select(F.col(key).alias("_kept"))
+    out = found.join(F.broadcast(kept), F.col(key) == F.col("_kept"), "left_semi").orderBy(key).select("text", "label").toArrow()
+    discard(found)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", name: str = "toxic", drop_text: bool = False) -> DataFrame:
     """``docs`` with its columns, ``score`` and ``predicted``: one scan after training on a bounded sample, no shuffle.
 
     Null and empty texts are one window of no words; long ones are scored whole. Repeated rows are scored
-    alike. If the sample lacks a class, all rows have the share of label 1.
+    alike, and an empty table gives none. If the sample lacks a class, all rows have the share of label 1.
     Columns named ``score`` or ``predicted`` are replaced.
     """
     spark = ship(docs.sparkSession)

@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import decontam, hamming, kernel, lines, mixing, near_dup, pii, quality, sharding, substring, toxicity
+from siltstone.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, score string, k1 string, items string"
 
@@ -103,6 +105,53 @@ def test_pii_secrets_of_any_length(secret):
     assert not pii.spans("token " + "k" * len(secret)) and not pii.spans(f"so {secret}")
 
 
+@pytest.mark.parametrize(
+    ("run", "near", "far"),
+    [
+        ("AKIA" + "Q7" * 8, 20, 20), ("ghp_" + "a" * 23 + "4", 28, 28), ("a1b2c3d4e5f6g7h8", 16, 0), ("abcdefghijklmn12", 0, 0), ("some-words-and-12345", 0, 0),
+        ("Ab1+" * 10 + "==", 42, 0), ("Ab1/" * 10, 40, 0), ("path/to/some/file/of/the/tree/12345", 0, 0), ("1234567890123456", 0, 0),
+    ],
+)
+def test_pii_shorter_secrets_and_known_forms(run, near, far):
+    size = lambda text: sum(b - a for k, a, b, _ in pii.spans(text) if k == "secret")
+    assert (size(f"the token {run} 1 ok"), size(f"so {run} 1 ok")) == (near, far)
+
+
+def test_pii_account_numbers_in_lower_case():
+    assert [s[:3] for s in pii.spans("to gb82west12345698765432 now")] == [("iban", 3, 25)]
+    assert not pii.spans("to gb82west12345698765433 now") and not pii.spans("id42 some words follow here and there")
+
+
+def test_pii_query_has_the_counts_and_digests_of_plain_patterns(spark):
+    sf = "/root/testdata/sf0.001"
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: max(map(int, m.split("."))) <= 255),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(pii.digits(m)) <= 19 and pii.luhn(pii.digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(pii.digits(m)) <= 15),
+    }
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op3_pii"](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for doc, text in texts.items():
+        base = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, text) if ok(m.group())] for k, (p, ok) in kinds.items()}
+        every = ",".join(x for k in kinds for x in base[k])
+        assert [got[doc][f"n_{k}"] for k in kinds] == [len(base[k]) for k in kinds]
+        assert got[doc]["base_sha256"] == hashlib.sha256(every.encode()).hexdigest()
+        assert got[doc]["spans"].split(",")[: sum(map(len, base.values()))] == (every.split(",") if every else [])
+
+
+def test_toxicity_sample_is_bound_by_hash_before_it_is_collected(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 1000)
+    rows = spark.range(400).selectExpr("id AS doc_id", "repeat('ab ', 30) AS text", "CAST(id % 2 AS INT) AS toxic")
+    found = toxicity.sample(rows.select("doc_id", F.concat("text", F.lpad(F.col("doc_id").cast("string"), 3, "0")).alias("text")), rows.select("doc_id", "toxic")).to_pylist()
+    ids = {v: sorted(int(r["text"][-3:]) for r in found if r["label"] == v) for v in (0, 1)}
+    # Ten texts of 93 bytes a class, not those of least id.
+    assert {v: len(x) for v, x in ids.items()} == {0: 10, 1: 10} and max(ids[0]) > 100 and max(ids[1]) > 100
+    # A text above the bound alone is still one to learn from.
+    assert toxicity.sample(spark.createDataFrame([(1, "x " * 900)], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).num_rows == 1
+
+
 def test_pii_matches_plain_patterns():
     rng = random.Random(1)
     for _ in range(3000):
@@ -674,7 +723,6 @@ def test_lines_of_copies_are_all_found(spark):
 
 def test_lines_of_unlike_chunks_with_one_hash_stay(spark, monkeypatch):
     """With hashes of five values, only chunks of equal bytes go."""
-    from pyspark.sql import functions as F
 
     rng = random.Random(3)
     rows = [(i, "\n".join(f"l{rng.randrange(6)}" for _ in range(rng.randint(1, 8)))) for i in range(60)]
