@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 TEST = r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]+$|[_.](test|spec)\.[A-Za-z]+$"
 GENERATED = r"(^|/)(vendor|node_modules|dist|build|\.gomodcache)/|\.generated\.|\.pb\.go$|\.min\.[A-Za-z]+$"
 LEADING = r"^(?:\.{1,2}/|/)+"
-# Fixed value: the form of benchmark case names.
-TEST_CASE = r"(BenchmarkTest\d{5})\.java$"
+# Fixed value: the form of benchmark case names. Numbers are padded to five digits, so from 100,000 on they have more.
+TEST_CASE = r"(BenchmarkTest\d{5,})\.java$"
 #: Extension -> language.
 LANGUAGES = {
     "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go",
