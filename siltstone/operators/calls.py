@@ -33,45 +33,70 @@ def _every(column: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(column, F.lit(pattern), F.lit(group))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _mark(line: Column) -> Column:
+    """What the fold needs of a line: by how much it opens brackets, the function whose head it is, and whether a body may end there."""
+
+    def said(bare: Column) -> Column:
+        opened = F.length(F.translate(bare, ")]}", "")) - F.length(F.translate(bare, "([{", ""))
+        # Every head has one of the two, so other lines are not matched with it.
+        head = bare.contains("function") | bare.contains("=>")
+        name = F.when(head, F.concat(F.regexp_extract(bare, HEAD, 1), F.regexp_extract(bare, HEAD, 2))).otherwise("")
+        main = F.when(head, bare.rlike(r"^\s*export\s+default\b")).otherwise(False)
+        return F.struct(opened.alias("opened"), name.alias("name"), main.alias("main"), bare.rlike(r"[};]\s*[),;]*\s*$").alias("ends"))
+
+    quoted = line.contains("'") | line.contains('"') | line.contains("`") | line.contains("//")
+    return _let(F.when(quoted, F.regexp_replace(line, _QUOTED, "")).otherwise(line), said)
+
+
 def _spans(lines: Column) -> Column:
     """(name, main, first, last) of the functions in an array of lines, nested ones too."""
-    signs = lambda line, which: F.length(F.regexp_replace(line, f"[^{which}]", ""))
 
-    def step(s: Column, line: Column) -> Column:
-        return F.get(F.transform(F.array(F.regexp_replace(line, _QUOTED, "")), lambda bare: after(s, bare)), 0)
+    def state(at: Column, depth: Column, opened: Column, done: Column) -> Column:
+        return F.struct(at.alias("at"), depth.alias("depth"), opened.alias("open"), done.alias("done"))
+
+    def closed(functions: Column, last: Column) -> Column:
+        return F.transform(functions, lambda f: F.struct(f["name"].alias("name"), f["main"].alias("main"), f["first"].alias("first"), last.alias("last")))
 
-    def after(s: Column, bare: Column) -> Column:
-        at = s["at"] + 1
-        depth = s["depth"] + signs(bare, r"(\[{") - signs(bare, r")\]}")
-        name = F.concat(F.regexp_extract(bare, HEAD, 1), F.regexp_extract(bare, HEAD, 2))
-        head = F.struct(name.alias("name"), bare.rlike(r"^\s*export\s+default\b").alias("main"), at.alias("first"), s["depth"].alias("depth"))
-        every = F.when(name != "", F.concat(s["open"], F.array(head))).otherwise(s["open"])
+    def step(s: Column, m: Column) -> Column:
+        at, depth = s["at"] + 1, s["depth"] + m["opened"]
+        head = F.struct(m["name"].alias("name"), m["main"].alias("main"), at.alias("first"), s["depth"].alias("depth"))
+        every = F.when(m["name"] != "", F.concat(s["open"], F.array(head))).otherwise(s["open"])
         # A body ends where its brackets are closed again; a head alone on its lines has not begun.
-        ends = lambda f: (depth <= f["depth"]) & (bare.rlike(r"[};]\s*[),;]*\s*$") | (depth < f["depth"]))
-        ended = F.transform(F.filter(every, ends), lambda f: F.struct(f["name"].alias("name"), f["main"].alias("main"), f["first"].alias("first"), at.alias("last")))
-        return F.struct(at.alias("at"), depth.alias("depth"), F.filter(every, lambda f: ~ends(f)).alias("open"), F.concat(s["done"], ended).alias("done")).cast(_STATE)
+        ends = lambda f: (depth <= f["depth"]) & (m["ends"] | (depth < f["depth"]))
+        left = lambda fs: F.when(F.exists(fs, ends), state(at, depth, F.filter(fs, lambda f: ~ends(f)), F.concat(s["done"], closed(F.filter(fs, ends), at)))).otherwise(state(at, depth, fs, s["done"]))
+        idle = (m["name"] == "") & (F.size(s["open"]) == 0)
+        return F.when(idle, state(at, depth, s["open"], s["done"])).otherwise(_let(every, left))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.array().cast(_FOUND).alias("open"), F.array().cast(_DONE).alias("done")).cast(_STATE)
     # What the text leaves open ends with it.
-    rest = lambda s: F.concat(s["done"], F.transform(s["open"], lambda f: F.struct(f["name"].alias("name"), f["main"].alias("main"), f["first"].alias("first"), s["at"].alias("last"))))
-    return F.aggregate(lines, begin, step, rest)
+    return F.aggregate(F.transform(lines, _mark), begin, step, lambda s: F.concat(s["done"], closed(s["open"], s["at"])))
+
+
+def _firsts(functions: Column) -> Column:
+    """The first function of each name."""
+    some = F.size(F.array_distinct(F.transform(functions, lambda f: f["name"]))) < F.size(functions)
+    return F.when(some, F.filter(functions, lambda f: ~F.exists(functions, lambda g: (g["name"] == f["name"]) & (g["first"] < f["first"])))).otherwise(functions)
 
 
 def bodies(files: DataFrame) -> DataFrame:
-    """(path, name, is_default, first, last, has_check, has_query, calls): the functions of each file.
+    """(path, name, is_default, first, last, has_check, has_query, calls): the functions of each file (one row a path).
 
     A function is a declaration or an arrow or function expression that a variable gets; its body reaches to
     where the brackets of its head are closed again, brackets in quotes and line comments
     aside. Block comments, regular expressions and templates over lines are read as code. ``calls``
     are the names called in it, with the name before a dot; a nested function's are also its outer one's. Of
-    equal names in a file the first counts. Null texts have none.
+    equal names in a file the first counts. Null texts have none. One pass over the files, without a shuffle.
     """
     whole = files.filter("text is not null").select("path", F.explode(F.array(F.split(F.regexp_replace("text", "\r", ""), "\n"))).alias("lines"))
-    rows = whole.filter(F.exists("lines", lambda x: x.rlike(HEAD))).select("path", "lines", F.explode(_spans(F.col("lines"))).alias("f"))
+    found = whole.filter(F.exists("lines", lambda x: x.rlike(HEAD))).select("path", "lines", F.explode(F.array(_spans(F.col("lines")))).alias("every"))
+    rows = found.select("path", "lines", F.explode(_firsts(F.col("every"))).alias("f"))
     first = rows.select("path", "f.*", F.array_join(F.slice("lines", F.col("f.first"), F.col("f.last") - F.col("f.first") + 1), "\n").alias("body"))
-    said = first.select("path", "name", F.col("main").alias("is_default"), "first", "last", F.col("body").rlike(AUTHZ).alias("has_check"), F.col("body").rlike(DATABASE).alias("has_query"), F.array_distinct(_every(F.col("body"), CALL)).alias("calls"))
-    kept = said.groupBy("path", "name").agg(F.min_by(F.struct(*[c for c in said.columns if c not in ("path", "name")]), "first").alias("r"))
-    return kept.select("path", "name", "r.*")
+    return first.select("path", "name", F.col("main").alias("is_default"), "first", "last", F.col("body").rlike(AUTHZ).alias("has_check"), F.col("body").rlike(DATABASE).alias("has_query"), F.array_distinct(_every(F.col("body"), CALL)).alias("calls"))
 
 
 def module(path: Column) -> Column:
@@ -109,18 +134,18 @@ def edges(functions: DataFrame, imported: DataFrame) -> DataFrame:
     calls = calls.select("path", "name", F.regexp_extract("call", r"^(?:(.*)\.)?(.*)$", 1).alias("owner"), F.regexp_extract("call", r"(\w+)$", 1).alias("called"))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, EXTENSIONS)), F.regexp_extract("path", r"\.(\w+)$", 1)), F.lit(9))
     homes = functions.select("path").distinct().groupBy(module(F.col("path")).alias("module")).agg(F.min_by("path", F.struct(rank, "path")).alias("to_path"))
-    known = imported.join(homes, "module").groupBy("path", "local").agg(F.min(F.struct("to_path", F.col("name").alias("to_name"))).alias("to"))
-    # Whether a file imports the name decides, not whether the module was found.
-    names = imported.select("path", "local").distinct().join(known, ["path", "local"], "left")
+    # Whether a file imports the name decides, not whether the module was found; packages, of no module, are spread by path.
+    key = F.coalesce("module", F.concat(F.lit("\0"), "path"))
+    names = imported.withColumn("module", key).join(homes, "module", "left").groupBy("path", "local").agg(F.min(F.when(F.col("to_path").isNotNull(), F.struct("to_path", F.col("name").alias("to_name")))).alias("to"))
     said = calls.withColumn("local", F.when(F.col("owner") == "", F.col("called")).otherwise(F.col("owner"))).join(names.withColumn("imported", F.lit(True)), ["path", "local"], "left")
     plain, whole = F.col("owner") == "", F.col("to.to_name") == "*"
     to = F.when(F.col("imported") & plain & ~whole, F.col("to")).when(F.col("imported") & ~plain & whole, F.struct(F.col("to.to_path").alias("to_path"), F.col("called").alias("to_name")))
     to = to.when(F.col("imported").isNull() & plain, F.struct(F.col("path").alias("to_path"), F.col("called").alias("to_name")))
-    found = said.select("path", "name", to.alias("to")).filter("to is not null").select("path", "name", "to.*").distinct()
-    ends = functions.select(F.col("path").alias("to_path"), F.col("name").alias("to_name"))
-    mains = functions.filter("is_default").groupBy(F.col("path").alias("to_path")).agg(F.min_by("name", "first").alias("main"))
-    by_main = found.filter("to_name = 'default'").join(mains, "to_path").select("path", "name", "to_path", F.col("main").alias("to_name"))
-    return found.join(ends, ["to_path", "to_name"], "left_semi").select("path", "name", "to_path", "to_name").unionByName(by_main).distinct()
+    found = said.select("path", "name", to.alias("to")).filter("to is not null").select("path", "name", "to.to_path", F.col("to.to_name").alias("said"))
+    # A function goes by its name, and a main export by ``default`` too.
+    ends = functions.select(F.col("path").alias("to_path"), F.col("name").alias("said"), F.col("name").alias("to_name"))
+    mains = functions.filter("is_default").groupBy(F.col("path").alias("to_path")).agg(F.min_by("name", "first").alias("to_name")).select("to_path", F.lit("default").alias("said"), "to_name")
+    return found.join(ends.unionByName(mains), ["to_path", "said"]).select("path", "name", "to_path", "to_name").distinct()
 
 
 def reached(links: DataFrame, roots: DataFrame, calls: int | None = None) -> DataFrame:

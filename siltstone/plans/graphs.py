@@ -11,6 +11,7 @@ from siltstone.operators import calls, detect
 from siltstone.plans import samples
 from siltstone.plans.analyses import _HAS
 from siltstone.plans.catalogue import as_sql, findings, query
+from siltstone.scratch import settle
 from siltstone.streaming import episodes
 
 _KINDS = ((samples.CALLER_PATH, samples.CALLER), (samples.CALLED_PATH, samples.CALLED), (samples.INNER_PATH, samples.INNER))
@@ -43,7 +44,7 @@ def function_bodies(spark, sf_dir):
 @query(f"WITH {_FN}, {_ED} SELECT path, name, to_path, to_name FROM ed")
 def call_edges(spark, sf_dir):
     rows = tree(spark, sf_dir)
-    return calls.edges(calls.bodies(rows), calls.imports(rows))
+    return calls.edges(settle(calls.bodies(rows), "functions"), calls.imports(rows))
 
 
 @query(

@@ -6,3 +6,16 @@ from siltstone.operators import score
 def test_cases_from_100_000_on_have_six_digits(spark):
     raw = spark.createDataFrame([("src/BenchmarkTest99999.java", ["CWE-89"]), ("src/BenchmarkTest100000.java", ["CWE-79"]), ("src/BenchmarkTest0001.java", ["CWE-79"])], "path string, cwe array<string>")
     assert {(r["name"], *r["found"]) for r in score.detections(raw).collect()} == {("BenchmarkTest99999", 89), ("BenchmarkTest100000", 79)}
+
+
+def test_bodies_and_edges_shuffle_no_bodies(spark, tmp_path):
+    from siltstone.operators import calls
+    from siltstone.plans import catalogue
+
+    rows = spark.createDataFrame([("a.ts", "import { run } from './b'\nfunction a() {\n  run(); own()\n}\nfunction own() {\n}"), ("b.ts", "export function run() {\n}")], "path string, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(calls.bodies(rows))
+    # The tree is read into functions once, before the edges: their plan takes no body apart.
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(20).write.parquet(str(tmp_path / "events.parquet"))
+    assert "prisma" not in plan(catalogue.QUERIES["call_edges"](spark, str(tmp_path)))
+    assert {tuple(r) for r in calls.edges(calls.bodies(rows), calls.imports(rows)).collect()} == {("a.ts", "a", "b.ts", "run"), ("a.ts", "a", "a.ts", "own")}
