@@ -155,10 +155,17 @@ def config_entries(files: DataFrame) -> DataFrame:
 
 def rule_fields(files: DataFrame) -> DataFrame:
     """(path, rule, rule_id, field, value): the fields of each rule of rule files; rule is its place, field its key below the rule."""
-    each = config_entries(files).select("path", F.regexp_extract("key", r"^(?:rules)?\[(\d+)\]", 1).alias("rule"), F.regexp_extract("key", r"^(?:rules)?\[\d+\]\.?(.*)$", 1).alias("field"), "value").filter("rule != ''")
-    each = each.withColumn("rule", F.col("rule").cast("int"))
-    named = each.filter("field = 'id'").groupBy("path", "rule").agg(F.min("value").alias("rule_id"))
-    return each.join(named, ["path", "rule"], "left").select("path", "rule", "rule_id", "field", "value")
+    place = lambda e: F.regexp_extract(e["key"], r"^(?:rules)?\[(\d+)\]", 1)
+    fields = lambda es: F.filter(F.transform(es, lambda e: F.struct(place(e).alias("rule"), F.regexp_extract(e["key"], r"^(?:rules)?\[\d+\]\.?(.*)$", 1).alias("field"), e["value"].alias("value"))), lambda f: f["rule"] != "")
+    # What a generator makes is made once; a file names its rules itself, so they need no join.
+    rows = files.select("path", F.explode(F.array(outline.entries(F.col("text")))).alias("es")).select("path", F.explode(F.array(fields(F.col("es")))).alias("fs"))
+    ids = F.array_sort(F.transform(F.filter("fs", lambda f: f["field"] == "id"), lambda f: F.struct(f["rule"].cast("int").alias("rule"), f["value"].alias("rule_id"))))
+    once = F.filter(ids, lambda x: x["rule"].isNotNull())
+    each = rows.select("path", "fs", F.explode(F.array(once)).alias("ids")).select("path", "ids", F.explode("fs").alias("f")).select("path", "ids", F.col("f.rule").cast("int").alias("rule"), "f.field", "f.value")
+    # Most often each rule has one id and stands at its own place among them.
+    at = F.get("ids", F.col("rule"))
+    known = F.when((F.size("ids") > F.col("rule")) & (at["rule"] == F.col("rule")) & ((F.col("rule") == 0) | (F.get("ids", F.col("rule") - 1)["rule"] < F.col("rule"))), at["rule_id"])
+    return each.select("path", "rule", F.coalesce(known, F.get(F.filter("ids", lambda x: x["rule"] == F.col("rule")), 0)["rule_id"]).alias("rule_id"), "field", "value")
 
 
 def layered_config(layers: DataFrame, *scope: str, layer: str = "layer") -> DataFrame:
