@@ -19,3 +19,21 @@ def test_bodies_and_edges_shuffle_no_bodies(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(20).write.parquet(str(tmp_path / "events.parquet"))
     assert "prisma" not in plan(catalogue.QUERIES["call_edges"](spark, str(tmp_path)))
     assert {tuple(r) for r in calls.edges(calls.bodies(rows), calls.imports(rows)).collect()} == {("a.ts", "a", "b.ts", "run"), ("a.ts", "a", "a.ts", "own")}
+
+
+def test_rules_of_one_pattern_hit_together_and_lines_stay_where_they_are(spark):
+    from siltstone.operators import detect
+
+    rows = spark.createDataFrame([("a", 1, "say \U0001f600 conversation now"), ("a", 2, None), ("b", 1, "no")], "path string, line int, text string")
+    rules = spark.createDataFrame([("r1", "conversation", "low", None), ("r2", "conversation", "high", "CWE-1"), ("r3", "con[v]", "low", None), ("r4", "[n]o", "low", None)], "rule_id string, pattern string, severity string, cwe string")
+    found = detect.apply_many_rules(rows, rules)
+    assert {(r["path"], r["line"], r["rule_id"]) for r in found.collect()} == {("a", 1, "r1"), ("a", 1, "r2"), ("a", 1, "r3"), ("b", 1, "r4"), ("a", 1, "r4")}
+
+
+def test_rule_fields_need_no_join(spark):
+    from siltstone.sources import files
+
+    text = "rules:\n  - severity: low\n    id: b\n  - note: none\n  - id: c\n    id: a\n"
+    found = files.rule_fields(spark.createDataFrame([("r.yml", text), ("none.yml", None)], "path string, text string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["rule"], r["rule_id"], r["field"], r["value"]) for r in found.collect()} == {(0, "b", "severity", "low"), (0, "b", "id", "b"), (1, None, "note", "none"), (2, "a", "id", "c"), (2, "a", "id", "a")}
