@@ -8,21 +8,25 @@ of two words besides, under the same rule.
 
 Each text is first aligned with two hubs of its buckets and with its likeliest
 partner elsewhere. What these links leave
-apart in a bucket is compared pair by pair by word histograms, which bound the edit
+apart in a bucket, near enough in length, is compared pair by pair by word histograms, which bound the edit
 distance from below and so lose no pair; texts with such partners meet in their
 bucket and are aligned there, the likeliest pairs first, unless they are linked
-already. Large buckets are compared block by block. Verified links make classes:
-those of all aligned pairs of all buckets.
+already. Large buckets are compared block by block. The texts of those of more than
+CROWD blocks, such as all that have a line in common, meet by their rare words
+instead: texts that align share one of the rarest fifth of each, so none is lost.
+Verified links make classes: those of all aligned pairs of all buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +40,10 @@ SHINGLE, SIMILAR, HASHES, PICKS = 5, 0.8, 20, 4
 SHORT, SHORT_HASHES = 64, 4
 #: Bins of a text's word histogram; words of the members of a bucket (a member counting BINS more) that one task compares with as many others.
 BINS, BLOCK = 256, 1 << 20
+#: Blocks of a bucket above which its texts meet by rare words; bits of a word's hash by which words are counted.
+CROWD, _SLOT = 4, 18
+#: Texts that may align are in the same band of lengths, by logarithm, or in neighbours.
+_BAND = math.log(1.04 / SIMILAR)
 #: Pairs compared at a time in a task; alignments between two looks at what is linked by then; members in a tile of pairs; pairs held to be ordered.
 _LANES, _TURN, _TILE, _HELD = 1 << 15, 256, 2048, 1 << 20
 _PLACE = 28
@@ -77,19 +85,23 @@ def _short_pool(words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, start, K.grams(words.hashes(), 2)[place]
 
 
+def _labelled(pool: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The hashes of a pool, with occurrences of one in the same text told apart by number."""
+    own = K.mix(pool ^ K.mix(owner.astype(K.U) + K.U(1)))
+    order = np.argsort(own, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+    number = np.empty(len(pool), K.U)
+    number[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return K.mix(pool + number * K.U(0x9E3779B97F4A7C15))
+
+
 def _values(pool: np.ndarray, start: np.ndarray, hashes: int) -> np.ndarray:
     """A row of values for each stretch of the pool, of every two picks of each hash function; 0 where there is none."""
     two = list(combinations(range(PICKS), 2))
     out = np.zeros((len(start), hashes * len(two)), K.U)
     size = np.diff(np.append(start, len(pool)))
     owner = np.repeat(np.arange(len(start)), size)
-    # Occurrences of a shingle in its text are numbered.
-    own = K.mix(pool ^ K.mix(owner.astype(K.U) + K.U(1)))
-    order = np.argsort(own, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
-    number = np.empty(len(pool), K.U)
-    number[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    labelled = K.mix(pool + number * K.U(0x9E3779B97F4A7C15))
+    labelled = _labelled(pool, owner)
     place = (np.arange(len(pool)) - start[owner]).astype(K.U)
     low, none = K.U((1 << _PLACE) - 1), K.U(0xFFFFFFFFFFFFFFFF)
     for j in range(hashes):
@@ -154,6 +166,26 @@ def most_edits(a_words: np.ndarray, b_words: np.ndarray) -> np.ndarray:
     return (np.maximum(a_words, b_words) * (1 - SIMILAR) + 1e-9).astype(np.int64)
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> K.U(64 - _SLOT)).astype(np.int64)
+
+
+def rare_words(words: K.Words, rank: np.ndarray) -> list[np.ndarray]:
+    """The rarest words of each text by the rank of their hash's first bits, one more than an alignment may edit.
+
+    Occurrences of a word are told apart. Whatever the ranks, texts that align share one
+    of these: they have all words but ``most_edits`` of the longer one in common, so the
+    first of the common words, by rank, comes so early in both.
+    """
+    if not len(words):
+        return [np.zeros(0, np.int64)] * len(words.count)
+    owner, hashes = np.repeat(np.arange(len(words.count)), words.count), words.hashes()
+    labelled = _labelled(hashes, owner)
+    order = np.lexsort((labelled, rank[_slots(hashes)], owner))
+    most = np.minimum(most_edits(words.count, words.count) + 1, words.count)
+    return [labelled[order[a : a + n]].view(np.int64) for a, n in zip(words.bounds[:-1].tolist(), most.tolist(), strict=True)]
+
+
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences of hashes, or most + 1 if it is larger; only a band of diagonals is kept.
 
@@ -240,21 +272,48 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(count).astype(np.int64)), lists, _strings(np.concatenate(bins)), batch.column(3)], ["k1", "k2", "n_words", "sketch", "bins", "doc"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs (a, b) whose texts align."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n): how many words have a hash of these first bits."""
+    count = np.zeros(1 << _SLOT, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in K.slices(batch.column(0)):
+            words = K.find_words(data, offsets, K.NON_SPACE)
+            if len(words):
+                count += np.bincount(_slots(words.hashes()), minlength=1 << _SLOT)
+    slot = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(count[slot])], ["slot", "n"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, rarest) of texts."""
+    for batch in batches:
+        own = [w for _, _, data, offsets in K.slices(batch.column(2)) for w in rare_words(K.find_words(data, offsets, K.NON_SPACE), rank)]
+        edge = np.cumsum([0, *map(len, own)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["k1", "k2", "rarest"])
+
 
-    def sequences(column) -> Iterator[np.ndarray]:
+def _verify(batches: Iterator[pa.RecordBatch], sharing: bool = False) -> Iterator[pa.RecordBatch]:
+    """Keep the pairs (a, b) whose texts align and, if asked, share a value."""
+
+    def sequences(column) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         for i, j, data, offsets in K.slices(column):
             words = K.find_words(data, offsets, K.NON_SPACE)
-            hashes = words.hashes()
+            hashes, values = words.hashes(), sketch(words) if sharing else [None] * (j - i)
             for d in range(j - i):
-                yield hashes[words.bounds[d] : words.bounds[d + 1]]
+                yield hashes[words.bounds[d] : words.bounds[d + 1]], values[d]
 
     for batch in batches:
-        good = [similar(a, b) for a, b in zip(sequences(batch.column(2)), sequences(batch.column(3)), strict=True)]
+        both = zip(sequences(batch.column(2)), sequences(batch.column(3)), strict=True)
+        good = [(not sharing or _share(v, w)) and similar(a, b) for (a, v), (b, w) in both]
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
+def _share(a: np.ndarray, b: np.ndarray) -> bool:
+    """Two rows of a sketch have a value in common."""
+    return bool(np.intersect1d(a, b).any())
+
+
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs (a, b) that their histograms allow."""
     for batch in batches:
@@ -263,9 +322,9 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-#: A group is a pair of blocks x, y of a bucket; part is the member's own block. Where x and y differ, its pairs are those of one block with the other.
-_GROUP = ["one", "x", "y"]
-_MEMBER = T.StructType().add("one", "long").add("x", "integer").add("y", "integer").add("part", "integer").add("root", "long").add("id", "long").add("n_words", "long")
+#: A group is a pair of blocks x, y of a bucket, of texts with a value or (rare) a rare word in common; part is the member's own block. Where x and y differ, its pairs are those of one block with the other.
+_GROUP = ["rare", "one", "x", "y"]
+_MEMBER = T.StructType().add("rare", "integer").add("one", "long").add("x", "integer").add("y", "integer").add("part", "integer").add("root", "long").add("id", "long").add("n_words", "long")
 
 
 def _starts(column: dict[str, np.ndarray], names: list[str]) -> np.ndarray:
@@ -381,19 +440,21 @@ def _held(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterato
         yield np.concatenate(held, axis=1)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Links (a, b) from members with their texts: in each group alignments of unlike roots, until what aligns is linked.
 
-    A pair that meets in several buckets is looked at in that of its least value.
+    A pair that meets in several buckets is looked at in that of its least value, or in
+    that of its least rare word if it shares a value at all.
     """
     for batch in _whole_groups(batches):
         column = {c: batch.column(c).to_numpy() for c in _MEMBER.names}
-        sequences, values, bins = [], [], []
+        sequences, values, rarest, bins = [], [], [], []
         for i, j, data, offsets in K.slices(batch.column("text")):
             words = K.find_words(data, offsets, K.NON_SPACE)
             hashes = words.hashes()
             sequences += [hashes[words.bounds[d] : words.bounds[d + 1]] for d in range(j - i)]
             values += list(sketch(words).view(np.int64))
+            rarest += rare_words(words, rank) if column["rare"][i:j].any() else [None] * (j - i)
             bins.append(histograms(words))
         starts = np.append(np.flatnonzero(_starts(column, _GROUP)), batch.num_rows)
         label = np.cumsum(_starts(column, [*_GROUP, "root"]))
@@ -407,12 +468,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(edges, np.append(edges[1:], len(group)), strict=True):
                 first, last = starts[group[a]], starts[group[a] + 1]
                 p, q = i[a:b] - first, j[a:b] - first
-                keep = _meet_here([np.unique(v[v != 0]) for v in values[first:last]], column["one"][first], p, q)
+                rare = bool(column["rare"][first])
+                keep = _meet_here([np.sort(v) for v in rarest[first:last]] if rare else [np.unique(v[v != 0]) for v in values[first:last]], column["one"][first], p, q)
                 p, q = p[keep], q[keep]
                 own = label[first:last]
                 while len(p):
                     for x, y in zip(p[:_TURN].tolist(), q[:_TURN].tolist(), strict=True):
-                        if own[x] != own[y] and similar(sequences[first + x], sequences[first + y]):
+                        if own[x] != own[y] and (not rare or _share(values[first + x], values[first + y])) and similar(sequences[first + x], sequences[first + y]):
                             links.append((first + x, first + y))
                             own[own == own[y]] = own[x]
                     p, q = p[_TURN:], q[_TURN:]
@@ -441,23 +503,63 @@ def _hubs(nodes: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _open(nodes: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (one, id, root, blocks, members) of the buckets that ``links`` do not lead together; root is the least text that they lead to."""
+    """Members (rare, one, id, root, blocks, members) of the buckets that ``links`` do not lead together; root is the least text that they lead to."""
     roots = components(links)
     known = nodes.select("id", "n_words").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n_words", F.coalesce("root", "id").alias("root"))
-    rooted = settle(member.select("one", "id").join(known, "id"), "rooted", release=True)
-    split = rooted.groupBy("one").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum(F.col("n_words") + BINS).alias("words"), F.count(F.lit(1)).alias("members")).filter("least < most")
-    out = rooted.join(split.select("one", "members", F.ceil(F.col("words") / F.lit(BLOCK)).cast("int").alias("blocks")), "one")
-    out = settle(out.select("one", "id", "root", "blocks", "members"), "open", release=True)
+    rooted = settle(member.select("rare", "one", "id").join(known, "id"), "rooted", release=True)
+    out = _apart(rooted)
     discard(roots, rooted)
     return out
 
 
+def _apart(rooted: DataFrame) -> DataFrame:
+    """Table of the members that have one of another root in their bucket whose length allows an alignment.
+
+    Of buckets with the same members (known by 128 bits and their number) only that of
+    the least value stays, which is where a pair of them is looked at.
+    """
+    one = ["rare", "one"]
+    same = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.count(F.lit(1)).alias("n")]
+    split = rooted.groupBy(*one).agg(F.min("root").alias("least"), F.max("root").alias("most"), *same).filter("least < most")
+    split = split.groupBy("rare", "x", "y", "n").agg(F.min("one").alias("one")).select(*one)
+    wide = settle(rooted.join(split, one).withColumn("band", F.floor(F.log("n_words") / F.lit(_BAND))), "apart", release=True)
+    bands = wide.groupBy(*one, "band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum(F.col("n_words") + BINS).alias("words"), F.count(F.lit(1)).alias("members"))
+    whole, beside = Window.partitionBy(*one), Window.partitionBy(*one).orderBy("band").rangeBetween(-1, 1)
+    near = bands.select(*one, "band", "words", "members", F.min("least").over(beside).alias("least"), F.max("most").over(beside).alias("most")).filter("least < most")
+    near = near.select(*one, "band", F.sum("members").over(whole).alias("members"), F.ceil(F.sum("words").over(whole) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    out = settle(wide.join(near, [*one, "band"]).select(*one, "id", "root", "blocks", "members"), "open", release=True)
+    discard(wide)
+    return out
+
+
+def _by_rare_words(keyed: DataFrame, nodes: DataFrame, left: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Open members with buckets of rare words for the texts of those of more than CROWD blocks, and the ranks of words.
+
+    Words are ranked by how many in these texts have the same first bits of a hash; only
+    these 2^_SLOT counts come to the driver, and whatever they are, no pair is lost.
+    """
+    rank = np.zeros(1 << _SLOT, np.int32)
+    part = settle(nodes.select("id", "k1", "k2", "n_words").join(left.filter(F.col("blocks") > CROWD).select("id", "root").distinct(), "id"), "crowd")
+    if part.isEmpty():
+        discard(part)
+        return left, rank
+    texts = maybe_in(keyed.select("k1", "k2", "text"), "k1", membership(part, "k1")).filter("_maybe")
+    counts = texts.select("text").mapInArrow(_word_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rank[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), np.iinfo(np.int32).max)
+    rarest = texts.select("k1", "k2", "text").mapInArrow(partial(_rarest, rank=rank), "k1 long, k2 long, rarest array<long>").groupBy("k1", "k2").agg(F.first("rarest").alias("rarest"))
+    rooted = settle(rarest.join(part, ["k1", "k2"]).select(F.lit(1).alias("rare"), F.explode("rarest").alias("one"), "id", "n_words", "root"), "rarest", release=True)
+    rare = _apart(rooted)
+    out = settle(left.filter(F.col("blocks") <= CROWD).unionByName(rare), "open", release=True)
+    discard(left, part, rooted, rare)
+    return out, rank
+
+
 def _dealt(nodes: DataFrame, left: DataFrame) -> DataFrame:
     """Open members with their histograms, in groups and order."""
     part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")
-    dealt = left.select("one", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "root", "id")
+    dealt = left.select("rare", "one", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "root", "id")
     dealt = dealt.join(nodes.select("id", "n_words", "bins"), "id")
-    return _grouped(dealt.select("one", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "id", "n_words", "bins"))
+    return _grouped(dealt.select("rare", "one", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "id", "n_words", "bins"))
 
 
 def _grouped(members: DataFrame) -> DataFrame:
@@ -473,10 +575,10 @@ def _bodies(keyed: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
-def _aligned(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Table of the pairs whose texts align."""
+def _aligned(bodies: DataFrame, pairs: DataFrame, sharing: bool) -> DataFrame:
+    """Table of the pairs whose texts align and, if asked, share a value."""
     full = pairs.join(bodies.toDF("a", "a_text"), "a").join(bodies.toDF("b", "b_text"), "b").select("a", "b", "a_text", "b_text")
-    return settle(full.mapInArrow(_verify, _PAIR), "links", release=True)
+    return settle(full.mapInArrow(partial(_verify, sharing=sharing), _PAIR), "links", release=True)
 
 
 def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -495,24 +597,25 @@ def texts_and_links(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     nodes = settle(texts.withColumn("id", F.monotonically_increasing_id()), "texts", release=True)
     values = nodes.select("id", F.explode("sketch").alias("one"))
     first = values.groupBy("one").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = settle(values.join(first, "one"), "buckets", release=True)
+    member = settle(values.join(first, "one").withColumn("rare", F.lit(0)), "buckets", release=True)
     both = F.explode(F.array("a", "b")).alias("id")
     pairs, links = _hubs(nodes, member), None
     for last in (False, True):
         bodies = _bodies(keyed, nodes, pairs.select(both))
-        found = _aligned(bodies, pairs)
+        found = _aligned(bodies, pairs, sharing=last)
         found = found if links is None else settle(links.unionByName(found), "links", release=True)
         left = _open(nodes, member, found)
         discard(*(t for t in (pairs, bodies, member, links) if t is not None))
         member, links = left, found
         if not last:
+            member, rank = _by_rare_words(keyed, nodes, left)
             # Each text in the largest of its open buckets; the others have their turn below.
-            large = left.groupBy("id").agg(F.max_by(F.struct("one", "root", "blocks"), F.struct("members", "one")).alias("m")).select("id", "m.*")
+            large = member.groupBy("id").agg(F.max_by(F.struct("rare", "one", "root", "blocks"), F.struct("members", "rare", "one")).alias("m")).select("id", "m.*")
             best = _dealt(nodes, large).mapInArrow(_likeliest, _FOUND).groupBy("a").agg(F.min_by("b", F.struct("least", "b")).alias("b"))
             pairs = settle(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "likeliest", release=True)
     rest = settle(_dealt(nodes, member).mapInArrow(_partnered, _MEMBER), "rest", release=True)
     bodies = _bodies(keyed, nodes, rest.select("id"))
-    more = _grouped(rest.join(bodies, "id").select(*_MEMBER.names, "text")).mapInArrow(_linked, _PAIR)
+    more = _grouped(rest.join(bodies, "id").select(*_MEMBER.names, "text")).mapInArrow(partial(_linked, rank=rank), _PAIR)
     every = settle(links.unionByName(more).distinct(), "links", release=True)
     discard(member, rest, bodies, links)
     return nodes, every

@@ -381,6 +381,68 @@ def test_large_buckets_in_blocks_are_the_same(spark, docs, monkeypatch):
     assert pairs(near_dup.label(docs), "doc_id", "class_id", "class_size") == once
 
 
+def test_texts_that_align_share_a_rare_word():
+    """Whatever the ranks; and a text's rare words do not depend on the texts beside."""
+    rng, found = random.Random(5), 0
+    split = lambda ts: kernel.find_words(np.frombuffer("".join(ts).encode(), np.uint8), np.cumsum([0, *map(len, ts)]), kernel.NON_SPACE)
+    for k in range(1500):
+        kinds = rng.choice([2, 6, 50])
+        a = [f"w{rng.randrange(kinds)}" for _ in range(rng.randint(1, 40))]
+        b = a[:]
+        for _ in range(rng.randint(0, len(a) // 5 + 1)):
+            i = rng.randint(0, len(b))
+            b = b[:i] + [f"z{rng.randrange(9)}"] * rng.randint(0, 2) + b[i + rng.randint(0, 1) :]
+        both = split([" ".join(a), "", " ".join(b)])
+        rank = np.random.default_rng(k).integers(0, 5, 1 << near_dup._SLOT)
+        one, none, two = (set(w.tolist()) for w in near_dup.rare_words(both, rank))
+        hashes, at = both.hashes(), both.bounds
+        assert not none and set(near_dup.rare_words(split([" ".join(b)]), rank)[0].tolist()) == two
+        if near_dup.similar(hashes[at[0] : at[1]], hashes[at[2] : at[3]]):
+            found += 1
+            assert one & two or not b
+    assert found > 500
+
+
+def test_crowds_by_rare_words_are_the_same(docs, monkeypatch):
+    once = pairs(near_dup.label(docs), "doc_id", "class_id", "class_size")
+    monkeypatch.setattr(near_dup, "CROWD", 0)
+    assert pairs(near_dup.label(docs), "doc_id", "class_id", "class_size") == once
+
+
+def _dealt_rows(monkeypatch) -> list[int]:
+    rows, deal = [], near_dup._dealt
+    monkeypatch.setattr(near_dup, "_dealt", lambda *a: rows.append((out := deal(*a)).count()) or out)
+    return rows
+
+
+def test_rows_dealt_do_not_grow_with_the_square_of_a_bucket(spark, monkeypatch):
+    """Texts with one line in common and little else, of which two are alike."""
+    monkeypatch.setattr(near_dup, "BLOCK", 2000)
+    rows, line = _dealt_rows(monkeypatch), " ".join(f"line{k}" for k in range(12))
+    for n in (60, 120, 240):
+        rng = random.Random(n)
+        own = [[f"v{rng.randrange(20000)}" for _ in range(30)] for _ in range(n)]
+        own[7] = [*own[3][:13], "other", *own[3][14:]]
+        texts = spark.createDataFrame([(i, f"{line}\n{' '.join(w)}") for i, w in enumerate(own)], "doc_id long, text string")
+        size = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_dup.label(texts).collect()}
+        assert size[3] == size[7] == (3, 2) and sum(s == 1 for _, s in size.values()) == n - 2
+        rows.append(-n)
+    done = [sum(rows[a + 1 : b]) for a, b in zip([-1, *(k for k, r in enumerate(rows) if r < 0)], (k for k, r in enumerate(rows) if r < 0), strict=False)]
+    assert done[1] <= 2 * done[0] and done[2] <= 2 * done[1], done
+
+
+def test_buckets_of_the_same_members_are_dealt_once(spark, monkeypatch):
+    """Two texts with 120 words in common and 120 apart share many values; their pair is one group of two members, in either step."""
+    rows = _dealt_rows(monkeypatch)
+    same = " ".join(f"w{k}" for k in range(120))
+    texts = [(i, same + " " + " ".join(f"{i}x{k}" for k in range(120))) for i in range(2)]
+    raw = "".join(t for _, t in texts).encode()
+    one, two = near_dup.sketch(kernel.find_words(np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t) for _, t in texts)]), kernel.NON_SPACE))
+    assert len(set(one.tolist()) & set(two.tolist()) - {0}) > 2
+    found = near_dup.label(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["class_size"] for r in found} == {1} and rows == [2, 2]
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dup.label(empty).count() == 0 and near_dup.keep_one(empty).count() == 0
 
