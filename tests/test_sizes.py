@@ -37,3 +37,34 @@ def test_rule_fields_need_no_join(spark):
     found = files.rule_fields(spark.createDataFrame([("r.yml", text), ("none.yml", None)], "path string, text string"))
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r["rule"], r["rule_id"], r["field"], r["value"]) for r in found.collect()} == {(0, "b", "severity", "low"), (0, "b", "id", "b"), (1, None, "note", "none"), (2, "a", "id", "c"), (2, "a", "id", "a")}
+
+
+def test_rules_for_whole_words_meet_words_and_none_comes_to_the_driver(spark, monkeypatch):
+    import random
+    import re
+
+    from siltstone.operators import detect
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abAZ019_é") for _ in range(rng.randint(1, 3)))
+    rules = []
+    for k in range(900):
+        signs = detect.SIGNS[k % 3]
+        own = "".join(re.findall(f"[{signs}]", word())) or "a"
+        rules.append((f"r{k}", f"(^|[^{signs}]){own}([^{signs}]|$)", "low", None if k % 2 else "CWE-1"))
+    lines = [(f"p{k % 3}", k % 50, " ".join(word() + rng.choice(["", "\t", ".", "-b"]) for _ in range(rng.randint(0, 5)))) for k in range(120)]
+    rows = spark.createDataFrame([*lines, lines[0], ("p", 1, None)], "path string, line int, text string")
+    known = spark.createDataFrame([*rules, ("none", None, "low", None)], "rule_id string, pattern string, severity string, cwe string")
+    want = sorted((p, n, r) for p, n, t in [*lines, lines[0]] for r, pattern, *_ in rules if re.search(pattern, t))
+    hits = detect.apply_many_rules(rows, known.filter("pattern is not null"))
+    # Read off by the driver are only patterns of other forms.
+    with monkeypatch.context() as m:
+        m.setattr(detect.literals, "required", lambda _: 1 / 0)
+        assert "NestedLoop" not in detect.apply_many_rules(rows, known.filter("pattern is not null"))._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["path"], r["line"], r["rule_id"]) for r in hits.collect()) == want and len(want) > 1000
+    # Beside others, and near forms: another class on each side, more than a word, text after the form.
+    near = ["(^|[^A-Za-z])a([^A-Za-z0-9]|$)", "(^|[^A-Za-z])a+([^A-Za-z]|$)", "(^|[^A-Za-z])b1([^A-Za-z]|$)", "(^|[^A-Za-z])a([^A-Za-z]|$)A", "a(?:b|A)", "(?:^|[^A-Za-z])Z(?:[^A-Za-z]|$)"]
+    more = [(f"n{k}", pattern, "low", None) for k, pattern in enumerate(near)]
+    want = sorted((p, n, r) for p, n, t in [*lines, lines[0]] for r, pattern, *_ in [*rules[:30], *more] if re.search(pattern, t))
+    some = spark.createDataFrame([*rules[:30], *more, ("none", None, "low", None)], known.schema)
+    assert sorted((r["path"], r["line"], r["rule_id"]) for r in detect.apply_many_rules(rows, some).collect()) == want
