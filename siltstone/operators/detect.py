@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import reduce
 
@@ -14,7 +15,8 @@ from siltstone.scratch import settle
 from siltstone.sources.files import lines
 
 AUTH = r"getServerSession|getSession|\bauth\(\)|requireAuth|withAuth|verifyToken"
-AUTHZ = r"userId|ownerId|hasPermission|canAccess|isOwner|authorize\("
+AUTHZ_TEXTS = ("userId", "ownerId", "hasPermission", "canAccess", "isOwner", "authorize(")
+AUTHZ = "|".join(map(re.escape, AUTHZ_TEXTS))
 PARAMS = r"\bparams\b"
 HTTP = r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE)\b"
 FUNCTION = r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\("

@@ -68,3 +68,40 @@ def test_rules_for_whole_words_meet_words_and_none_comes_to_the_driver(spark, mo
     want = sorted((p, n, r) for p, n, t in [*lines, lines[0]] for r, pattern, *_ in [*rules[:30], *more] if re.search(pattern, t))
     some = spark.createDataFrame([*rules[:30], *more, ("none", None, "low", None)], known.schema)
     assert sorted((r["path"], r["line"], r["rule_id"]) for r in detect.apply_many_rules(rows, some).collect()) == want
+
+
+def test_calls_of_open_functions_meet_files_by_module_alone(spark):
+    import random
+
+    from siltstone.operators import calls
+
+    rng = random.Random(4)
+    heads = ["import { a, b as c } from './m1'", "import b from './m2'", "import * as w from './m1'", "import { b } from './m3'", "const { u, a } = require('./m2')", "const w = require('../d/m0')", "import { default as a } from './m4'"]
+    said = ["a()", "b()", "c(1)", "w.a()", "w.c()", "b.u()", "u()", "$a()", "w.$b()", "other()", "x.a()", "userId", "db.item.find()"]
+
+    def text():
+        out = [rng.choice(heads) for _ in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(0, 4)):
+            out += [rng.choice(["", "export ", "export default "]) + f"function {rng.choice(['a', 'b', 'c', 'u', 'default', 'GET'])}() {{", *(rng.choice(said) for _ in range(rng.randint(0, 4))), "}"]
+        return "\n".join(out)
+
+    rows = spark.createDataFrame([(f"{r}/d/m{k}{e}", text()) for r in range(60) for k in range(5) for e in (".ts", ".js", "/index.ts") if rng.random() < 0.6], "path string, text string").cache()
+    free = calls.bodies(rows).filter("not has_check").select("path", "name")
+    links = calls.edges(calls.bodies(rows), calls.imports(rows)).join(free, ["path", "name"], "left_semi").join(free.toDF("to_path", "to_name"), ["to_path", "to_name"], "left_semi")
+    want = {(r["path"], r["name"], r["to_path"], r["to_name"]) for r in links.collect()}
+    known = calls._resolved(rows, None).cache()
+    known.count()
+    got = calls._open_links(known)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+    # Calls and files are shuffled by module, and what a file imports is not joined with what it calls.
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert joins and all("Join [module" in x for x in joins)
+
+
+def test_a_text_is_outlined_whole(spark):
+    from siltstone.operators import calls
+
+    text = "import x\n  touch(key)\nexport default function a(b, { c }) { // {\n  say('}', \"{\", `(`)\n\n  if (x) {\n  };\n}\x01\nconst f = (x): P<{ y }> =>\n  x\n"
+    outline = spark.createDataFrame([(text,)], "text string").select(calls._outline(calls.F.col("text"))).first()[0].split("\n")
+    assert outline == ["", "", "\x01a\x01export default \x01({}){", "", "", "{", "}\x02", "}", "\x01f\x01\x01{}", "", ""]
